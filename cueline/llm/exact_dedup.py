@@ -45,7 +45,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     df = df.drop("keep_id", "group_size", "kept", "text_sha256")
     n = apart(df, "text", "digest", "salt", "keep", "size", "texts")
     text, key, salt, keep, size, texts = n.values()
-    rows = _dealt(df, id_col, text_col, digest, salts, n)
+    rows = _dealt(df, id_col, text_col, digest, salts, n).withColumn("text_sha256", sha256(F.col(text)))
 
     salted = rows.groupBy(key, salt, text).agg(F.max(id_col).alias(keep), F.count("*").alias(size))
     whole = salted.repartition(key).groupBy(key, text).agg(F.max(keep).alias(keep), F.sum(size).alias(size))
@@ -60,7 +60,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = whole.join(shared, key, "left_semi").withColumnsRenamed({keep: "keep_id", size: "group_size"})
         out = out.unionByName(both.join(found, [key, text]))
     kept = F.col(id_col).eqNullSafe(F.col("keep_id"))
-    return out.select(*df.columns, "keep_id", "group_size", kept.alias("kept"), sha256(F.coalesce(F.col(text_col), F.lit(""))).alias("text_sha256"))
+    return out.select(*df.columns, "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cueline.llm.decontaminate import contamination
 from cueline.llm.exact_dedup import exact_groups
+from cueline.llm.language_id import held_out, identify
 from cueline.llm.mixing import mix_sources
 
 #: Fixed values for the SQL: the letters to lower-case, and words as RE2 patterns.
@@ -19,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs, keep_text=False).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -91,6 +97,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_source_mix": op6_source_mix,
