@@ -36,10 +36,12 @@ BUCKETS = 1 << 16
 UNKNOWN = "und"
 #: Labelled texts that are drawn for each language (expected number), those for all languages, and the part that only calibrates.
 SAMPLE, SAMPLE_ALL, HELD_BACK = 1000, 8000, 0.3
+#: Short runs of words, up to so many, that are learnt beside each whole text of the sample.
+PIECES, PIECE_WORDS = 2, 12
 #: Languages of the sample, at most: the most frequent ones.
 LANGUAGES = 400
-#: Share of rightly classified calibration texts that rejection may cost.
-REJECT = 0.001
+#: Share of rightly classified calibration texts that rejection may cost, and the calibrated score that always is accepted.
+REJECT, SURE = 0.001, 0.5
 
 _LOWER, _APART = byte_classes("".join(c for c in map(chr, range(128)) if not c.isalpha()))
 _CLEAN = np.where(_APART, ord(" "), _LOWER).astype(np.uint32)
@@ -88,7 +90,15 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return found.astype(np.int32), (n / max(1, len(rows))).astype(np.float32)
 
 
-def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, width: int = 16, epochs: int = 8, rate: float = 40.0, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def pieces(text: str, rng: np.random.Generator) -> list[str]:
+    """A few short runs of the text's words, so that short texts are learnt and calibrated too."""
+    words = text.split()
+    sizes = rng.integers(1, PIECE_WORDS + 1, PIECES)
+    starts = [int(rng.integers(0, max(1, len(words) - int(n) + 1))) for n in sizes]
+    return [" ".join(words[i : i + int(n)]) for i, n in zip(starts, sizes, strict=True)]
+
+
+def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, width: int = 16, epochs: int = 5, rate: float = 20.0, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Embedding times class weights (rows x classes) and biases, by SGD over one text at a time."""
     rng = np.random.default_rng(seed)
     embed = rng.uniform(-0.5 / width, 0.5 / width, (BUCKETS, width)).astype(np.float32)
@@ -126,7 +136,7 @@ def calibrate(logits: np.ndarray, labels: np.ndarray, reject: float) -> tuple[fl
     scale = float(scales[int(np.argmin(loss))])
     p = _softmax(logits * scale)
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == labels])
-    return scale, float(right[int(len(right) * reject)]) if len(right) else 0.0
+    return scale, min(SURE, float(right[int(len(right) * reject)])) if len(right) else 0.0
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, sample: int = SAMPLE, reject: float = REJECT) -> Model:
@@ -147,19 +157,24 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8_view(batch.column("text"))
-            found = [counts(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]])) for i in range(batch.num_rows)]
-            binary = (pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), *binary], names=["lang", "place", "rows", "shares"])
-
-    got = sorted(((r[1], r[0], bytes(r[2]), bytes(r[3])) for r in chosen.mapInArrow(count, "lang string, place double, rows binary, shares binary").collect()))
+            out: list[tuple] = []
+            for lang, text, place in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "place")), strict=True):
+                for i, own in enumerate([text, *pieces(text, np.random.default_rng(int(place * 2**53)))]):
+                    data = np.frombuffer(own.encode(), np.uint8)
+                    found, share = counts(data, np.array([0, len(data)]))
+                    if len(found):
+                        out.append((lang, place, i, found.tobytes(), share.tobytes()))
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema)
+
+    schema = pa.schema([("lang", pa.string()), ("place", pa.float64()), ("piece", pa.int32()), ("rows", pa.binary()), ("shares", pa.binary())])
+    got = chosen.mapInArrow(count, "lang string, place double, piece int, rows binary, shares binary").collect()
+    got = sorted((r[1], r[0], r[2], bytes(r[3]), bytes(r[4])) for r in got)
     languages = sorted({r[1] for r in got})
-    texts = [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in got]
+    texts = [(np.frombuffer(r[3], np.int32), np.frombuffer(r[4], np.float32)) for r in got]
     labels = np.array([languages.index(r[1]) for r in got], np.int64)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 0.0)
-    back = np.zeros(len(got), bool)
-    back[np.arange(len(got)) % 10 < HELD_BACK * 10] = len(got) >= 20
+    back = np.array([len(got) >= 20 and r[0] * 1e9 % 1 < HELD_BACK for r in got])  # by document, as its pieces share its place
     table, bias = train([t for t, b in zip(texts, back, strict=True) if not b], labels[~back], len(languages))
     logits = np.stack([share @ table[rows] + bias for rows, share in texts])[back] if back.any() else np.zeros((0, len(languages)))
     scale, least = calibrate(logits, labels[back], reject)
