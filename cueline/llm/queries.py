@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cueline.llm.decontaminate import contamination
 from cueline.llm.exact_dedup import exact_groups
 from cueline.llm.language_id import held_out, identify
+from cueline.llm.license_scan import NOTICE_SHARE, NOTICES, PHRASES, STRIDE, license_scan
 from cueline.llm.mixing import mix_sources
 
 #: Fixed values for the SQL: the letters to lower-case, and words as RE2 patterns.
@@ -26,6 +27,39 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, keep_text=False).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def _sql_rows(templates: tuple[tuple[str, str], ...]) -> str:
+    return ", ".join(f"(string_split('{text}', ' '), '{label}')" for text, label in templates)
+
+
+SQL_LICENSE_SCAN = rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({SQL_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+phrases(p, label) AS (VALUES {_sql_rows(PHRASES)}),
+notices(p, label) AS (VALUES {_sql_rows(NOTICES)}),
+places AS (
+  SELECT doc_id, i - 1 AS place, label FROM d, phrases, unnest(range(1, len(w) - len(p) + 2)) AS t(i)
+  WHERE w[i] = p[1] AND w[i : i + len(p) - 1] = p),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base_labels
+  FROM places GROUP BY doc_id),
+blocks AS (SELECT doc_id, list_distinct(w[i + 1 : i + {2 * STRIDE}]) AS b FROM d, unnest(range(0, len(w), {STRIDE})) AS t(i)),
+found AS (
+  SELECT doc_id, label, len(list_intersect(b, list_distinct(p)))::DOUBLE / len(list_distinct(p)) AS share,
+         len(list_intersect(b, list_distinct(p))) >= ceil(round({NOTICE_SHARE} * len(list_distinct(p)), 6)) AS enough
+  FROM blocks, notices),
+own AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS score FROM found WHERE enough GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(array_to_string(list_sort(base_labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base_labels, []), coalesce(labels, [])))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)
+"""
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_groups(docs).select("doc_id", "n_shingles", "component_id", "kept")
@@ -104,12 +138,14 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
     "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_source_mix": op6_source_mix,
 }
 ORACLE_SQL = {
+    "op2_license_scan": SQL_LICENSE_SCAN,
     "op4_exact_dedup": SQL_EXACT_DEDUP,
     "op5_decontaminate": SQL_DECONTAMINATE,
     "op6_source_mix": SQL_SOURCE_MIX,

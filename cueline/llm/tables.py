@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The letters that "lower-case A-Z" speaks of.
@@ -14,18 +15,30 @@ ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written once to the shared checkpoint folder, so that later plans start from them.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a folder of this machine is used.
+    Only where that is unset, as in local tests, a folder of this machine is used.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, checkpointed once to the shared folder, so that later plans start from them."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written to the shared folder as Parquet and reread."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -41,8 +54,3 @@ def apart(df: DataFrame, *names: str) -> dict[str, str]:
     for name in names:
         out[name] = next(x for x in (f"_{name}{'_' * i}" for i in range(1, len(taken) + 3)) if x.lower() not in taken)
     return out
-
-
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """``df`` without input columns that the operator's own results are named like."""
-    return df.drop(*names)
