@@ -39,7 +39,7 @@ WIDTH, PERCENT = 5, 75
 #: A pair is not verified if its estimated similarity is so far below the threshold: five times the estimate's standard deviation of 0.038.
 MARGIN = 0.19
 #: Bits of the bitmap that bounds a pair's similarity, and nodes to a block when a bucket is compared.
-BITS, BLOCK = 2048, 2048
+BITS, BLOCK = 2048, 1024
 
 _LOWER, _APART = byte_classes(BLANKS)
 
@@ -166,6 +166,8 @@ def _across(members: DataFrame, percent: int, block: int) -> DataFrame:
         pairs = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), axis=1)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
+    # Else Spark would keep all meetings of a bucket in the one task that the join dealt the bucket to.
+    dealt = dealt.repartition("bucket", "i", "j")
     return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
