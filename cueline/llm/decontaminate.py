@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cueline.llm.hashing import NOT_ALNUM, byte_classes, steps, utf8_view, word_bounds
-from cueline.llm.tables import ALNUM_WORD, lower_ascii, settled
+from cueline.llm.tables import ALNUM_WORD, lower_ascii, settled, small_batches
 
 WINDOW = 10
 #: Characters of normalised benchmark text that one automaton is built from; an item is not divided.
@@ -149,7 +149,7 @@ def _scan(df: DataFrame, text_col: str, items: list[tuple[str, str]], window: in
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *_RESULT])
 
     fields = [f for f in df.schema.fields if f.name in kept]
-    return df.mapInArrow(scan, T.StructType(fields + _FIELDS))
+    return small_batches(df).mapInArrow(scan, T.StructType(fields + _FIELDS))
 
 
 def contamination(

@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cueline.llm.hashing import NOT_ALNUM, byte_classes, mix, steps, utf8_view
+from cueline.llm.hashing import NOT_ALNUM, byte_classes, steps, utf8_view
+from cueline.llm.tables import small_batches
 
 #: N-gram lengths in bytes, and the rows of the table that they are hashed to.
 LENGTHS = (1, 2, 3, 4)
@@ -167,7 +168,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema)
 
     schema = pa.schema([("lang", pa.string()), ("place", pa.float64()), ("piece", pa.int32()), ("rows", pa.binary()), ("shares", pa.binary())])
-    got = chosen.mapInArrow(count, "lang string, place double, piece int, rows binary, shares binary").collect()
+    got = small_batches(chosen).mapInArrow(count, "lang string, place double, piece int, rows binary, shares binary").collect()
     got = sorted((r[1], r[0], r[2], bytes(r[3]), bytes(r[4])) for r in got)
     languages = sorted({r[1] for r in got})
     texts = [(np.frombuffer(r[3], np.int32), np.frombuffer(r[4], np.float32)) for r in got]
@@ -216,7 +217,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep_text: bool
 
     fields = [f for f in df.schema.fields if f.name in kept]
     types = T.StringType(), T.DoubleType(), T.BooleanType()
-    return df.mapInArrow(read, T.StructType(fields + [T.StructField(n, t) for n, t in zip(results, types, strict=True)]))
+    return small_batches(df).mapInArrow(read, T.StructType(fields + [T.StructField(n, t) for n, t in zip(results, types, strict=True)]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from cueline.llm.graph import components
 from cueline.llm.hashing import BLANKS, byte_classes, shingle_hashes, steps, utf8_view, word_bounds, word_hashes
 from cueline.llm.setsketch import BANDS, M, band_keys, jaccard, registers
-from cueline.llm.tables import apart, settled
+from cueline.llm.tables import apart, settled, small_batches
 
 #: Words to a shingle, and the similarity of a link in hundredths.
 WIDTH, PERCENT = 5, 75
@@ -99,7 +99,7 @@ def sketches(rows: DataFrame, width: int = WIDTH) -> DataFrame:
             columns = pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(drawn, pa.binary()), pa.array(marks, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *columns], names=["id", "key", "node", "n_shingles", "registers", "bitmap"])
 
-    return rows.mapInArrow(sketch, f"id {dict(rows.dtypes)['id']}, key long, node long, n_shingles long, registers binary, bitmap binary")
+    return small_batches(rows).mapInArrow(sketch, f"id {dict(rows.dtypes)['id']}, key long, node long, n_shingles long, registers binary, bitmap binary")
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
