@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueline.llm.tables import ALNUM_WORD, apart, lower_ascii
+from cueline.llm.tables import ALNUM_WORD, ANY_CASE_WORD, apart
 
 # The base phrases and the opening words of common notices, with their labels.
 PHRASES = (
@@ -51,7 +51,13 @@ STRIDE = 64
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(ALNUM_WORD), F.lit(0))
+    """Lower-cased words, to be compared with the templates' ASCII words.
+
+    ``lower`` is many times faster than a translation of A-Z. It changes other letters too, which no
+    template has; the one of them that would become ASCII, the Kelvin sign, is put out of its reach.
+    """
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u00aa"))
+    return F.regexp_extract_all(F.lower(plain), F.lit(ALNUM_WORD), F.lit(0))
 
 
 def frequencies(df: DataFrame, text_col: str, vocabulary: Sequence[str]) -> dict[str, int]:
@@ -95,7 +101,8 @@ def license_scan(
     prefix = F.lit(sorted({r[0] for r in rows}))
     index = F.broadcast(df.sparkSession.createDataFrame(rows, "word string, template int, label string, place int, tokens array<string>, least int, phrase array<string>"))
 
-    texts = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), words_of(F.col(text_col)).alias("words")).filter(F.size("words") > 0)
+    texts = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), words_of(F.col(text_col)).alias("words"))
+    texts = texts.filter((F.size("words") > 0) & F.arrays_overlap("words", prefix))
     starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(stride))
     cut = F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice("words", i + 1, F.lit(2 * stride)).alias("words")))
     blocks = texts.select("id", "key", F.explode(cut).alias("block")).select("id", "key", "block.*").filter(F.arrays_overlap("words", prefix))
@@ -123,7 +130,7 @@ def license_scan(
     )
     n = apart(df, "id", "key", "row_key")
     per_text = per_text.withColumnsRenamed({"id": n["id"], "key": n["key"]})
-    keyed = df.withColumns({n["row_key"]: F.xxhash64(text_col), "n_words": F.coalesce(F.regexp_count(lower_ascii(F.col(text_col)), F.lit(ALNUM_WORD)), F.lit(0)).cast("bigint")})
+    keyed = df.withColumns({n["row_key"]: F.xxhash64(text_col), "n_words": F.coalesce(F.regexp_count(F.col(text_col), F.lit(ANY_CASE_WORD)), F.lit(0)).cast("bigint")})
     out = keyed.join(per_text, (F.col(n["row_key"]) == F.col(n["key"])) & F.col(id_col).eqNullSafe(F.col(n["id"])), "left")
     joined = {c: F.coalesce(F.array_join(F.array_sort(c), ","), F.lit("")).alias(c) for c in ("base_labels", "labels")}
     return out.select(
