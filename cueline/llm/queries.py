@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cueline.llm.chat_format import perspectives
 from cueline.llm.decontaminate import contamination
 from cueline.llm.exact_dedup import exact_groups
 from cueline.llm.language_id import held_out, identify
 from cueline.llm.license_scan import NOTICE_SHARE, NOTICES, PHRASES, STRIDE, license_scan
+from cueline.llm.line_dedup import line_counts
 from cueline.llm.mixing import mix_sources
 
 #: Fixed values for the SQL: the letters to lower-case, and words as RE2 patterns.
 SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 from cueline.llm.near_dedup import near_groups
+from cueline.llm.token_counts import piece_scores, token_counts
+from cueline.llm.url_filter import filter_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,6 +140,84 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+#: A public tokenizer's model, whose piece scores op7 takes as unigram scores.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, piece_scores(vocabulary), keep_text=False)
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives(table(spark, sf_dir, "conversations"))
+
+
+SQL_CHAT_FORMAT = """
+WITH turns AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+people AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'),
+rows AS (
+  SELECT t.conv_id, speaker, turn, role, text, role = speaker AS learnt,
+         '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head
+  FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+full_rows AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered FROM rows),
+placed AS (
+  SELECT *, row_number() OVER w - 1 AS place, coalesce(sum(length(rendered)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM full_rows WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, speaker, turn, place, rendered, start, start + length(rendered) AS "end",
+       CASE WHEN learnt THEN start + length(head) END AS masked_from, CASE WHEN learnt THEN start + length(head) + length(text) + 10 END AS masked_to, learnt
+FROM placed
+"""
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# A log of list entries (list, host, path, date, action) over hosts of the test pages.
+URL_LOG = (
+    ("spam", "spam-farm.example.org", None, "2024-01-01", "add"),
+    ("spam", "spam-farm.example.org", None, "2024-05-01", "remove"),
+    ("spam", "spam-farm.example.org", None, "2024-08-15", "add"),
+    ("pharma", "cheap-pills.example.com", None, "2024-03-10", "add"),
+    ("spam", "cheap-pills.example.com", None, "2024-06-01", "add"),
+    ("pharma", "cheap-pills.example.com", None, "2024-11-20", "remove"),
+    ("review", "example.net", "/es/", "2024-02-01", "add"),
+    ("review", "example.net", "/es/", "2024-04-01", "remove"),
+    ("mirror", "ththan.example.net", None, "2024-07-01", "add"),
+    ("mirror", "ththan.example.net", None, "2024-07-01", "remove"),
+    ("mirror", "blog.ththan.example.net", None, "2024-07-01", "add"),
+)
+#: The pages have no fetch time: page k counts as fetched at noon of day k modulo 366 of 2024.
+FETCHED = "timestamp_seconds(1704110400 + page_id % 366 * 86400)"
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(FETCHED).alias("fetched_at"))
+    log = spark.createDataFrame(URL_LOG, "list string, host string, path string, date string, action string")
+    return filter_urls(pages, log).select("page_id", "host", F.array_join("lists", ",").alias("lists"), "blocked")
+
+
+def _sql_value(x: str | None) -> str:
+    return "NULL" if x is None else f"'{x}'"
+
+
+SQL_URL_FILTER = rf"""
+WITH log(list, host, path, day, action) AS (VALUES {", ".join("(" + ", ".join(map(_sql_value, r)) + ")" for r in URL_LOG)}),
+last AS (SELECT list, host, coalesce(path, '/') AS path, day::TIMESTAMP AS since, max(action) AS action FROM log GROUP BY ALL),
+held AS (SELECT *, lead(since) OVER (PARTITION BY list, host, path ORDER BY since) AS until FROM last),
+captures AS (
+  SELECT page_id, nullif(rtrim(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\s]*)', 1)), '.'), '') AS host,
+         coalesce(nullif(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/') AS path,
+         make_timestamp((1704110400 + page_id % 366 * 86400) * 1000000) AS fetched
+  FROM pages),
+hits AS (
+  SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM captures c JOIN held h
+  ON (c.host = h.host OR ends_with(c.host, '.' || h.host)) AND h.action = 'add' AND fetched >= since AND (until IS NULL OR fetched < until) AND starts_with(c.path, h.path)
+  GROUP BY page_id)
+SELECT page_id, host, coalesce(lists, '') AS lists, lists IS NOT NULL AS blocked FROM captures LEFT JOIN hits USING (page_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -143,10 +225,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_source_mix": op6_source_mix,
+    "op7_token_counts": op7_token_counts,
+    "op8_chat_format": op8_chat_format,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 ORACLE_SQL = {
     "op2_license_scan": SQL_LICENSE_SCAN,
     "op4_exact_dedup": SQL_EXACT_DEDUP,
     "op5_decontaminate": SQL_DECONTAMINATE,
     "op6_source_mix": SQL_SOURCE_MIX,
+    "op8_chat_format": SQL_CHAT_FORMAT,
+    "op10_url_filter": SQL_URL_FILTER,
 }
