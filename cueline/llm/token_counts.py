@@ -11,8 +11,8 @@ pieces. Of segmentations of equal score the one of fewer tokens counts. Texts ar
 whole, in tasks; nothing is shuffled. A batch's pre-tokens are a set of bounded size, as
 batches are.
 
-The vocabulary is a file of a public tokenizer, named by the caller; scores are those of
-the file. The driver reads it once and ships pieces and scores.
+The vocabulary is a file of a public tokenizer, named by the caller; the driver reads it once
+and ships pieces and scores. Nothing is trained.
 
 Defined results: null, empty and blank texts have no tokens. Equal texts get equal
 counts. An empty table gives an empty result. Input columns named like a result column
@@ -21,6 +21,7 @@ are replaced.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
@@ -37,16 +38,27 @@ MARK = "▁"
 SPACE = " \t\n\v\f\r"
 #: How far the score of a byte lies below the least piece.
 BELOW = 10.0
+#: The shift of ranks in the Zipf-Mandelbrot law.
+ZIPF_SHIFT = 2.7
 _WORD = re.compile(f"[^{re.escape(SPACE)}]+")
 
 
 def piece_scores(path: str) -> dict[str, float]:
-    """The pieces of a sentencepiece model that stand for text, with their scores."""
+    """The pieces of a sentencepiece model that stand for text, with their unigram log-probabilities.
+
+    A unigram model's scores are that. One made of merges only has ranks; its pieces get the probabilities
+    of the Zipf-Mandelbrot law over their ranks, which sum to 1.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     odd = (model.is_control, model.is_unknown, model.is_unused, model.is_byte)
-    return {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not any(f(i) for f in odd)}
+    scores = {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not any(f(i) for f in odd)}
+    if any(s != round(s) for s in scores.values()):
+        return scores
+    weights = {p: 1 / (rank + ZIPF_SHIFT) for rank, p in enumerate(sorted(scores, key=lambda p: -scores[p]), 1)}
+    total = math.log(sum(weights.values()))
+    return {p: math.log(w) - total for p, w in weights.items()}
 
 
 def forward_counts(words: Iterable[str], scores: Mapping[str, float]) -> dict[str, int]:
