@@ -13,7 +13,7 @@ from cueline.functions import paths, text
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """``dir``, ``name``, ``size`` of the regular files of one folder."""
+    """``dir``, ``name``, ``size`` of the regular files of one folder. Empty files are rows of no Spark source: they count as missing."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
     return found.select(
         F.regexp_replace("path", "/[^/]*$", "").alias("dir"),
