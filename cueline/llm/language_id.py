@@ -41,8 +41,9 @@ SAMPLE, SAMPLE_ALL, HELD_BACK = 1000, 8000, 0.3
 PIECES, PIECE_WORDS = 2, 12
 #: Languages of the sample, at most: the most frequent ones.
 LANGUAGES = 400
-#: Share of rightly classified calibration texts that rejection may cost, and the calibrated score that always is accepted.
-REJECT, SURE = 0.001, 0.5
+#: Share of rightly classified calibration texts that rejection may cost, and how far above a mere guess a calibrated score always
+#: is accepted: a document in two languages scores low for either, and stays.
+REJECT, ABOVE_CHANCE = 0.001, 0.05
 
 _LOWER, _APART = byte_classes("".join(c for c in map(chr, range(128)) if not c.isalpha()))
 _CLEAN = np.where(_APART, ord(" "), _LOWER).astype(np.uint32)
@@ -129,7 +130,7 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 
 
 def calibrate(logits: np.ndarray, labels: np.ndarray, reject: float) -> tuple[float, float]:
-    """The inverse temperature of least log-loss, and the score that all but ``reject`` of the right answers reach."""
+    """The inverse temperature of least log-loss, and the score that all but ``reject`` of the right answers reach, or a guess's score and a little if that is less."""
     if not len(labels):
         return 1.0, 0.0
     scales = np.geomspace(0.05, 4, 60)
@@ -137,7 +138,8 @@ def calibrate(logits: np.ndarray, labels: np.ndarray, reject: float) -> tuple[fl
     scale = float(scales[int(np.argmin(loss))])
     p = _softmax(logits * scale)
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == labels])
-    return scale, min(SURE, float(right[int(len(right) * reject)])) if len(right) else 0.0
+    sure = 1 / logits.shape[1] + ABOVE_CHANCE
+    return scale, min(sure, float(right[int(len(right) * reject)])) if len(right) else 0.0
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, sample: int = SAMPLE, reject: float = REJECT) -> Model:

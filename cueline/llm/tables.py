@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +43,16 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose Arrow batches are small.
+    """``df``, in a session whose Arrow batches are small and whose Python workers find this package.
 
     Whole texts pass through Python workers here. A batch is held several times (by the JVM's
     writer, the worker and the JVM's reader), beside a full heap; 8 MB keep that small. A longer
     text is a batch of its own.
     """
+    # Python workers must find this package. A cluster has it installed or gets it with --py-files; a local session may only have it on the driver's path.
+    here, environment = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
+    if here not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), here]))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return df
