@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueline.llm.tables import settled
+from cueline.llm.tables import apart_from_its_rows, settled
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -19,6 +19,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     least = near.groupBy(F.col("a").alias("hub")).agg(F.min("b").alias("least"))
     if large:
         least = least.withColumn("least", F.least("least", "hub"))
+    least = least.select(apart_from_its_rows("hub"), "least")
+    if large:
         moved = near.filter("b > a").join(least, F.col("a") == F.col("hub")).select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:
         moved = near.join(least, F.col("a") == F.col("hub")).select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -29,7 +31,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the least node of its component) of every linked node but the roots.
 
-    ``links`` has comparable columns ``a`` and ``b``; loops and repeated links do no harm.
+    ``links`` has bigint columns ``a`` and ``b``; loops and repeated links do no harm.
     """
     ahead = F.col("a") > F.col("b")
     links = settled(links.filter("a <> b").select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("b")).distinct())

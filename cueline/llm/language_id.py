@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cueline.llm.hashing import NOT_ALNUM, byte_classes, steps, utf8_view
+from cueline.llm.hashing import byte_classes, steps, utf8_view
 from cueline.llm.tables import small_batches
 
 #: N-gram lengths in bytes, and the rows of the table that they are hashed to.
@@ -36,7 +36,7 @@ LENGTHS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 UNKNOWN = "und"
 #: Labelled texts that are drawn for each language (expected number), those for all languages, and the part that only calibrates.
-SAMPLE, SAMPLE_ALL, HELD_BACK = 1000, 8000, 0.3
+SAMPLE, SAMPLE_ALL, HELD_BACK = 1000, 4000, 0.3
 #: Short runs of words, up to so many, that are learnt beside each whole text of the sample.
 PIECES, PIECE_WORDS = 2, 12
 #: Languages of the sample, at most: the most frequent ones.

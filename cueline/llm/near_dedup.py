@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from cueline.llm.graph import components
 from cueline.llm.hashing import BLANKS, byte_classes, shingle_hashes, steps, utf8_view, word_bounds, word_hashes
 from cueline.llm.setsketch import BANDS, M, band_keys, jaccard, registers
-from cueline.llm.tables import apart, settled, small_batches
+from cueline.llm.tables import apart, apart_from_its_rows, settled, small_batches
 
 #: Words to a shingle, and the similarity of a link in hundredths.
 WIDTH, PERCENT = 5, 75
@@ -138,7 +138,7 @@ def _across(members: DataFrame, percent: int, block: int) -> DataFrame:
     """
     roots = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     sizes = roots.groupBy("bucket").agg(F.max_by("root", "n").alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
-    blocks = sizes.filter("n_all > n_main").select("bucket", "main", F.ceil(F.col("n_main") / block).cast("int").alias("k_main"), F.ceil((F.col("n_all") - F.col("n_main")) / block).cast("int").alias("k_rest"))
+    blocks = sizes.filter("n_all > n_main").select(apart_from_its_rows("bucket"), "main", F.ceil(F.col("n_main") / block).cast("int").alias("k_main"), F.ceil((F.col("n_all") - F.col("n_main")) / block).cast("int").alias("k_rest"))
     main = F.col("root") == F.col("main")
     own = F.pmod(F.xxhash64("node"), F.when(main, F.col("k_main")).otherwise(F.col("k_rest"))).cast("int")
     rows = members.join(blocks, "bucket").withColumn("own", own)
@@ -191,7 +191,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 def _roots(nodes: DataFrame, rows: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """``node`` and ``root`` of every node that is linked to a smaller one."""
     buckets = _buckets(nodes)
-    multi = buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").drop("most")
+    multi = buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select(apart_from_its_rows("bucket"), "least")
     members = settled(buckets.join(multi, "bucket").filter("node <> least"))
 
     star = settled(members.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
@@ -199,7 +199,7 @@ def _roots(nodes: DataFrame, rows: DataFrame, width: int, percent: int, block: i
     some = settled(nodes.join(ends, "node"))
     texts = some.select("node", F.col("id").alias("of")).join(rows, F.col("of").eqNullSafe(F.col("id"))).select("node", "text")
     texts = settled(texts)
-    first, second = (some.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}")) for x in "ab")
+    first, second = (some.select(apart_from_its_rows("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}")) for x in "ab")
     links = settled(_verified(_likely(star.join(first, "a").join(second, "b"), percent), texts, width, percent))
     roots = components(links)
 

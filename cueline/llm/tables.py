@@ -42,6 +42,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def apart_from_its_rows(key: str) -> Column:
+    """The same 64-bit key, as a value that no partitioning is known for.
+
+    A table that was grouped by a key is joined where its groups are; the other side's rows of one hot
+    key then meet in one task. With this key the join shuffles both sides for itself, and Spark
+    splits skewed partitions of such joins.
+    """
+    return F.col(key).bitwiseXOR(F.lit(0)).alias(key)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, in a session whose Arrow batches are small and whose Python workers find this package.
 

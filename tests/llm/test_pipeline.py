@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from cases import lower, prose
+from cases import prose
 from cueline.llm import queries
 from test_decontaminate import brute as leaks
 from test_near_dedup import brute_components
