@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cueline.functions import text
 from cueline.operators import control, loops, media, scan, segments
 from cueline.sources import files, sinks
 
