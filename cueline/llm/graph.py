@@ -16,14 +16,9 @@ from cueline.llm.tables import apart_from_its_rows, settled
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Links each node's neighbours (the larger ones, or the smaller ones and itself) to its least neighbour."""
     near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links
-    least = near.groupBy(F.col("a").alias("hub")).agg(F.min("b").alias("least"))
-    if large:
-        least = least.withColumn("least", F.least("least", "hub"))
-    least = least.select(apart_from_its_rows("hub"), "least")
-    if large:
-        moved = near.filter("b > a").join(least, F.col("a") == F.col("hub")).select(F.col("b").alias("a"), F.col("least").alias("b"))
-    else:
-        moved = near.join(least, F.col("a") == F.col("hub")).select(F.col("b").alias("a"), F.col("least").alias("b"))
+    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")).select(apart_from_its_rows("a").alias("hub"), "least")
+    moved = (near.filter("b > a") if large else near).join(least, F.col("a") == F.col("hub")).select(F.col("b").alias("a"), F.col("least").alias("b"))
+    if not large:
         moved = moved.unionByName(least.select(F.col("hub").alias("a"), F.col("least").alias("b")))
     return moved.filter("a <> b").distinct()
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueline.llm.hashing import BLANKS, byte_classes, mix, steps, utf8_view, word_bounds, word_hashes
-from cueline.llm.tables import BLANK_WORD, apart, settled, small_batches
+from cueline.llm.tables import BLANK_WORD, apart, apart_from_its_rows, settled, small_batches
 
 #: Words that a line needs for a near copy of it to go; shorter lines only go if they are repeated.
 MIN_WORDS = 8
@@ -166,11 +166,11 @@ def _within_one_edit(a: list[str], b: list[str]) -> bool:
 def _near(texts: DataFrame) -> DataFrame:
     """``hash`` of the lines (``id``, ``line_no``, ``hash``, ``line``) that have an earlier line within one edit."""
     keys = _variants(texts)
-    shared = keys.groupBy("key").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).filter("least < most").select("key")
+    shared = keys.groupBy("key").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).filter("least < most").select(apart_from_its_rows("key"))
     members = settled(keys.join(shared, "key").withColumn("place", F.struct("id", "line_no", "hash")))
     # A changed word: all of a group are variants. Else: lines that leave a word out meet the line that is left.
     groups = members.groupBy("key").agg(F.min(F.when(~F.col("own"), F.col("place"))).alias("variant"), F.min(F.when(F.col("own"), F.col("place"))).alias("whole"))
-    joined = members.join(groups, "key")
+    joined = members.join(groups.select(apart_from_its_rows("key"), "variant", "whole"), "key")
     partner = F.when(F.col("own"), F.col("variant")).otherwise(F.coalesce("whole", "variant"))
     pairs = joined.withColumn("partner", partner).filter("partner < place").select("hash", F.col("partner.hash").alias("earlier")).distinct()
     texts = texts.select("hash", "line")
@@ -192,13 +192,13 @@ def line_decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     firsts = lines.groupBy("hash", "check").agg(F.min(place).alias("first"))
 
     halves = lines.select("hash", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).filter("least < most").select("half")
+    shared = halves.groupBy("half").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).filter("least < most").select(apart_from_its_rows("half"))
     partnered = halves.join(shared, "half").select("hash").distinct()
     firsts = settled(firsts)
     wanted = settled(firsts.join(partnered, "hash").select("first.id", "first.line_no", "hash"))
     near = settled(_near(settled(_texts(docs, wanted, broadcast_lines))))
 
-    marked = firsts.join(near.withColumn("near", F.lit(True)), "hash", "left").select("hash", "check", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    marked = firsts.join(near.withColumn("near", F.lit(True)), "hash", "left").select(apart_from_its_rows("hash"), "check", "first", F.coalesce("near", F.lit(False)).alias("near"))
     return lines.select("id", "line_no", "hash", "check").join(marked, ["hash", "check"]).select("id", "line_no", (F.col("first") < place).alias("repeated"), "near")
 
 
