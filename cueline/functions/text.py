@@ -13,8 +13,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters that are trimmed (all that Unicode calls white space, and the four ASCII separators).
-BLANK = r"[\x{1c}-\x{1f}\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# The characters that are trimmed: all that Unicode calls white space, and the four ASCII separators.
+BLANKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
 # A subtitle line, "[mm:ss.xx]text", in decimal digits of any script.
 LRC_LINE = r"(?s)^\[(\p{Nd}{2}):(\p{Nd}{2})\.(\p{Nd}{2,3})\](.+)"
 # Marks that end a sentence, and marks that part clauses.
@@ -25,8 +25,8 @@ AS_ASCII = "".join(str(unicodedata.digit(c)) for c in DIGITS)
 
 
 def strip_all(text: Column) -> Column:
-    """Without leading and trailing white space of any kind (``trim`` takes blanks only)."""
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    """Without leading and trailing white space of any kind (``trim`` alone takes blanks only)."""
+    return F.trim(text, F.lit(BLANKS))
 
 
 def lines_of(content: Column) -> Column:
