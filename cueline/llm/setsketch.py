@@ -31,8 +31,8 @@ def _minima(elements: np.ndarray, owner: np.ndarray, docs: int, reach: np.ndarra
     """
     out = np.full(docs * M, np.inf)
     seed = mix(elements)
-    first = (seed & np.uint64(M - 1)).astype(np.int64)
-    stride = ((seed >> np.uint64(20)) & np.uint64(M - 1) | np.uint64(1)).astype(np.int64)
+    # Four odd or free numbers of 7 bits: an element's own order of the registers.
+    own = [((seed >> np.uint64(k)) & np.uint64(M - 1)).astype(np.int32) for k in (0, 7, 14, 21)]
     live = np.arange(len(elements))
     limit = reach[owner]
     for j in range(M):
@@ -42,10 +42,21 @@ def _minima(elements: np.ndarray, owner: np.ndarray, docs: int, reach: np.ndarra
         place = j + (mix(seed[live] + np.uint64((j + 1) * int(_STEP) % (1 << 64))) >> np.uint64(11)) * 2.0**-53
         hit = place < limit[live]
         at = live[hit]
-        np.minimum.at(out, owner[at] * M + ((first[at] + j * stride[at]) & (M - 1)), place[hit])
+        np.minimum.at(out, owner[at] * M + _register(j, *(x[at] for x in own)), place[hit])
     return out.reshape(docs, M)
 
 
+def _register(j: int, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The register that gets an element's ``j``-th value: a bijection of the 7 bits of ``j``.
+
+    Each step is one; the shifts keep it from being linear, under which the bands of very small sets depend on each other.
+    """
+    r = (a + (2 * b + 1) * j) & (M - 1)
+    r ^= r >> 4
+    r = (r * (2 * c + 1) + d) & (M - 1)
+    return r ^ (r >> 3)
+
+
 def registers(elements: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Registers (documents x M, 16 bits) of sets of 64-bit elements; an empty set has zeros."""
     sizes = np.diff(bounds)

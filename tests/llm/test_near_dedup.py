@@ -10,8 +10,8 @@ import pytest
 from cases import changed, documents, lower, prose
 from cueline.llm.graph import components
 from cueline.llm.hashing import BLANKS, byte_classes, shingle_hashes, word_bounds, word_hashes
-from cueline.llm.near_dedup import near_dedup, near_groups
-from cueline.llm.setsketch import M, jaccard, merge, registers
+from cueline.llm.near_dedup import MARGIN, near_dedup, near_groups
+from cueline.llm.setsketch import M, band_keys, jaccard, merge, registers
 
 
 def shingles(text):
@@ -112,3 +112,15 @@ def test_components(spark):
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert found == {k: 0 for k in range(1, 41)} | {200: 100} | {k: 500 for k in range(501, 540)}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+@pytest.mark.parametrize(("n_a", "n_b", "common"), [(3, 4, 3), (7, 7, 6), (12, 16, 12), (35, 35, 30)])
+def test_bands_recall_sets_at_the_threshold(n_a, n_b, common):
+    """Of pairs of similarity 0.75 hardly any shares no band, and no estimate falls so low that a pair would not be verified."""
+    rng = np.random.default_rng(n_a)
+    k = 20_000
+    pool = rng.integers(0, 1 << 63, (k, n_a + n_b - common), np.uint64)
+    a, b = pool[:, :n_a], np.concatenate([pool[:, :common], pool[:, n_a:]], axis=1)
+    regs_a, regs_b = registers(a.ravel(), np.arange(k + 1) * n_a), registers(b.ravel(), np.arange(k + 1) * n_b)
+    assert (~(band_keys(regs_a) == band_keys(regs_b)).any(axis=1)).sum() <= 2
+    assert jaccard(regs_a, regs_b, np.full(k, float(n_a)), np.full(k, float(n_b))).min() > 0.75 - MARGIN
