@@ -25,6 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,10 +62,22 @@ def piece_scores(path: str) -> dict[str, float]:
     return {p: math.log(w) - total for p, w in weights.items()}
 
 
-def forward_counts(words: Iterable[str], scores: Mapping[str, float]) -> dict[str, int]:
+@dataclass(frozen=True)
+class Vocabulary:
+    """Scores by piece, and None for every proper ending of a piece, so that a search backwards stops where no piece ends so."""
+
+    endings: dict[str, float | None]
+    byte_score: float
+
+    @classmethod
+    def of(cls, scores: Mapping[str, float]) -> Vocabulary:
+        endings: dict[str, float | None] = {p[i:]: None for p in scores for i in range(1, len(p))}
+        return cls(endings | dict(scores), min(scores.values(), default=0.0) - BELOW)
+
+
+def forward_counts(words: Iterable[str], vocabulary: Vocabulary) -> dict[str, int]:
     """Tokens of each word. ``words`` may come in any order; their sorted order walks the trie depth first."""
-    longest = max(map(len, scores), default=1)
-    least = min(scores.values(), default=0.0) - BELOW
+    endings, byte_score = vocabulary.endings, vocabulary.byte_score
     out: dict[str, int] = {}
     before = ""
     # One state per character of the path from the root: the best score and minus the tokens that reach it.
@@ -79,10 +92,12 @@ def forward_counts(words: Iterable[str], scores: Mapping[str, float]) -> dict[st
         for end in range(shared + 1, len(word) + 1):
             n_bytes = len(word[end - 1].encode("utf-8", "surrogatepass"))
             score, tokens = path[end - 1]
-            best = (score + least * n_bytes, tokens - n_bytes)
-            for start in range(max(0, end - longest), end):
-                own = scores.get(word[start:end])
-                if own is not None:
+            best = (score + byte_score * n_bytes, tokens - n_bytes)
+            for start in range(end - 1, -1, -1):
+                ending = word[start:end]
+                if ending not in endings:
+                    break
+                if (own := endings[ending]) is not None:
                     score, tokens = path[start]
                     if (reached := (score + own, tokens - 1)) > best:
                         best = reached
@@ -96,7 +111,7 @@ def token_counts(df: DataFrame, scores: Mapping[str, float], text_col: str = "te
     """Every row of ``df`` with ``n_tokens`` and ``n_pretokens``."""
     df = df.drop("n_tokens", "n_pretokens")
     kept = [c for c in df.columns if keep_text or c != text_col]
-    shipped = df.sparkSession.sparkContext.broadcast(dict(scores))
+    shipped = df.sparkSession.sparkContext.broadcast(Vocabulary.of(scores))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shipped.value

@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 from cases import documents
-from cueline.llm.token_counts import BELOW, MARK, count_by_source, forward_counts, piece_scores, token_counts
+from cueline.llm.token_counts import BELOW, MARK, Vocabulary, count_by_source, forward_counts, piece_scores, token_counts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SCORES = {"▁": -3.0, "▁a": -2.0, "a": -2.5, "b": -2.6, "ab": -4.0, "▁ab": -4.1, "abc": -5.0, "c": -3.0, "ca": -4.5, "é": -6.0}
@@ -36,9 +36,9 @@ def best(word, scores):
 def test_shared_prefixes_give_the_best_segmentations():
     rng = random.Random(1)
     words = {MARK + "".join(rng.choice("abcéx") for _ in range(rng.randrange(7))) for _ in range(300)}
-    found = forward_counts(words, SCORES)
+    found = forward_counts(words, Vocabulary.of(SCORES))
     assert found == {w: best(w, SCORES) for w in words}
-    assert forward_counts([], SCORES) == {} and forward_counts(["€"], SCORES) == {"€": 3}
+    assert forward_counts([], Vocabulary.of(SCORES)) == {} and forward_counts(["€"], Vocabulary.of(SCORES)) == {"€": 3}
 
 
 def test_documents(spark):
@@ -49,7 +49,7 @@ def test_documents(spark):
     assert len(rows) == df.count()
     for r in rows:
         words = re.findall(r"[^ \t\n\v\f\r]+", r["text"] or "")
-        counts = forward_counts([MARK + w for w in words], SCORES)
+        counts = forward_counts([MARK + w for w in words], Vocabulary.of(SCORES))
         assert (r["n_tokens"], r["n_pretokens"]) == (sum(counts[MARK + w] for w in words), len(words))
     assert token_counts(df.limit(0), SCORES).count() == 0
     totals = {r["source"]: r["n_tokens"] for r in count_by_source(found).collect()}
@@ -60,5 +60,5 @@ def test_documents(spark):
 def test_public_vocabulary():
     scores = piece_scores(MODEL)
     assert len(scores) > 30_000 and "▁the" in scores and "<s>" not in scores
-    found = forward_counts(["▁the", "▁thermal", "▁the世"], scores)
+    found = forward_counts(["▁the", "▁thermal", "▁the世"], Vocabulary.of(scores))
     assert found["▁the"] == 1 and all(n >= 1 for n in found.values())
