@@ -43,9 +43,8 @@ def perspectives(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
         F.coalesce(F.col(role_col), F.lit(UNKNOWN)).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     ).withColumn("run", F.coalesce(F.floor(F.col("turn") / run), F.lit(-(1 << 62))))  # null numbers come first
-    people = turns.filter(F.col("role") != SYSTEM).groupBy("conv_id").agg(F.collect_set("role").alias("speakers"))
-    seen = turns.join(people, turns["conv_id"].eqNullSafe(people["conv_id"])).drop(people["conv_id"])
-    rows = seen.withColumn("speaker", F.explode("speakers")).drop("speakers")
+    people = turns.filter(F.col("role") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("role").alias("speaker")).distinct()
+    rows = turns.join(people, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
 
     own = F.col("role") == F.col("speaker")
     head = F.when(own, F.lit(ASSISTANT)).when(F.col("role") == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit(f"{USER} name="), F.col("role")))
