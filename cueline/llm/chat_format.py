@@ -43,23 +43,23 @@ def perspectives(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
         F.coalesce(F.col(role_col), F.lit(UNKNOWN)).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     ).withColumn("run", F.coalesce(F.floor(F.col("turn") / run), F.lit(-(1 << 62))))  # null numbers come first
-    people = turns.filter(F.col("role") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("role").alias("speaker")).distinct()
-    rows = turns.join(people, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+    # Conversations may have a null id, which joins must treat as one.
+    turns = turns.withColumn("conv", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("-")))
+    people = turns.filter(F.col("role") != SYSTEM).select("conv", F.col("role").alias("speaker")).distinct()
+    rows = turns.join(people, "conv")
 
     own = F.col("role") == F.col("speaker")
     head = F.when(own, F.lit(ASSISTANT)).when(F.col("role") == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit(f"{USER} name="), F.col("role")))
     rows = rows.withColumn("head", F.concat(F.lit(OPEN), head, F.lit("\n"))).withColumn("rendered", F.concat("head", "text", F.lit(f"{CLOSE}\n")))
 
-    # Conversations may have a null id, which joins and windows must treat as one.
-    by = ["conv_id", "speaker"]
+    by = ["conv", "speaker"]
     runs = settled(rows.groupBy(*by, "run").agg(F.sum(F.length("rendered")).alias("chars"), F.count("*").alias("n")))
     earlier = Window.partitionBy(*by).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     before = {"char_base": F.coalesce(F.sum("chars").over(earlier), F.lit(0)), "place_base": F.coalesce(F.sum("n").over(earlier), F.lit(0))}
-    runs = runs.withColumns(before).select(*(F.col(c).alias(f"{c}_") for c in [*by, "run"]), "char_base", "place_base")
     within = Window.partitionBy(*by, "run").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({"start": F.coalesce(F.sum(F.length("rendered")).over(within), F.lit(0)), "place": F.count("*").over(within)})
-    same = F.col("conv_id").eqNullSafe(F.col("conv_id_")) & (F.col("speaker") == F.col("speaker_")) & (F.col("run") == F.col("run_"))
-    rows = rows.join(runs, same).withColumns({"start": F.col("start") + F.col("char_base"), "place": F.col("place") + F.col("place_base")})
+    rows = rows.join(runs.withColumns(before).drop("chars", "n"), [*by, "run"])
+    rows = rows.withColumns({"start": F.col("start") + F.col("char_base"), "place": F.col("place") + F.col("place_base")})
     masked_from = F.col("start") + F.length("head")
     return rows.select(
         "conv_id", "speaker", "turn", "place", "rendered", "start",
