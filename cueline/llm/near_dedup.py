@@ -39,7 +39,7 @@ WIDTH, PERCENT = 5, 75
 #: A pair is not verified if its estimated similarity is so far below the threshold: five times the estimate's standard deviation of 0.038.
 MARGIN = 0.19
 #: Bits of the bitmap that bounds a pair's similarity, and nodes to a block when a bucket is compared.
-BITS, BLOCK = 2048, 1024
+BITS, BLOCK = 2048, 512
 
 _LOWER, _APART = byte_classes(BLANKS)
 
