@@ -130,9 +130,8 @@ def split_levels(rows: DataFrame, accepted: int, key: str = "item_id", column: s
             path = F.concat(above, F.array(i))
             if depth == DEPTH:
                 return leaf(piece, path, depth)
-            # The pieces' pieces are bound to a name, so that they are made once.
-            made = F.array(F.when(longest_sentence(piece) > accepted, text.split_long_text(piece, *split_limits(depth + 1))).otherwise(F.array(piece)))
-            return F.flatten(F.transform(made, lambda more: F.when(F.size(more) > 1, leaves(more, path, depth + 1)).otherwise(leaf(piece, path, depth))))
+            made = F.when(longest_sentence(piece) > accepted, text.split_long_text(piece, *split_limits(depth + 1)))
+            return text.bound(made, lambda more: F.when(F.size(more) > 1, leaves(more, path, depth + 1)).otherwise(leaf(piece, path, depth)))
 
         return F.flatten(F.transform(pieces, one))
 

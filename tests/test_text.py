@@ -82,7 +82,7 @@ def split_long(t, target, weak):
 
 def test_split_long_text(spark):
     rng = random.Random(3)
-    rows = ["", "  ", "。。", "a" * 170, "x" * 50 + "." + "y" * 50, "a、" * 60, "Hello. " * 20, "短い。" * 30 + "long without any mark " * 9]
+    rows = ["", "  ", "。。", "bar\x01 in. it; twice\x01!", "run?!.\n。 end", "a\n.\nb" * 30, "a" * 170, "x" * 50 + "." + "y" * 50, "a、" * 60, "Hello. " * 20, "短い。" * 30 + "long without any mark " * 9]
     rows += ["".join(rng.choice("ab c。.!,、，；\n 　") if rng.random() < 0.3 else rng.choice("abcdef") for _ in range(rng.randrange(400))) for _ in range(150)]
     for target, weak in ((80, 50), (40, 25), (20, 15)):
         got = [r[0] for r in values(spark, rows, "string", text.split_long_text(F.col("x"), target, weak))]
