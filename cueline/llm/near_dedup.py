@@ -9,7 +9,8 @@
    In the others, nodes of different components are compared block by block, by a bitmap that
    bounds their similarity from above, and what remains is verified too. So no
    pair of a bucket is left out, whatever the bucket's size, and pairs inside a component,
-   which a large group of near copies would have many of, are never formed.
+   which a large group of near copies would have many of, are never formed. (A bucket of n nodes that
+   no links hold together is the worst case: all its blocks meet, n * n / ``BLOCK`` rows.)
 
 Two sets of similarity 0.75 share no bucket about 5 times in a million.
 
@@ -219,7 +220,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     roots = settled(_roots(nodes, rows.select("id", "text"), width, percent, block))
 
     of = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = of.groupBy("root").agg(F.min("id").alias("component_id"))
+    least = of.groupBy("root").agg(F.min("id").alias("component_id")).select(apart_from_its_rows("root"), "component_id")
     groups = of.select("node", "root").join(least, "root").drop("root")
     found = drawn.select("id", "key", "node", "n_shingles").distinct().join(groups, "node", "left")
     n = apart(df, "id", "key", "row_key")
