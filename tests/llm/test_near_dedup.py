@@ -52,7 +52,7 @@ def test_matches_brute_force(spark):
     check(spark, documents(spark))
 
 
-@pytest.mark.parametrize("block", [3, 1024])
+@pytest.mark.parametrize("block", [16, 1024])
 def test_group_of_near_copies_that_no_star_settles(spark, block):
     """Copies of copies: many that share a bucket with the least one are linked to others only."""
     rng = random.Random(5)
