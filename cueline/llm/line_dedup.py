@@ -17,8 +17,10 @@ A very common line counts once, and a key that a third of all lines share is com
 the tasks before it is shuffled.
 
 Defined results: a null text has no lines; a blank line has no words, is not counted and
-stays. Rows of equal id and text share their decisions. A null id is earlier than any other. An
-empty table gives an empty result. Input columns named like a result column are replaced.
+stays. A row is known by its id and its text's hash: rows of equal id and text share their
+decisions, rows of equal id and different texts are told apart, and of their lines of one number the one of the
+smaller hash is earlier. A null id is earlier than any other. An empty table gives an empty result. Input columns
+named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -78,12 +80,12 @@ def _run(sums: tuple[np.ndarray, np.ndarray, np.ndarray], low: np.ndarray, high:
 
 
 def line_keys(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``id``, ``line_no``, ``hash`` and ``check`` (128 bits together) and ``halves`` (keys) of every line with words (``id``, ``text``)."""
+    """``id``, ``key``, ``line_no``, ``hash`` and ``check`` (128 bits together) and ``halves`` (keys) of every line with words (``id``, ``key``, ``text``)."""
 
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8_view(batch.column("text"))
-            ids = batch.column("id")
+            ids, row_keys = batch.column("id"), batch.column("key")
             for a, b in steps(offsets):
                 words, at, doc, number = _line_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 low, high = at[:-1], at[1:]
@@ -100,25 +102,27 @@ def line_keys(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     halves.append(mix(_run(sums, high[long_] - half, high[long_]) ^ _salted(m, 2)))
                 bounds = np.zeros(len(n) + 1, np.int32)
                 bounds[1:] = np.cumsum(np.where(n >= min_words, 4, 0))
+                row = pa.array(doc + a)
                 columns = (
-                    ids.take(pa.array(doc + a)),
+                    ids.take(row),
+                    row_keys.take(row),
                     pa.array(number.astype(np.int32)),
                     pa.array(mix(whole ^ _salted(n, 0)).view(np.int64)),
                     pa.array(mix(check).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.stack(halves, 1).ravel().view(np.int64))),
                 )
-                yield pa.RecordBatch.from_arrays(list(columns), names=["id", "line_no", "hash", "check", "halves"])
+                yield pa.RecordBatch.from_arrays(list(columns), names=["id", "key", "line_no", "hash", "check", "halves"])
 
-    return small_batches(df).mapInArrow(keys, f"id {dict(df.dtypes)['id']}, line_no int, hash long, check long, halves array<long>")
+    return small_batches(df).mapInArrow(keys, f"id {dict(df.dtypes)['id']}, key long, line_no int, hash long, check long, halves array<long>")
 
 
 def _texts(df: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
-    """``wanted`` lines (``id``, ``line_no``, ``hash``) with their ``line``."""
-    per_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("line_no", "hash")).alias("wanted"))
-    per_doc = per_doc.select(F.col("id").alias("of"), "wanted")
+    """``wanted`` lines (``id``, ``key``, ``line_no``, ``hash``) with their ``line``."""
+    per_doc = wanted.groupBy("id", "key").agg(F.collect_list(F.struct("line_no", "hash")).alias("wanted"))
+    per_doc = per_doc.select(F.col("id").alias("of"), "key", "wanted")
     per_doc = F.broadcast(per_doc) if wanted.count() <= most else per_doc
     lines = F.split("text", "\n", -1)
-    found = df.join(per_doc, F.col("id").eqNullSafe(F.col("of"))).withColumn("lines", lines)
+    found = df.join(per_doc, (df["key"] == per_doc["key"]) & F.col("id").eqNullSafe(F.col("of"))).withColumn("lines", lines)
     found = found.select("id", "lines", F.explode("wanted").alias("w"))
     return found.select("id", "w.line_no", "w.hash", F.get("lines", F.col("w.line_no")).alias("line")).filter("line IS NOT NULL")
 
@@ -184,44 +188,54 @@ def _near(texts: DataFrame) -> DataFrame:
     return sides.select("hash", "line", "earlier_line").mapInArrow(verify, "hash long").distinct()
 
 
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+
+
 def line_decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """``id``, ``line_no`` (from 0, blank lines count), ``repeated`` and ``near`` of every line with words; either sends it away."""
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """``id``, ``key`` (the text's hash), ``line_no`` (from 0, blank lines count), ``repeated`` and ``near`` of every line with words; either sends it away."""
+    docs = _keyed(df, id_col, text_col)
     lines = settled(line_keys(docs, min_words))
-    place = F.struct("id", "line_no")
+    place = F.struct("id", "line_no", "key")
     firsts = lines.groupBy("hash", "check").agg(F.min(place).alias("first"))
 
     halves = lines.select("hash", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).filter("least < most").select(apart_from_its_rows("half"))
     partnered = halves.join(shared, "half").select("hash").distinct()
     firsts = settled(firsts)
-    wanted = settled(firsts.join(partnered, "hash").select("first.id", "first.line_no", "hash"))
+    wanted = settled(firsts.join(partnered, "hash").select("first.id", "first.key", "first.line_no", "hash"))
     near = settled(_near(settled(_texts(docs, wanted, broadcast_lines))))
 
     marked = firsts.join(near.withColumn("near", F.lit(True)), "hash", "left").select(apart_from_its_rows("hash"), "check", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    return lines.select("id", "line_no", "hash", "check").join(marked, ["hash", "check"]).select("id", "line_no", (F.col("first") < place).alias("repeated"), "near")
+    return lines.select("id", "key", "line_no", "hash", "check").join(marked, ["hash", "check"]).select("id", "key", "line_no", (F.col("first") < place).alias("repeated"), "near")
 
 
-def line_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """Per id: ``n_lines`` (with words), ``n_repeated``, ``n_near`` (of those not repeated) and ``dropped``, the numbers of the lines that go."""
+def _counts(df: DataFrame, id_col: str, text_col: str, **options: object) -> DataFrame:
+    """``of``, ``of_key`` and the results of :func:`line_counts` of every distinct row."""
     found = line_decisions(df, id_col, text_col, **options).distinct()
     gone = F.col("repeated") | F.col("near")
-    counts = found.groupBy("id").agg(
+    counts = found.groupBy("id", "key").agg(
         F.count("*").alias("n_lines"),
         F.count_if("repeated").alias("n_repeated"),
         F.count_if(~F.col("repeated") & F.col("near")).alias("n_near"),
         F.array_sort(F.collect_list(F.when(gone, F.col("line_no")))).alias("dropped"),
     )
-    ids = df.select(F.col(id_col).alias("of")).distinct()
-    out = ids.join(counts, F.col("of").eqNullSafe(F.col("id")), "left")
+    rows = df.select(F.col(id_col).alias("of"), F.xxhash64(text_col).alias("of_key")).distinct()
+    out = rows.join(counts, (F.col("of_key") == F.col("key")) & F.col("of").eqNullSafe(F.col("id")), "left")
     none = F.array().cast("array<int>")
-    return out.select(F.col("of").alias(id_col), *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_lines", "n_repeated", "n_near")), F.coalesce("dropped", none).alias("dropped"))
+    return out.select("of", "of_key", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_lines", "n_repeated", "n_near")), F.coalesce("dropped", none).alias("dropped"))
+
+
+def line_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """Per id and text: the id, ``n_lines`` (with words), ``n_repeated``, ``n_near`` (of those not repeated) and ``dropped``, the numbers of the lines that go."""
+    return _counts(df, id_col, text_col, **options).select(F.col("of").alias(id_col), "n_lines", "n_repeated", "n_near", "dropped")
 
 
 def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """``df`` without the lines that go; a null text stays null."""
-    n = apart(df, "of", "dropped")
-    counts = line_counts(df, id_col, text_col, **options).select(F.col(id_col).alias(n["of"]), F.col("dropped").alias(n["dropped"]))
-    joined = df.join(counts, F.col(id_col).eqNullSafe(F.col(n["of"])))
+    n = apart(df, "of", "of_key", "dropped", "row_key")
+    counts = _counts(df, id_col, text_col, **options).select(*(F.col(c).alias(n[c]) for c in ("of", "of_key", "dropped")))
+    keyed = df.withColumn(n["row_key"], F.xxhash64(text_col))
+    joined = keyed.join(counts, (F.col(n["row_key"]) == F.col(n["of_key"])) & F.col(id_col).eqNullSafe(F.col(n["of"])))
     kept = F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains(n["dropped"], i))
     return joined.withColumn(text_col, F.array_join(kept, "\n")).select(*df.columns)

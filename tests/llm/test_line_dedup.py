@@ -85,3 +85,15 @@ def test_empty(spark):
     assert line_counts(df.limit(0)).count() == 0
     rows = line_counts(df.filter("text IS NULL")).collect()
     assert rows and all((r["n_lines"], list(r["dropped"])) == (0, []) for r in rows)
+
+
+def test_rows_of_one_id_and_different_texts(spark):
+    """Each keeps its own lines: what is a copy in one row is not taken from the other's line of that number."""
+    line = "one two three four five six seven eight nine"
+    rows = [(1, f"{line}\nfirst row only"), (1, f"second row only\n{line} ten"), (2, f"{line}\n{line} ten"), (None, "of no id\nfirst row only"), (None, None), (None, "another of no id")]
+    df = spark.createDataFrame([*rows, rows[1]], "doc_id bigint, text string")
+    for bound in (10_000, 0):
+        cleaned = sorted(((r["doc_id"] is None, r["doc_id"], r["text"]) for r in drop_lines(df, broadcast_lines=bound).collect()), key=str)
+        want = [(1, line), (1, "second row only"), (1, "second row only"), (2, ""), (None, "of no id\nfirst row only"), (None, None), (None, "another of no id")]
+        assert cleaned == sorted(((d is None, d, t) for d, t in want), key=str)
+    assert line_counts(df).count() == 6
