@@ -198,7 +198,7 @@ def _roots(nodes: DataFrame, rows: DataFrame, width: int, percent: int, block: i
     star = settled(members.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
     ends = star.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     some = settled(nodes.join(ends, "node"))
-    texts = some.select("node", F.col("id").alias("of")).join(rows, F.col("of").eqNullSafe(F.col("id"))).select("node", "text")
+    texts = some.select("node", F.col("id").alias("of"), F.col("key").alias("of_key")).join(rows, (F.col("of_key") == F.col("key")) & F.col("of").eqNullSafe(F.col("id"))).select("node", "text")
     texts = settled(texts)
     first, second = (some.select(apart_from_its_rows("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}")) for x in "ab")
     links = settled(_verified(_likely(star.join(first, "a").join(second, "b"), percent), texts, width, percent))
@@ -215,9 +215,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     df = df.drop("n_shingles", "component_id", "kept")
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     drawn = settled(sketches(rows, width))
-    nodes = drawn.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "registers", "bitmap")))
-    nodes = settled(nodes)
-    roots = settled(_roots(nodes, rows.select("id", "text"), width, percent, block))
+    # A node's text is that of one row, told by its id and text, so that many rows of one id (or of none) don't all meet.
+    one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("row")
+    nodes = drawn.filter("node IS NOT NULL").groupBy("node").agg(one, *(F.first(c).alias(c) for c in ("n_shingles", "registers", "bitmap")))
+    nodes = settled(nodes.select("node", "row.id", "row.key", "n_shingles", "registers", "bitmap"))
+    roots = settled(_roots(nodes, rows, width, percent, block))
 
     of = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("id").alias("component_id")).select(apart_from_its_rows("root"), "component_id")

@@ -124,3 +124,15 @@ def test_bands_recall_sets_at_the_threshold(n_a, n_b, common):
     regs_a, regs_b = registers(a.ravel(), np.arange(k + 1) * n_a), registers(b.ravel(), np.arange(k + 1) * n_b)
     assert (~(band_keys(regs_a) == band_keys(regs_b)).any(axis=1)).sum() <= 2
     assert jaccard(regs_a, regs_b, np.full(k, float(n_a)), np.full(k, float(n_b))).min() > 0.75 - MARGIN
+
+
+def test_rows_of_one_id_and_different_texts(spark):
+    """Each row is judged by its own text; a null id is larger than any other."""
+    rng = random.Random(11)
+    own = [prose(rng, "en", 80) for _ in range(3)]
+    near = [t + " and more" for t in own]
+    rows = [(1, own[0]), (1, own[1]), (2, near[1]), (None, own[2]), (None, near[0]), (3, near[2]), (None, "alone"), (None, "apart")]
+    found = near_groups(spark.createDataFrame([*rows, rows[0]], "doc_id bigint, text string")).collect()
+    want = {(1, own[0]): 1, (1, own[1]): 1, (2, near[1]): 1, (None, own[2]): 3, (None, near[0]): 1, (3, near[2]): 3, (None, "alone"): None, (None, "apart"): None}
+    assert len(found) == 9 and {(r["doc_id"], r["text"]): r["component_id"] for r in found} == want
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
