@@ -11,9 +11,11 @@ from cueline.sources import files, sinks
 
 def item_segments(spark: SparkSession, folder: str, items: DataFrame, delimiter: str = "|||", strategy: str = "last") -> DataFrame:
     """Segments of all items: cues of paired subtitles and lines of texts. ``item_id`` is the results' stem."""
-    contents = files.text_files(spark, f"{folder}/*.lrc", f"{folder}/*.[tT][xX][tT]").withColumn("name", F.regexp_extract("item_id", "([^/]*)$", 1)).drop("item_id")
-    sources = items.select(F.col("stem").alias("item_id"), "mode", F.coalesce("lrc", "text").alias("name"))
-    lines = files.numbered_lines(sources.join(contents, "name").select(F.struct("item_id", "mode").alias("item"), "content"), "item")
+    # One load of the folder with a filter of names: a location that matches no file would be an error, and sound is not to be read.
+    contents = files.text_files(spark, folder, names="*.{lrc,[tT][xX][tT]}")
+    contents = contents.select(F.regexp_replace("item_id", "/[^/]*$", "").alias("dir"), F.regexp_extract("item_id", "([^/]*)$", 1).alias("name"), "content")
+    sources = items.select("dir", F.col("stem").alias("item_id"), "mode", F.coalesce("lrc", "text").alias("name"))
+    lines = files.numbered_lines(sources.join(contents, ["dir", "name"]).select(F.struct("item_id", "mode").alias("item"), "content"), "item")
     lines = lines.select("item.item_id", "item.mode", "line_no", "line")
     cues = segments.cues(lines.filter("mode = 'audio'"), delimiter, strategy)
     texts = files.without_comments(lines.filter("mode = 'text'"))

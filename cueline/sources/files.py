@@ -28,9 +28,9 @@ def media_listing(files: DataFrame) -> DataFrame:
     return files.filter(paths.extension(F.col("name")).isin(*known)).orderBy("dir", "name")
 
 
-def text_files(spark: SparkSession, *locations: str) -> DataFrame:
-    """``item_id`` (the path) and ``content`` of whole files."""
-    read = spark.read.format("binaryFile").load(list(locations))
+def text_files(spark: SparkSession, *locations: str, names: str = "*") -> DataFrame:
+    """``item_id`` (the path) and ``content`` of whole files whose names match the glob ``names``; no others are read, and none need match."""
+    read = spark.read.format("binaryFile").option("pathGlobFilter", names).load(list(locations))
     return read.select(F.col("path").alias("item_id"), F.decode("content", "UTF-8").alias("content"))
 
 

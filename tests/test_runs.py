@@ -7,6 +7,7 @@ import struct
 import wave
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cueline.operators import settings
@@ -63,3 +64,19 @@ def test_folder_run(spark, tmp_path):
     assert sorted(p.name for p in out.iterdir()) == ["a_echo.lrc", "b_echo.lrc"]
     assert (out / "a_echo.lrc").read_text().splitlines()[:3] == ["[00:00.00]un|||one", "[00:03.58]un|||one", "[00:07.16]deux|||two"]
     assert lines.count() == 6
+
+
+@pytest.mark.parametrize(
+    ("names", "want"),
+    [
+        (("a.mp3", "a.lrc"), {"a.mp3": ("succeeded", 1)}),
+        (("b.txt", "c.TXT"), {"b.txt": ("succeeded", 1), "c.TXT": ("succeeded", 1)}),
+        (("lonely.mp3",), {}),
+    ],
+)
+def test_folder_of_one_kind(spark, tmp_path, names, want):
+    for name in names:
+        (tmp_path / name).write_text({"lrc": "[00:01.00]un|||one\n", "mp3": "x"}.get(name[-3:], "x|||y\n"))
+    lines, outcomes = run_folder(spark, str(tmp_path))
+    assert {r["item"]: (r["status"], r["n_segments"]) for r in outcomes.collect()} == want
+    assert lines.count() == len(want)
