@@ -41,9 +41,9 @@ SAMPLE, SAMPLE_ALL, HELD_BACK = 1000, 4000, 0.3
 PIECES, PIECE_WORDS = 2, 12
 #: Languages of the sample, at most: the most frequent ones.
 LANGUAGES = 400
-#: Share of rightly classified calibration texts that rejection may cost, and how far above a mere guess a calibrated score always
-#: is accepted: a document in two languages scores low for either, and stays.
-REJECT, ABOVE_CHANCE = 0.001, 0.05
+#: Share of the calibration texts that rejection may cost, and how many texts in two languages are made of each: such a
+#: document scores low for either, and stays.
+REJECT, MIXES = 0.001, 10
 
 _LOWER, _APART = byte_classes("".join(c for c in map(chr, range(128)) if not c.isalpha()))
 _CLEAN = np.where(_APART, ord(" "), _LOWER).astype(np.uint32)
@@ -129,17 +129,30 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _mixed_scores(logits: np.ndarray, labels: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Scores of texts that are one held-back text and another of a different language, at any share of the whole.
+
+    A text's logits are means over its subwords, so those of two runs are the weighted mean of the runs' own.
+    """
+    rng = np.random.default_rng(seed)
+    a = np.repeat(np.arange(len(labels)), MIXES)
+    b, share = rng.integers(0, len(labels), len(a)), rng.random(len(a))[:, None]
+    found, step = [np.zeros(0)], max(1, (1 << 22) // logits.shape[1])
+    for rows in np.split(np.flatnonzero(labels[a] != labels[b]), range(step, len(a), step)):
+        found.append(_softmax(share[rows] * logits[a[rows]] + (1 - share[rows]) * logits[b[rows]]).max(axis=1, initial=0))
+    return np.concatenate(found)
+
+
 def calibrate(logits: np.ndarray, labels: np.ndarray, reject: float) -> tuple[float, float]:
-    """The inverse temperature of least log-loss, and the score that all but ``reject`` of the right answers reach, or a guess's score and a little if that is less."""
+    """The inverse temperature of least log-loss, and the score that all but ``reject`` of the right answers reach, and of the texts in two languages."""
     if not len(labels):
         return 1.0, 0.0
     scales = np.geomspace(0.05, 4, 60)
     loss = [-np.log(np.maximum(_softmax(logits * s)[np.arange(len(labels)), labels], 1e-9)).mean() for s in scales]
     scale = float(scales[int(np.argmin(loss))])
     p = _softmax(logits * scale)
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == labels])
-    sure = 1 / logits.shape[1] + ABOVE_CHANCE
-    return scale, min(sure, float(right[int(len(right) * reject)])) if len(right) else 0.0
+    accepted = np.sort(p.max(axis=1)[p.argmax(axis=1) == labels]), np.sort(_mixed_scores(logits * scale, labels))
+    return scale, min((float(x[int(len(x) * reject)]) for x in accepted if len(x)), default=0.0)
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, sample: int = SAMPLE, reject: float = REJECT) -> Model:

@@ -81,3 +81,17 @@ def test_calibration():
     scale, least = calibrate(logits * 5, labels, 0.001)
     assert 0.1 < scale < 0.7 and 0 < least <= 0.5
     assert calibrate(np.zeros((0, 3)), np.zeros(0, int), 0.1) == (1.0, 0.0)
+
+
+def test_other_languages_go_and_mixed_texts_stay(spark):
+    """The held-back texts alone set the score; no constant keeps it near a guess."""
+    df = labelled(spark)
+    model = fit(df, learn=~held_out())
+    own = {lang: [r["text"] for r in df.filter(held_out() & (F.col("lang") == lang)).orderBy("doc_id").collect()] for lang in ("en", "de", "fr")}
+    mixed = [f"{x} {y}" for a, b in (("en", "de"), ("de", "fr"), ("fr", "en")) for x, y in zip(own[a], own[b], strict=False)]
+    other = ["το κορίτσι κάθεται στο παράθυρο και κοιτάζει το δρόμο"]
+    rows = spark.createDataFrame(list(enumerate([*mixed, *other])), "doc_id bigint, text string")
+    found = {r["doc_id"]: (r["score"], r["rejected"]) for r in predict(rows, model).collect()}
+    assert len(mixed) > 90 and not any(found[i][1] for i in range(len(mixed)))
+    score, gone = found[len(mixed)]
+    assert gone and score > 1 / 3 + 0.05
