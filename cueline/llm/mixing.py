@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueline.llm.tables import apart, settled, word_count
+from cueline.llm.tables import BLANKS_CLASS, apart, settled, word_count
 
 WEIGHTS = (5, 2, 1)
 #: Words to take as a share of all there are, and the most times that a source is repeated.
@@ -111,11 +111,16 @@ def mixture(df: DataFrame, **options: object) -> DataFrame:
     """The mix itself: a row for each time that a document is taken.
 
     ``epoch`` counts from 0, ``words`` are those taken then (the whole document but for one on the
-    cut); documents of which nothing is taken are left out.
+    cut); ``cut_text`` is null but on the cut, where it is the text up to the last word taken and stands for
+    the text. Documents of which nothing is taken are left out.
     """
     mixed = mix_sources(df, **options)
-    df = df.drop("epoch", "words")
+    text = F.col(options.get("text_col", "text"))
+    df = df.drop("epoch", "words", "cut_text")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
     rows = mixed.filter("taken > 0").drop("epoch").withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
     words = F.least(F.col("size"), F.col("taken") - F.col("epoch") * F.col("size"))
-    return rows.select(*df.columns, *(c for c in ("size", "source_size", "target", "taken") if c not in df.columns), "epoch", words.alias("words"))
+    # Parted at the end of each word, so that the parts are the text.
+    parts = F.split(text, f"(?<=[^{BLANKS_CLASS}])(?=[{BLANKS_CLASS}])", (words + 1).cast("int"))
+    cut = F.when(words < F.col("size"), F.array_join(F.slice(parts, 1, words.cast("int")), ""))
+    return rows.select(*df.columns, *(c for c in ("size", "source_size", "target", "taken") if c not in df.columns), "epoch", words.alias("words"), cut.alias("cut_text"))

@@ -28,6 +28,8 @@ _ASCII = [chr(i) for i in range(128)]
 ALNUM_WORD = _none_of("".join(c for c in _ASCII if not (c.isdigit() or c.islower())))
 ANY_CASE_WORD = _none_of("".join(c for c in _ASCII if not c.isalnum()))
 BLANK_WORD = _none_of(" \t\n\v\f\r")
+#: The blanks that part words, as members of a character class.
+BLANKS_CLASS = BLANK_WORD.removeprefix("[^").removesuffix("]+")
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -62,6 +62,21 @@ def test_mixture_repeats_documents(spark):
             assert sorted(r["epoch"] for r in own) == list(range(len(own)))
 
 
+def test_texts_of_the_mix_follow_its_words(spark):
+    """On the cut, ``cut_text`` holds the words taken and no more, with their blanks; so a source's texts have its target's words."""
+    rows = [(i, "\n  a\tb \v c\r\nd " + " é" * (i % 5) + "\x0b", f"s{i % 2}") for i in range(11)] + [(20, " x " * 60, "s2")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("cut_text", F.lit("old"))
+    takes = mixture(df, weights=(3, 2, 1), share=0.5).collect()
+    cut = [r for r in takes if r["cut_text"] is not None]
+    assert len(cut) > 1 and any(r["source"] == "s2" for r in cut)
+    words = defaultdict(int)
+    for r in takes:
+        text = r["text"] if r["cut_text"] is None else r["cut_text"]
+        assert size(text) == r["words"] and r["text"].startswith(text) and (r["cut_text"] is not None) == (r["words"] < r["size"])
+        words[r["source"]] += size(text)
+    assert words == {r["source"]: math.floor(r["target"] + 1e-9) for r in takes}
+
+
 def test_numbered(spark):
     df = spark.createDataFrame([(f"{(i * 7919) % 1000:04d}",) for i in range(1000)], "s string").repartition(7)
     rows = numbered(df, F.col("s").asc(), "at").orderBy("s").collect()
