@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueline.functions import paths, text
@@ -83,8 +83,13 @@ def clip_lengths(wanted: DataFrame, clips: DataFrame, keys: tuple[str, ...] = ("
 
 def fallback_summary(lengths: DataFrame, group: str, idx: str = "idx", shown: int = 8) -> DataFrame:
     """Per group with silent gaps: ``n_fallback``, ``total`` and the first indices with how many more."""
-    counts = lengths.groupBy(group).agg(F.count_if("fallback").alias("n_fallback"), F.count("*").alias("total"), F.array_sort(F.collect_list(F.when(F.col("fallback"), F.col(idx)))).alias("_at"))
-    first = F.array_join(F.transform(F.slice("_at", 1, shown), lambda i: i.cast("string")), ", ")
+    counts = lengths.groupBy(group).agg(F.count_if("fallback").alias("n_fallback"), F.count("*").alias("total"))
+    # The tasks keep the first of each group before they shuffle, so that no task or row gets all of a large group.
+    place = F.row_number().over(Window.partitionBy(group).orderBy(idx))
+    firsts = lengths.filter(F.col("fallback") & F.col(idx).isNotNull()).select(group, idx).withColumn("_place", place).filter(F.col("_place") <= shown)
+    firsts = firsts.groupBy(F.col(group).alias("_of")).agg(F.array_sort(F.collect_list(idx)).alias("_at"))
+    counts = counts.join(firsts, F.col(group).eqNullSafe(F.col("_of")), "left")
+    first = F.coalesce(F.array_join(F.transform("_at", lambda i: i.cast("string")), ", "), F.lit(""))
     more = F.when(F.col("n_fallback") > shown, F.concat(F.lit(", ... ("), (F.col("n_fallback") - shown).cast("string"), F.lit(" more)"))).otherwise("")
     return counts.filter("n_fallback > 0").select(group, "n_fallback", "total", F.concat(first, more).alias("indices"))
 

@@ -179,3 +179,13 @@ def test_synthesis_is_pluggable(spark):
     assert (first["speaking_rate"], first["pitch"], first["instructions"], first["clip"], first["language"]) == (None, None, None, "native_0000.mp3", "ja-JP")
     spoken = sinks.synthesized(asked.select("idx", "spoken"), lambda f: f.assign(ms=f.spoken.str.len() * 10)[["idx", "ms"]], "idx bigint, ms bigint")
     assert sorted(tuple(r) for r in spoken.collect()) == [(0, 20), (1, 20), (2, 20)]
+
+
+def test_fallback_summary_gathers_only_what_it_shows(spark):
+    rows = [("hot", i, i % 3 > 0) for i in range(300)] + [(None, 5, True), (None, None, True), ("void", None, True), ("none", 1, False), ("two", 7, True), ("two", 7, True)]
+    lengths = spark.createDataFrame(rows, "item_id string, idx bigint, fallback boolean").repartition(3)
+    found = media.fallback_summary(lengths, "item_id")
+    want = [("hot", 200, 300, "1, 2, 4, 5, 7, 8, 10, 11, ... (192 more)"), ("two", 2, 2, "7, 7"), ("void", 1, 1, ""), (None, 2, 2, "5")]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    before_shuffle = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in before_shuffle and "Partial" in before_shuffle.split("WindowGroupLimit", 2)[-1].splitlines()[0]
