@@ -10,7 +10,8 @@
    bounds their similarity from above, and what remains is verified too. So no
    pair of a bucket is left out, whatever the bucket's size, and pairs inside a component,
    which a large group of near copies would have many of, are never formed. (A bucket of n nodes that
-   no links hold together is the worst case: all its blocks meet, n * n / ``BLOCK`` rows.)
+   no links hold together is the worst case: all its blocks meet, n * n / ``BLOCK`` rows, and if its sets go
+   well beyond ``BITS`` shingles nearly all pairs of similar sizes, n * n / 2 at most, are verified.)
 
 Two sets of similarity 0.75 share no bucket about 5 times in a million.
 
