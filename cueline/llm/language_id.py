@@ -7,9 +7,10 @@ are trained in numpy by stochastic gradient descent on a bounded sample of label
 texts; part of the sample is held back to fit the temperature of the softmax and the
 score below which a text is rejected.
 
-As the classes are linear in the embeddings, a trained model keeps one score per
-subword and class (embedding times class weights), so that reading a text is a sum
-of table rows. Every text is read whole.
+Every text is read whole. Only to learn, a text of the sample is a draw of up to ``DRAWN`` of its
+subwords, from all over it: so the sample is bounded in bytes as well as in texts. Languages
+may be any number; a model of many keeps embeddings and class weights apart, one of
+few their product (the score of each subword for each class), which is then the smaller.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and is
 rejected. Without any labelled text every row is ``und``. Rows without an id are never
@@ -39,8 +40,8 @@ UNKNOWN = "und"
 SAMPLE, SAMPLE_ALL, HELD_BACK = 1000, 4000, 0.3
 #: Short runs of words, up to so many, that are learnt beside each whole text of the sample.
 PIECES, PIECE_WORDS = 2, 12
-#: Languages of the sample, at most: the most frequent ones.
-LANGUAGES = 400
+#: Subwords that are drawn of a text of the sample, at most; each is three bytes (row and count) on its way to the driver.
+DRAWN = 1024
 #: Share of the calibration texts that rejection may cost, and how many texts in two languages are made of each: such a
 #: document scores low for either, and stays.
 REJECT, MIXES = 0.001, 10
@@ -51,13 +52,24 @@ _CLEAN = np.where(_APART, ord(" "), _LOWER).astype(np.uint32)
 
 @dataclass
 class Model:
-    """Languages, one row of class scores per subword (scaled by the temperature), biases and the least score that is accepted."""
+    """Languages, a row of values per subword, class weights of such rows (scaled by the temperature; none: the values are the classes' scores), biases and the least score that is accepted."""
 
     languages: list[str]
-    scores: np.ndarray
+    table: np.ndarray
+    weight: np.ndarray | None
     bias: np.ndarray
     least: float
 
+    @classmethod
+    def of(cls, languages: list[str], embed: np.ndarray, weight: np.ndarray, bias: np.ndarray, scale: float, least: float) -> Model:
+        weight, bias = (weight * scale).astype(np.float32), (bias * scale).astype(np.float32)
+        few = len(languages) <= embed.shape[1]
+        return cls(languages, (embed @ weight if few else embed).astype(np.float32), None if few else weight, bias, least)
+
+    @classmethod
+    def empty(cls) -> Model:
+        return cls([], np.zeros((BUCKETS, 0), np.float32), None, np.zeros(0, np.float32), 0.0)
+
 
 def subwords(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n-gram length, the rows of the subwords of some texts, and the text that each belongs to.
@@ -85,11 +97,12 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         yield (mixed >> np.uint32(16)).astype(np.int32) % BUCKETS, owner[at]
 
 
-def counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct subword rows of one text and their shares."""
+def drawn(data: np.ndarray, offsets: np.ndarray, rng: np.random.Generator, most: int = DRAWN) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct subword rows of one text, or of a draw of ``most`` of its subwords, and how often each was met (255 at most)."""
     rows = np.concatenate([np.zeros(0, np.int32), *(r for r, _ in subwords(data, offsets))])
+    rows = rows if len(rows) <= most else rng.choice(rows, most, replace=False)
     found, n = np.unique(rows, return_counts=True)
-    return found.astype(np.int32), (n / max(1, len(rows))).astype(np.float32)
+    return found.astype(np.uint16), np.minimum(n, 255).astype(np.uint8)
 
 
 def pieces(text: str, rng: np.random.Generator) -> list[str]:
@@ -100,8 +113,8 @@ def pieces(text: str, rng: np.random.Generator) -> list[str]:
     return [" ".join(words[i : i + int(n)]) for i, n in zip(starts, sizes, strict=True)]
 
 
-def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, width: int = 16, epochs: int = 5, rate: float = 20.0, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Embedding times class weights (rows x classes) and biases, by SGD over one text at a time."""
+def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, width: int = 16, epochs: int = 5, rate: float = 20.0, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings (rows x width), class weights (width x classes) and biases, by SGD over one text (its subword rows and their counts) at a time."""
     rng = np.random.default_rng(seed)
     embed = rng.uniform(-0.5 / width, 0.5 / width, (BUCKETS, width)).astype(np.float32)
     weight = rng.normal(0, width**-0.5, (width, classes)).astype(np.float32)
@@ -109,7 +122,7 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classe
     steps_all, done = epochs * len(texts), 0
     for _ in range(epochs):
         for i in rng.permutation(len(texts)):
-            rows, share = texts[i]
+            rows, share = texts[i][0], _shares(texts[i][1])
             speed = rate * (1 - done / steps_all)
             done += 1
             mean = share @ embed[rows]
@@ -121,7 +134,11 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classe
             weight -= 0.1 * speed / width * np.outer(mean, p).astype(np.float32)
             bias -= 0.002 * speed * p.astype(np.float32)
             embed[rows] -= speed * np.outer(share, back).astype(np.float32)
-    return embed @ weight, bias
+    return embed, weight, bias
+
+
+def _shares(n: np.ndarray) -> np.ndarray:
+    return n / np.float32(max(1, n.sum(dtype=np.int64)))
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -155,59 +172,70 @@ def calibrate(logits: np.ndarray, labels: np.ndarray, reject: float) -> tuple[fl
     return scale, min((float(x[int(len(x) * reject)]) for x in accepted if len(x)), default=0.0)
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, sample: int = SAMPLE, reject: float = REJECT) -> Model:
+def _sample(chosen: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Languages, and of each text and each of its pieces the language's number, whether it only calibrates, and its draw; in the order of the texts' places."""
+
+    def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for lang, text, place in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "place")), strict=True):
+                rng = np.random.default_rng(int(place * 2**53))
+                for i, own in enumerate([text, *pieces(text, rng)]):
+                    data = np.frombuffer(own.encode(), np.uint8)
+                    rows, n = drawn(data, np.array([0, len(data)]), rng)
+                    if len(rows):
+                        out.append((lang, place, i, rows.tobytes(), n.tobytes()))
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema)
+
+    schema = pa.schema([("lang", pa.string()), ("place", pa.float64()), ("piece", pa.int32()), ("rows", pa.binary()), ("n", pa.binary())])
+    got = small_batches(chosen).mapInArrow(draw, "lang string, place double, piece int, rows binary, n binary").toArrow()
+    got = got.sort_by([(c, "ascending") for c in ("place", "lang", "piece", "rows")])
+    names = got.column("lang").to_pylist()
+    languages = sorted(set(names))
+    number = {lang: i for i, lang in enumerate(languages)}
+    # Held back by document, as its pieces share its place.
+    back = (got.column("place").to_numpy() * 1e9 % 1 < HELD_BACK) & (len(names) >= 20)
+    texts = [(np.frombuffer(r.as_py(), np.uint16), np.frombuffer(n.as_py(), np.uint8)) for r, n in zip(got.column("rows"), got.column("n"), strict=True)]
+    return languages, np.array([number[x] for x in names], np.int64), back, texts
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, sample: int = SAMPLE, sample_all: int = SAMPLE_ALL, reject: float = REJECT) -> Model:
     """A model of the labelled rows that ``learn`` admits (all by default) and that have an id.
 
     About ``sample`` texts of a language are drawn by a hash of their ids, fewer if the languages
-    are many. Tasks turn them into subword counts; only these come to the driver.
+    are many: about ``sample_all`` in all. Tasks turn them into draws of subwords; only these come to the driver,
+    and the number of rows of each label.
     """
     rows = df.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = rows if learn is None else rows.filter(learn)
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), (F.shiftright(F.xxhash64(id_col), 11) / float(1 << 53) + 0.5).alias("place"))
-    sizes = dict(tuple(r) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 0.0)
-    most = min(sample, SAMPLE_ALL / len(sizes))
+        return Model.empty()
+    most = min(sample, sample_all / len(sizes))
     rate = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, most / n)))
     chosen = rows.filter(F.col("place") < F.element_at(rate, F.col("lang")))
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for lang, text, place in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "place")), strict=True):
-                for i, own in enumerate([text, *pieces(text, np.random.default_rng(int(place * 2**53)))]):
-                    data = np.frombuffer(own.encode(), np.uint8)
-                    found, share = counts(data, np.array([0, len(data)]))
-                    if len(found):
-                        out.append((lang, place, i, found.tobytes(), share.tobytes()))
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema)
-
-    schema = pa.schema([("lang", pa.string()), ("place", pa.float64()), ("piece", pa.int32()), ("rows", pa.binary()), ("shares", pa.binary())])
-    got = small_batches(chosen).mapInArrow(count, "lang string, place double, piece int, rows binary, shares binary").collect()
-    got = sorted((r[1], r[0], r[2], bytes(r[3]), bytes(r[4])) for r in got)
-    languages = sorted({r[1] for r in got})
-    texts = [(np.frombuffer(r[3], np.int32), np.frombuffer(r[4], np.float32)) for r in got]
-    labels = np.array([languages.index(r[1]) for r in got], np.int64)
+    languages, labels, back, texts = _sample(chosen)
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 0.0)
-    back = np.array([len(got) >= 20 and r[0] * 1e9 % 1 < HELD_BACK for r in got])  # by document, as its pieces share its place
-    table, bias = train([t for t, b in zip(texts, back, strict=True) if not b], labels[~back], len(languages))
-    logits = np.stack([share @ table[rows] + bias for rows, share in texts])[back] if back.any() else np.zeros((0, len(languages)))
-    scale, least = calibrate(logits, labels[back], reject)
-    return Model(languages, (table * scale).astype(np.float32), (bias * scale).astype(np.float32), least)
+        return Model.empty()
+    embed, weight, bias = train([t for t, b in zip(texts, back, strict=True) if not b], labels[~back], len(languages))
+    means = np.stack([np.zeros(embed.shape[1], np.float32), *(_shares(n) @ embed[rows] for (rows, n), b in zip(texts, back, strict=True) if b)])[1:]
+    scale, least = calibrate(means @ weight + bias, labels[back], reject)
+    return Model.of(languages, embed, weight, bias, scale, least)
 
 
 def _logits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    docs, classes = len(offsets) - 1, len(model.languages)
-    total, n = np.zeros((docs, classes)), np.zeros(docs)
-    piece = max(1, (1 << 22) // classes)
+    docs, width = len(offsets) - 1, model.table.shape[1]
+    total, n = np.zeros((docs, width)), np.zeros(docs)
+    piece = max(1, (1 << 22) // width)
     for all_rows, all_owner in subwords(data, offsets):
         for low in range(0, len(all_rows), piece):
             rows, owner = all_rows[low : low + piece], all_owner[low : low + piece]
             first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            total[owner[first]] += np.add.reduceat(model.scores[rows], first, axis=0, dtype=np.float64)
+            total[owner[first]] += np.add.reduceat(model.table[rows], first, axis=0, dtype=np.float64)
             n[owner[first]] += np.diff(np.append(first, len(rows)))
-    return total / np.maximum(n, 1)[:, None] + model.bias
+    means = total / np.maximum(n, 1)[:, None]
+    return (means if model.weight is None else means @ model.weight) + model.bias
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -216,8 +244,10 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep_text: bool
     readable = next(x for x in ("readable", "readable_", "readable__") if x not in df.columns)
     df = df.drop(*results).withColumn(readable, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     kept = [c for c in df.columns if c != readable and (keep_text or c != text_col)]
+    shipped = df.sparkSession.sparkContext.broadcast(model)
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shipped.value
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             data, offsets = utf8_view(batch.column(text_col))

@@ -12,7 +12,7 @@ source, then within a slice. A slice, not a source, is what one task sorts. As k
 are uniform, a source of any size deals evenly to its slices.
 
 Defined results: a null text has no words; null is a source of its own, the last.
-Rows of equal id are ordered by their text's hash and each counts. A source without
+Rows of equal id are ordered by their text's hash and each counts; rows without an id are ordered by that hash alone. A source without
 words has the target 0. An empty table gives an empty result. Input columns named like
 a result column are replaced.
 """
@@ -75,6 +75,7 @@ def mix_sources(
     epochs: float = EPOCHS,
     seed: str = "mix",
     slices: int = SLICES,
+    keep_text: bool = True,
 ) -> DataFrame:
     """Every row of ``df`` with ``size``, ``source_size``, ``target`` (its source's) and ``taken`` (words, repeats counted)."""
     df = df.drop("size", "source_size", "target", "taken")
@@ -85,11 +86,15 @@ def mix_sources(
         {
             "size": word_count(F.col(text_col)),
             source: named,
-            key: F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))),
             tie: F.xxhash64(text_col),
         }
     )
+    # Rows without an id are dealt by their texts, so that they are not one key.
+    own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), F.col(tie).cast("string")))
+    rows = rows.withColumn(key, F.md5(F.concat_ws(":", F.lit(seed), own)))
     rows = rows.withColumn(part, F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") * slices / (1 << 32)).cast("int"))
+    # Sums and rows both start from here, so that words are counted once.
+    rows = settled(rows if keep_text else rows.drop(text_col))
 
     sums = settled(rows.groupBy(source, part).agg(F.first(source_col).alias("source"), F.sum("size").alias("slice_size")))
     totals = sums.groupBy(F.col(source).alias("source_key")).agg(F.first("source").alias("source"), F.sum("slice_size").alias("source_size"))
@@ -104,7 +109,8 @@ def mix_sources(
     full = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0)
     rest = words - full * F.col("source_size") - F.col(f"{before}0") - F.col(before)
     taken = full * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return rows.select(*df.columns, "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    kept = [c for c in df.columns if keep_text or c != text_col]
+    return rows.select(*kept, "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
 def mixture(df: DataFrame, **options: object) -> DataFrame:

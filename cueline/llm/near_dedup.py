@@ -1,7 +1,7 @@
 """Near-duplicate documents through SetSketch registers.
 
 1. Every text becomes the set of its 64-bit five-word shingle hashes, and that set a
-   sketch. Documents of the same set are one *node* from here on, so copies cost nothing more.
+   sketch. Documents of the same set, told by 128 bits of its digest, are one *node* from here on, so copies cost nothing more.
 2. Bands of four registers are bucket keys. In each bucket every node is paired with the
    least node. The pair's most likely similarity is estimated from both sketches; pairs that
    may be links are verified on the full sets.
@@ -42,6 +42,8 @@ WIDTH, PERCENT = 5, 75
 MARGIN = 0.19
 #: Bits of the bitmap that bounds a pair's similarity, and nodes to a block when a bucket is compared.
 BITS, BLOCK = 2048, 512
+#: Columns of pairs between components.
+_ROOTED = ("a", "b", "root_a", "root_b")
 
 _LOWER, _APART = byte_classes(BLANKS)
 
@@ -57,9 +59,9 @@ def _sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield np.unique(hashes[bounds[i] : bounds[i + 1]])
 
 
-def _node(elements: np.ndarray) -> int | None:
-    """The set's identity: 64 bits of its digest; none if it is empty."""
-    return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "big", signed=True) if len(elements) else None
+def _digest(elements: np.ndarray) -> bytes | None:
+    """The set's identity; none if it is empty."""
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else None
 
 
 def _bitmaps(elements: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -71,11 +73,11 @@ def _bitmaps(elements: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``id``, ``key``, ``node`` (null for an empty set), ``n_shingles``, ``registers`` and ``bitmap`` of every row (``id``, ``key``, ``text``)."""
+    """``id``, ``key``, ``digest`` (null for an empty set), ``n_shingles``, ``registers`` and ``bitmap`` of every row (``id``, ``key``, ``text``)."""
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes: list[int | None] = []
+            digests: list[bytes | None] = []
             sizes: list[int] = []
             drawn: list[bytes] = []
             marks: list[bytes] = []
@@ -90,7 +92,7 @@ def sketches(rows: DataFrame, width: int = WIDTH) -> DataFrame:
 
             held = 0
             for elements in _sets(batch.column("text"), width):
-                nodes.append(_node(elements))
+                digests.append(_digest(elements))
                 sizes.append(len(elements))
                 some.append(elements)
                 held += len(elements) + 100
@@ -98,10 +100,10 @@ def sketches(rows: DataFrame, width: int = WIDTH) -> DataFrame:
                     flush()
                     held = 0
             flush()
-            columns = pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(drawn, pa.binary()), pa.array(marks, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *columns], names=["id", "key", "node", "n_shingles", "registers", "bitmap"])
+            columns = pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(drawn, pa.binary()), pa.array(marks, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *columns], names=["id", "key", "digest", "n_shingles", "registers", "bitmap"])
 
-    return small_batches(rows).mapInArrow(sketch, f"id {dict(rows.dtypes)['id']}, key long, node long, n_shingles long, registers binary, bitmap binary")
+    return small_batches(rows).mapInArrow(sketch, f"id {dict(rows.dtypes)['id']}, key long, digest binary, n_shingles long, registers binary, bitmap binary")
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -132,7 +134,7 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs of nodes of different roots in a bucket that may be links.
+    """Pairs of nodes of different roots in a bucket that may be links, with their roots.
 
     ``members`` has ``bucket``, ``node``, ``root``, ``n_shingles`` and ``bitmap``. The largest component of a
     bucket and the rest are dealt to blocks apart, and every block of the rest meets every
@@ -164,30 +166,34 @@ def _across(members: DataFrame, percent: int, block: int) -> DataFrame:
             both = size[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1, dtype=np.int64)
             both = np.minimum(both, size[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(axis=1, dtype=np.int64))
             j = j[both * 100 >= percent * (size[i] + size[j] - both)]
-            found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
-        pairs = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+            ahead = node[i] < node[j]
+            sides = (node[i], node[j], root[i], root[j])
+            found.append(np.stack([np.where(ahead, sides[k], sides[k ^ 1]) for k in range(4)]))
+        pairs = np.unique(np.concatenate([np.zeros((4, 0), np.int64), *found], axis=1), axis=1)
+        return pa.table(dict(zip(_ROOTED, pairs, strict=True)))
 
     # Else Spark would keep all meetings of a bucket in the one task that the join dealt the bucket to.
     dealt = dealt.repartition("bucket", "i", "j")
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, ", ".join(f"{c} long" for c in _ROOTED)).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold. ``texts`` may have more rows to a node; those of another set are passed over."""
+    """The pairs (``a``, ``b`` and any more bigint columns) whose full sets reach the threshold. ``texts`` may have more rows to a node; those of another set are passed over."""
+    kept = pairs.columns
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
             linked = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(_sets(batch.column("text_a"), width), _sets(batch.column("text_b"), width), strict=True)):
-                if _node(x) == a[i] and _node(y) == b[i]:
+            digests = zip(*(batch.column(f"digest_{x}").to_pylist() for x in "ab"), strict=True)
+            for i, (x, y, (a, b)) in enumerate(zip(_sets(batch.column("text_a"), width), _sets(batch.column("text_b"), width), digests, strict=True)):
+                if _digest(x) == a and _digest(y) == b:
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     linked[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(b[linked])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(linked)) for c in kept], names=kept)
 
-    first, second = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long").distinct()
+    first, second = (texts.select(F.col("node").alias(x), F.col("digest").alias(f"digest_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    sides = pairs.join(first, "a").join(second, "b").select(*kept, "digest_a", "digest_b", "text_a", "text_b")
+    return sides.mapInArrow(verify, ", ".join(f"{c} long" for c in kept))
 
 
 def _roots(nodes: DataFrame, rows: DataFrame, width: int, percent: int, block: int) -> DataFrame:
@@ -199,16 +205,22 @@ def _roots(nodes: DataFrame, rows: DataFrame, width: int, percent: int, block: i
     star = settled(members.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
     ends = star.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     some = settled(nodes.join(ends, "node"))
-    texts = some.select("node", F.col("id").alias("of"), F.col("key").alias("of_key")).join(rows, (F.col("of_key") == F.col("key")) & F.col("of").eqNullSafe(F.col("id"))).select("node", "text")
+    texts = some.select("node", "digest", F.col("id").alias("of"), F.col("key").alias("of_key"))
+    texts = texts.join(rows, (F.col("of_key") == F.col("key")) & F.col("of").eqNullSafe(F.col("id"))).select("node", "digest", "text")
     texts = settled(texts)
     first, second = (some.select(apart_from_its_rows("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}")) for x in "ab")
-    links = settled(_verified(_likely(star.join(first, "a").join(second, "b"), percent), texts, width, percent))
+    links = _verified(_likely(star.join(first, "a").join(second, "b"), percent), texts, width, percent)
     roots = components(links)
 
     labelled = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = labelled.join(some.select("node", "n_shingles", "bitmap"), "node")
-    more = settled(_verified(_across(labelled, percent, block), texts, width, percent))
-    return roots if more.isEmpty() else components(links.unionByName(more))
+    # Links between components only: their roots are the nodes of a smaller graph.
+    more = _verified(_across(labelled, percent, block), texts, width, percent)
+    tops = components(more.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    tops = tops.select(apart_from_its_rows("node").alias("lower"), F.col("root").alias("top"))
+    # A root that is linked to another is a node that has a root now.
+    above = roots.join(tops, F.col("root") == F.col("lower"), "left").select("node", F.coalesce("top", "root").alias("root"))
+    return above.unionByName(tops.select(F.col("lower").alias("node"), F.col("top").alias("root")))
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -218,14 +230,15 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     drawn = settled(sketches(rows, width))
     # A node's text is that of one row, told by its id and text, so that many rows of one id (or of none) don't all meet.
     one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("row")
-    nodes = drawn.filter("node IS NOT NULL").groupBy("node").agg(one, *(F.first(c).alias(c) for c in ("n_shingles", "registers", "bitmap")))
-    nodes = settled(nodes.select("node", "row.id", "row.key", "n_shingles", "registers", "bitmap"))
-    roots = settled(_roots(nodes, rows, width, percent, block))
+    nodes = drawn.filter("digest IS NOT NULL").groupBy("digest").agg(one, *(F.first(c).alias(c) for c in ("n_shingles", "registers", "bitmap")))
+    nodes = settled(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "row.id", "row.key", "n_shingles", "registers", "bitmap"))
+    roots = _roots(nodes, rows, width, percent, block)
 
-    of = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of = settled(nodes.select("node", "digest", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = of.groupBy("root").agg(F.min("id").alias("component_id")).select(apart_from_its_rows("root"), "component_id")
-    groups = of.select("node", "root").join(least, "root").drop("root")
-    found = drawn.select("id", "key", "node", "n_shingles").distinct().join(groups, "node", "left")
+    groups = of.select("digest", "root").join(least, "root").drop("root")
+    # Rows of one set may be very many; both sides are shuffled, so that Spark may split them.
+    found = drawn.select("id", "key", "digest", "n_shingles").distinct().join(groups, "digest", "left")
     n = apart(df, "id", "key", "row_key")
     found = found.select(F.col("id").alias(n["id"]), F.col("key").alias(n["key"]), "n_shingles", "component_id")
     keyed = df.withColumn(n["row_key"], F.xxhash64(text_col))

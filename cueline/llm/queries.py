@@ -82,7 +82,8 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_sources(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL_SOURCE_MIX = r"""

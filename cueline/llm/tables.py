@@ -32,14 +32,22 @@ BLANK_WORD = _none_of(" \t\n\v\f\r")
 BLANKS_CLASS = BLANK_WORD.removeprefix("[^").removesuffix("]+")
 
 
+def _local(spark: SparkSession) -> bool:
+    """True for a session whose tasks run in the driver's own process and machine."""
+    return spark.sparkContext.master.partition("[")[0] == "local"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a folder of this machine is used.
+    Only a local session, as in tests, gets a folder of this machine where that is unset; on a cluster it is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not _local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -66,19 +74,26 @@ def apart_from_its_rows(key: str) -> Column:
     return F.col(key).bitwiseXOR(F.lit(0)).alias(key)
 
 
+#: Arrow batches of Python tasks, where the session sets none of its own.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose Arrow batches are small and whose Python workers find this package.
+    """``df``, in a session whose Arrow batches are small.
 
     Whole texts pass through Python workers here. A batch is held several times (by the JVM's
     writer, the worker and the JVM's reader), beside a full heap; 8 MB keep that small. A longer
-    text is a batch of its own.
+    text is a batch of its own. What the session sets itself stays.
     """
-    # Python workers must find this package. A cluster has it installed or gets it with --py-files; a local session may only have it on the driver's path.
-    here, environment = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
-    if here not in environment.get("PYTHONPATH", "").split(os.pathsep):
-        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), here]))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark = df.sparkSession
+    for name, value in BATCHES.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
+    if _local(spark):
+        # A local session may only have this package on the driver's path. A cluster has it installed or gets it with --py-files.
+        here, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+        if here not in environment.get("PYTHONPATH", "").split(os.pathsep):
+            environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), here]))
     return df
 
 

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cases import documents, prose
-from cueline.llm.language_id import BUCKETS, LENGTHS, UNKNOWN, calibrate, counts, fit, held_out, identify, keep_identified, predict, subwords
+from cueline.llm.language_id import BUCKETS, LENGTHS, UNKNOWN, Model, calibrate, drawn, fit, held_out, identify, keep_identified, predict, subwords
 
 
 def labelled(spark, n=600):
@@ -67,8 +67,8 @@ def test_subwords_stay_inside_words_and_texts():
             together[o].append(int(r))
     for t, own in zip(texts, together, strict=True):
         b = np.frombuffer(t.encode(), np.uint8)
-        found, share = counts(b, np.array([0, len(b)]))
-        assert sorted(set(own)) == found.tolist() and (not own or abs(share.sum() - 1) < 1e-6)
+        found, n = drawn(b, np.array([0, len(b)]), np.random.default_rng(0))
+        assert sorted(set(own)) == found.tolist() and n.tolist() == [own.count(x) for x in found.tolist()]
     # "ab c": letters 3, bigrams "ab" "b " " c" (not the two blanks), trigrams "ab " (not across words)
     assert len(together[0]) == 3 + 3 + 1 and LENGTHS == (1, 2, 3, 4)
 
@@ -95,3 +95,62 @@ def test_other_languages_go_and_mixed_texts_stay(spark):
     assert len(mixed) > 90 and not any(found[i][1] for i in range(len(mixed)))
     score, gone = found[len(mixed)]
     assert gone and score > 1 / 3 + 0.05
+
+
+def plain_scores(model, text):
+    """The model's probabilities for one text, subword by subword."""
+    out = "".join(c if c.isascii() and c.isalpha() or not c.isascii() else " " for c in text).encode().lower()
+    total, n = np.zeros(model.table.shape[1]), 0
+    for size in LENGTHS:
+        for i in range(len(out) - size + 1):
+            gram = out[i : i + size]
+            if b" " in gram[1:-1] or size < 3 and gram.strip() == b"":
+                continue
+            code = 0
+            for c in gram:
+                code = (code * 0x01000193 + c + 1) % (1 << 32)
+            code = ((code ^ (code >> 15)) * 0x2C1B3C6D + size * 0x9E3779B1) % (1 << 32)
+            total += model.table[(code >> 16) % BUCKETS]
+            n += 1
+    mean = total / max(n, 1)
+    logits = (mean if model.weight is None else mean @ model.weight) + model.bias
+    e = np.exp(logits - logits.max())
+    return e / e.sum()
+
+
+def test_matches_a_plain_evaluation(spark):
+    df = documents(spark)
+    model = fit(df)
+    for r in predict(df, model).collect():
+        if any(c.isalpha() for c in r["text"] or ""):
+            p = plain_scores(model, r["text"])
+            assert r["lang_pred"] == model.languages[int(p.argmax())] and abs(r["score"] - p.max()) < 1e-5
+            assert r["rejected"] == (r["score"] < model.least)
+
+
+def test_both_forms_of_a_model_agree(spark):
+    rng = np.random.default_rng(1)
+    embed, weight, bias = rng.normal(0, 1, (BUCKETS, 8)), rng.normal(0, 1, (8, 5)), rng.normal(0, 1, 5)
+    few = Model.of(list("abcde"), embed, weight, bias, 1.0, 0.0)
+    many = Model(few.languages, embed.astype(np.float32), weight.astype(np.float32), few.bias, 0.0)
+    assert few.weight is None and few.table.shape == (BUCKETS, 5)
+    df = documents(spark).select("text")
+    one, two = ([(r["lang_pred"], round(r["score"], 3)) for r in predict(df, m).collect()] for m in (few, many))
+    assert one == two
+
+
+def test_any_number_of_languages(spark):
+    """More labels than a table of class scores would be kept for; each is learnt."""
+    rng = random.Random(8)
+    own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(450)]
+    rows = [(i, " ".join([own[i % 450]] * 12), f"l{i % 450:03d}") for i in range(450 * 6)]
+    model = fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model.languages) == 450 and model.weight is not None and model.table.shape[1] < 450
+
+
+def test_learning_draws_from_the_whole_text():
+    text = ("a" * 50 + " ") * 400 + ("b" * 50 + " ") * 400
+    data = np.frombuffer(text.encode(), np.uint8)
+    rows, n = drawn(data, np.array([0, len(data)]), np.random.default_rng(0), most=200)
+    ones = {int(r) for rs, _ in [next(subwords(np.frombuffer(b"b", np.uint8), np.array([0, 1])))] for r in rs}
+    assert n.sum(dtype=int) == 200 and ones <= set(rows.tolist())

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from cases import changed, documents, lower, prose
-from cueline.llm.graph import components
+from cueline.llm.graph import components, stars
 from cueline.llm.hashing import BLANKS, byte_classes, shingle_hashes, word_bounds, word_hashes
 from cueline.llm.near_dedup import MARGIN, near_dedup, near_groups
 from cueline.llm.setsketch import M, band_keys, jaccard, merge, registers
@@ -114,6 +114,32 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def least_of_each(links):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    return {x: find(x) for x in list(root) if find(x) != x}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_of_random_links(spark, seed):
+    rng = random.Random(seed)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range((60, 150, 250, 400)[seed])] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, k) for k in range(4000, 4300)]
+    rng.shuffle(links)
+    want = least_of_each(links)
+    df = spark.createDataFrame(links, "a bigint, b bigint").repartition(7)
+    assert {r["node"]: r["root"] for r in components(df).collect()} == want
+    a, b = np.array(links).T
+    assert dict(zip(*(x.tolist() for x in stars(a, b)), strict=True)) == want
+
+
 @pytest.mark.parametrize(("n_a", "n_b", "common"), [(3, 4, 3), (7, 7, 6), (12, 16, 12), (35, 35, 30)])
 def test_bands_recall_sets_at_the_threshold(n_a, n_b, common):
     """Of pairs of similarity 0.75 hardly any shares no band, and no estimate falls so low that a pair would not be verified."""
