@@ -1,27 +1,30 @@
 """Column functions over cue text: trimming, bilingual splits, time stamps and long-text splits.
 
-All are compositions of built-in functions. Where Java's defaults differ from the
+All are compositions of built-in functions, but for the split of long texts, which is a fold over pieces: there
+Arrow batches of texts go through a small Python function in linear time. Where Java's defaults differ from the
 text rules that subtitle files are written under (which blanks are trimmed, which digits
 count, how hundredths are rounded), the difference is stated at the function.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
-from collections.abc import Callable
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from cueline.functions.workers import reach_package
+
 # The characters that are trimmed: all that Unicode calls white space, and the four ASCII separators.
 BLANKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
 # A subtitle line, "[mm:ss.xx]text", in decimal digits of any script.
 LRC_LINE = r"(?s)^\[(\p{Nd}{2}):(\p{Nd}{2})\.(\p{Nd}{2,3})\](.+)"
 # Marks that end a sentence, and marks that part clauses.
 STRONG, WEAK = "。！？!?.;；\n", "，、,"
-# A control character that texts hardly ever have.
-BAR = "\x01"
+_STRONG_RUNS, _WEAK_RUNS = (re.compile(f"[^{marks}]*[{marks}]+|[^{marks}]+") for marks in (STRONG, WEAK))
 
 DIGITS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
 AS_ASCII = "".join(str(unicodedata.digit(c)) for c in DIGITS)
@@ -144,30 +147,33 @@ def has_strong(text: Column) -> Column:
     return text.rlike(f"[{STRONG}]")
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, with ``value`` computed once however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
+def _pieces(text: str, runs: re.Pattern[str]) -> list[str]:
+    """Pieces that end in runs of marks, trimmed, without empty ones."""
+    return [piece for x in runs.findall(text) if (piece := x.strip())]
 
-def split_on(text: Column, marks: str) -> Column:
-    """Pieces that end in runs of ``marks``, trimmed, without empty ones.
 
-    Plain replacements put a bar behind every run of marks, which is many times faster than
-    matching a class of characters beyond Latin-1. Texts that have the bar are matched.
-    """
-    barred = text
-    for mark in marks:
-        barred = F.replace(barred, F.lit(mark), F.lit(mark + BAR))
-    for mark in marks:
-        barred = F.replace(barred, F.lit(BAR + mark), F.lit(mark))
-    matched = F.regexp_extract_all(text, F.lit(f"[^{marks}]*[{marks}]+|[^{marks}]+"), F.lit(0))
-    found = F.when(F.contains(text, F.lit(BAR)), matched).otherwise(F.split(barred, BAR, -1))
-    return F.filter(F.transform(found, strip_all), lambda x: x != "")
+def sentences_of(text: str) -> list[str]:
+    return _pieces(text, _STRONG_RUNS)
 
 
-def _ends_strong(piece: Column) -> Column:
-    """``has_strong`` for a piece of a sentence, whose marks are all at its end."""
-    return F.contains(F.lit(STRONG), F.substring(piece, -1, 1))
+def speakable(text: str, target: int = 80, weak: int = 50) -> list[str]:
+    """The pieces of :func:`split_long_text` for one text."""
+    whole = text.strip()
+    parts: list[str] = []
+    for sentence in sentences_of(whole) or ([whole] if whole else []):
+        clauses = [sentence] if len(sentence) <= target else _pieces(sentence, _WEAK_RUNS)
+        parts += clauses if len(clauses) > 1 or len(sentence) <= target else [sentence[i : i + weak] for i in range(0, len(sentence), weak)]
+    out: list[str] = []
+    now: list[str] = []
+    size, strong = 0, False
+    for part in parts:
+        ends = part[-1:] in STRONG
+        if now and size + len(part) > (target if strong or ends else weak):
+            out.append("".join(now))
+            now, size, strong = [], 0, False
+        now.append(part)
+        size, strong = size + len(part), strong or ends
+    return [*out, "".join(now)] if now else out
 
 
 def split_long_text(text: Column, target: int = 80, weak: int = 50) -> Column:
@@ -176,21 +182,10 @@ def split_long_text(text: Column, target: int = 80, weak: int = 50) -> Column:
     A bundle may grow to ``target`` characters if it has a sentence mark, else to ``weak``. Pieces are
     trimmed and joined without a blank; one that has no mark to be parted at is cut every ``weak`` characters.
     """
-    whole = strip_all(text)
-    sentences = bound(split_on(whole, STRONG), lambda s: F.when((F.size(s) == 0) & (whole != ""), F.array(whole)).otherwise(s))
-
-    def parted(s: Column) -> Column:
-        cuts = F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / weak).cast("int")), lambda i: F.substr(s, i * weak + 1, F.lit(weak)))
-        return F.when(F.length(s) <= target, F.array(s)).otherwise(bound(split_on(s, WEAK), lambda c: F.when(F.size(c) > 1, c).otherwise(cuts)))
-
-    pieces = F.flatten(F.transform(sentences, parted))
-    start = F.struct(F.lit([]).cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(False).alias("strong"))
+    reach_package(SparkSession.getActiveSession())
 
-    def add(state: Column, piece: Column) -> Column:
-        strong = state["strong"] | _ends_strong(piece)
-        fits = (state["now"] == "") | (F.length(state["now"]) + F.length(piece) <= F.when(strong, target).otherwise(weak))
-        longer = F.struct(state["done"].alias("done"), F.concat(state["now"], piece).alias("now"), strong.alias("strong"))
-        fresh = F.struct(F.concat(state["done"], F.array(state["now"])).alias("done"), piece.alias("now"), _ends_strong(piece).alias("strong"))
-        return F.when(fits, longer).otherwise(fresh)
+    @F.arrow_udf("array<string>")
+    def split(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else speakable(t, target, weak) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    return F.aggregate(pieces, start, add, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
+    return split(text)

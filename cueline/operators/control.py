@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueline.functions import text
+from cueline.functions.workers import reach_package
 
 # What a passing failure's message contains, in the order in which it is looked for, and its kind.
 PASSING = (
@@ -43,6 +45,12 @@ def error_kind(message: Column, cloud: bool = False) -> Column:
     return kind
 
 
+def kind_of(message: str, cloud: bool = False) -> str | None:
+    """:func:`error_kind` of one message."""
+    found = next((kind for needle, kind in PASSING if needle in message), None)
+    return found or (CLOUD_KIND if cloud and any(code in message for code in CLOUD_CODES) else None)
+
+
 def _any(message: Column, needles: tuple[str, ...]) -> Column:
     found = F.lit(False)
     for needle in needles:
@@ -112,8 +120,21 @@ def split_limits(depth: int, target: int = 80, weak: int = 50) -> tuple[int, int
     return target, weak
 
 
-def longest_sentence(piece: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(text.split_on(piece, text.STRONG), lambda s: F.length(s))), F.lit(0))
+def longest_sentence(piece: str) -> int:
+    return max(map(len, text.sentences_of(piece)), default=0)
+
+
+def leaves(whole: str, accepted: int, path: tuple[int, ...] = ()) -> list[tuple[tuple[int, ...], str, bool]]:
+    """Path, piece and whether it stays rejected, of every leaf of the splitting tree under one text."""
+    depth, found = len(path), []
+    pieces = text.speakable(whole, *split_limits(depth))
+    if path and len(pieces) <= 1:
+        return []
+    for i, piece in enumerate(pieces):
+        rejected = longest_sentence(piece) > accepted
+        below = leaves(piece, accepted, (*path, i)) if rejected and depth < DEPTH else []
+        found += below or [((*path, i), piece, rejected)]
+    return found
 
 
 def split_levels(rows: DataFrame, accepted: int, key: str = "item_id", column: str = "text") -> DataFrame:
@@ -121,19 +142,13 @@ def split_levels(rows: DataFrame, accepted: int, key: str = "item_id", column: s
 
     An engine is taken to reject pieces with a sentence of over ``accepted`` characters. A rejected piece
     is split again under tighter limits; one that is left at the last level, or cannot be split, stays rejected.
-    The levels are nested in one expression: their number is fixed.
     """
-    leaf = lambda piece, path, depth: F.array(F.struct(path.alias("path"), F.lit(depth).alias("depth"), piece.alias("piece"), (longest_sentence(piece) > accepted).alias("rejected")))
-
-    def leaves(pieces: Column, above: Column, depth: int) -> Column:
-        def one(piece: Column, i: Column) -> Column:
-            path = F.concat(above, F.array(i))
-            if depth == DEPTH:
-                return leaf(piece, path, depth)
-            made = F.when(longest_sentence(piece) > accepted, text.split_long_text(piece, *split_limits(depth + 1)))
-            return text.bound(made, lambda more: F.when(F.size(more) > 1, leaves(more, path, depth + 1)).otherwise(leaf(piece, path, depth)))
+    reach_package(rows.sparkSession)
+    fields = [("path", pa.list_(pa.int32())), ("depth", pa.int32()), ("piece", pa.string()), ("rejected", pa.bool_())]
 
-        return F.flatten(F.transform(pieces, one))
+    @F.arrow_udf("array<struct<path: array<int>, depth: int, piece: string, rejected: boolean>>")
+    def split(texts: pa.Array) -> pa.Array:
+        found = [None if t is None else [{"path": p, "depth": len(p) - 1, "piece": piece, "rejected": r} for p, piece, r in leaves(t, accepted)] for t in texts.to_pylist()]
+        return pa.array(found, pa.list_(pa.struct(fields)))
 
-    first = text.split_long_text(F.col(column), *split_limits(0))
-    return rows.select(key, F.inline(leaves(first, F.array().cast("array<int>"), 0)))
+    return rows.select(key, F.inline(split(F.col(column))))

@@ -48,12 +48,16 @@ def chunk_plan(media: DataFrame, split_over: float = SPLIT_OVER_S, chunk: float
 
 
 def extract_status(plan: DataFrame, existing: DataFrame, source: str = "source", overwrite: bool = False) -> DataFrame:
-    """Per ``source`` of a chunk plan: ``skipped`` if every output exists (and may stay), or if a whole file would overwrite itself."""
-    there = existing.select(F.col("name").alias("output"), F.lit(True).alias("_there")).distinct()
-    joined = plan.join(there, "output", "left")
+    """Per ``source`` of a chunk plan: ``skipped`` if every output exists (and may stay), or if a whole file would overwrite itself.
+
+    Where the plan has a ``dir``, outputs are looked for in it, and files of one name in two folders are told apart.
+    """
+    by = [c for c in ("dir",) if c in plan.columns]
+    there = existing.select(*by, F.col("name").alias("output"), F.lit(True).alias("_there")).distinct()
+    joined = plan.join(there, [*by, "output"], "left")
     all_there = F.bool_and(F.coalesce("_there", F.lit(False))) & (not overwrite)
     itself = F.bool_or((F.col("n_chunks") == 1) & (F.col("output") == F.col(source)))
-    return joined.groupBy(source).agg(F.when(all_there | itself, "skipped").otherwise("run").alias("status"), F.count("*").alias("n_outputs"))
+    return joined.groupBy(*by, source).agg(F.when(all_there | itself, "skipped").otherwise("run").alias("status"), F.count("*").alias("n_outputs"))
 
 
 def applied_gain(dbfs: Column, gain: Column, normalize: Column) -> Column:
@@ -94,13 +98,14 @@ def fallback_summary(lengths: DataFrame, group: str, idx: str = "idx", shown: in
     return counts.filter("n_fallback > 0").select(group, "n_fallback", "total", F.concat(first, more).alias("indices"))
 
 
-def requests(table: DataFrame, side: str, voice: Column, speed: Column, pitch: Column, instructions: Column) -> DataFrame:
+def requests(table: DataFrame, side: str, voice: Column, speed: Column, pitch: Column, instructions: Column, engine: Column | None = None) -> DataFrame:
     """What is asked of a speech engine for one side: options that are at their defaults, or that a voice rejects, are null."""
     spoken = F.col("target_text") if side == "target" else F.col("native_text")
     return table.withColumns(
         {
             "side": F.lit(side),
             "spoken": spoken,
+            "engine": F.lit(None).cast("string") if engine is None else engine,
             "voice": voice,
             "language": paths.voice_language(voice),
             "speaking_rate": F.when(speed != 1.0, speed),

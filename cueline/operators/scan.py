@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,3 +95,13 @@ def first_rows(rows: DataFrame, group: str, order: tuple[str, ...], shown: Colum
     window = Window.partitionBy(group).orderBy(*order)
     counted = rows.withColumns({"_idx": F.row_number().over(window) - 1, "_n": F.count("*").over(Window.partitionBy(group))})
     return counted.filter(F.col("_idx") < n).select(group, F.col("_idx").alias("idx"), text.preview(shown, 40).alias("shown"), F.greatest(F.col("_n") - n, F.lit(0)).alias("more"))
+
+
+def log_lines(outcomes: DataFrame, at: datetime) -> DataFrame:
+    """A ``line`` of a log file for each item's outcome: time, level and what became of it."""
+    failed, skipped = F.col("status") == "failed", F.col("status") == "skipped"
+    level = F.rpad(F.when(failed, "ERROR").when(F.col("n_fallback") > 0, "WARNING").otherwise("INFO"), 7, " ")
+    silent = F.when(F.col("n_fallback") > 0, F.concat(F.lit(", "), F.col("n_fallback").cast("string"), F.lit(" clips became silence"))).otherwise("")
+    said = F.when(failed, F.concat(F.lit("failed: "), F.coalesce("error", F.lit("")))).when(skipped, "skipped, its results exist")
+    said = F.coalesce(said, F.concat(F.col("n_segments").cast("string"), F.lit(" segments in "), F.format_string("%.1f", "elapsed_s"), F.lit(" s"), silent))
+    return outcomes.select("item", F.lit("").alias("path"), F.concat(F.lit(f"{at:%Y-%m-%d %H:%M:%S} ["), level, F.lit("] "), "item", F.lit(": "), said).alias("line"))

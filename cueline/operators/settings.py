@@ -7,7 +7,10 @@ empty text counts as not given, a zero counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueline.operators import control
@@ -73,3 +76,26 @@ def for_items(items: DataFrame, table: DataFrame) -> DataFrame:
     rows = items.select("run_id", F.struct(*(c for c in items.columns if c != "run_id")).alias("_item")).join(table, "run_id")
     own = F.col("paths").withField("scan", F.lit("")).withField("audio", path("audio", "audio")).withField("lrc", path("audio", "lrc")).withField("text", path("text", "text"))
     return rows.withColumn("paths", own).withColumn("mode", F.col("_item.mode")).withColumnRenamed("_item", "item")
+
+
+def mode_of(run: Mapping) -> Column:
+    """:func:`resolved`'s mode of one run's settings."""
+    given = {k: F.lit(run["paths"][k]) for k in ("scan", "audio", "lrc", "text")}
+    return control.resolved_mode(given["scan"], F.lit(run["mode"]), given["audio"], given["lrc"], given["text"])
+
+
+def document(spark: SparkSession, path: str) -> str | None:
+    """A settings file as JSON, from any path that Spark reads: YAML where that library is installed, else JSON. A missing file is an error."""
+    content = "\n".join(r["value"] for r in spark.read.option("lineSep", "\n").text(path, wholetext=True).collect())
+    try:
+        import yaml
+    except ImportError:
+        return json.dumps(json.loads(content))
+    found = yaml.safe_load(content)
+    return None if found is None else json.dumps(found, default=str)
+
+
+def of_run(spark: SparkSession, user: str | None = None, override: Mapping | None = None) -> dict:
+    """The settings of one run as a dictionary of sections: defaults, the JSON document ``user`` and ``override`` (a nested dictionary)."""
+    rows = spark.createDataFrame([(user, None if override is None else json.dumps(override))], "user string, override string")
+    return settled(rows).drop("user", "override").first().asDict(recursive=True)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueline.functions import paths, text
-from cueline.operators import control, loops, media, scan, segments
+from cueline.operators import control, loops, media, scan, segments, settings
 from cueline.sources import files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,26 +295,47 @@ def q15c_unmatched_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loops.unmatched(segs, have, "user_id")
 
 
-def _split_sql(target: int, weak: int) -> str:
-    """The fold over pieces as a list_reduce with a struct; pieces come from regular expressions."""
-    piece = f"trim(x, {_BLANKS})"
-    strong = "list_filter(list_transform(regexp_extract_all(whole, '[^。！？!?.;；\\n]*[。！？!?.;；\\n]+|[^。！？!?.;；\\n]+'), lambda x: {0}), lambda x: x <> '')".format(piece)
-    clauses = "list_filter(list_transform(regexp_extract_all(s, '[^，、,]*[，、,]+|[^，、,]+'), lambda x: {0}), lambda x: x <> '')".format(piece)
-    return f"""WITH docs AS (SELECT doc_id, trim(text, {_BLANKS}) AS whole FROM documents),
-sentences AS (SELECT doc_id, CASE WHEN len({strong}) = 0 AND whole <> '' THEN [whole] ELSE {strong} END AS ss FROM docs),
-each AS (SELECT doc_id, k, ss[k] AS s FROM sentences, unnest(range(1, len(ss) + 1)) AS t(k)),
-parted AS (
-  SELECT doc_id, k, CASE WHEN length(s) <= {target} THEN [s] WHEN len({clauses}) > 1 THEN {clauses}
-                         ELSE list_transform(range(0, length(s), {weak}), lambda o: s[o + 1 : o + {weak}]) END AS ps FROM each),
-pieces AS (SELECT doc_id, flatten(list(ps ORDER BY k)) AS ps FROM parted GROUP BY doc_id),
-folded AS (
-  SELECT doc_id, list_reduce(list_transform(ps, lambda q: {{'done': []::VARCHAR[], 'now': q, 'strong': regexp_matches(q, '[。！？!?.;；\\n]')}}),
+_STRONG_RUNS = "list_filter(list_transform(regexp_extract_all({0}, '[^。！？!?.;；\\n]*[。！？!?.;；\\n]+|[^。！？!?.;；\\n]+'), lambda x: {1}), lambda x: x <> '')".format("{0}", f"trim(x, {_BLANKS})")
+_WEAK_RUNS = "list_filter(list_transform(regexp_extract_all({0}, '[^，、,]*[，、,]+|[^，、,]+'), lambda x: {1}), lambda x: x <> '')".format("{0}", f"trim(x, {_BLANKS})")
+
+
+def _split_ctes(source: str, target: int, weak: int, n: str = "", key: str = "doc_id") -> str:
+    """``out{n}(key, i, piece)``: the pieces of ``source(key, text)``. The fold over pieces is a list_reduce with a struct; pieces come from regular expressions."""
+    strong, clauses = _STRONG_RUNS.format("whole"), _WEAK_RUNS.format("s")
+    return f"""docs{n} AS (SELECT {key}, trim(text, {_BLANKS}) AS whole FROM {source}),
+sentences{n} AS (SELECT {key}, CASE WHEN len({strong}) = 0 AND whole <> '' THEN [whole] ELSE {strong} END AS ss FROM docs{n}),
+each{n} AS (SELECT {key}, k, ss[k] AS s FROM sentences{n}, unnest(range(1, len(ss) + 1)) AS t(k)),
+parted{n} AS (
+  SELECT {key}, k, CASE WHEN length(s) <= {target} THEN [s] WHEN len({clauses}) > 1 THEN {clauses}
+                         ELSE list_transform(range(0, length(s), {weak}), lambda o: s[o + 1 : o + {weak}]) END AS ps FROM each{n}),
+pieces{n} AS (SELECT {key}, flatten(list(ps ORDER BY k)) AS ps FROM parted{n} GROUP BY {key}),
+folded{n} AS (
+  SELECT {key}, list_reduce(list_transform(ps, lambda q: {{'done': []::VARCHAR[], 'now': q, 'strong': regexp_matches(q, '[。！？!?.;；\\n]')}}),
     lambda a, b: CASE WHEN length(a.now) + length(b.now) <= (CASE WHEN a.strong OR b.strong THEN {target} ELSE {weak} END)
       THEN {{'done': a.done, 'now': a.now || b.now, 'strong': a.strong OR b.strong}}
       ELSE {{'done': list_append(a.done, a.now), 'now': b.now, 'strong': b.strong}} END) AS f
-  FROM pieces)
-SELECT doc_id, (i - 1)::INTEGER AS piece_no, out[i] AS piece
-FROM (SELECT doc_id, list_append(f.done, f.now) AS out FROM folded), unnest(range(1, len(out) + 1)) AS t(i)"""
+  FROM pieces{n}),
+out{n} AS (
+  SELECT {key}, i - 1 AS i, found[i] AS piece
+  FROM (SELECT {key}, list_append(f.done, f.now) AS found FROM folded{n}), unnest(range(1, len(found) + 1)) AS t(i))"""
+
+
+def _split_sql(target: int, weak: int) -> str:
+    return f"WITH {_split_ctes('documents', target, weak)} SELECT doc_id, i::INTEGER AS piece_no, piece FROM out"
+
+
+def _split_levels_sql(accepted: int) -> str:
+    """Level by level: pieces with too long a sentence are split again where that makes more than one of them."""
+    key, ctes, found = "doc_id, path", ["starts AS (SELECT doc_id, '' AS path, text FROM documents)"], []
+    for d in range(control.DEPTH + 1):
+        rejected = f"coalesce(list_max(list_transform({_STRONG_RUNS.format('piece')}, lambda x: length(x))), 0) > {accepted}"
+        ctes.append(_split_ctes("starts" if d == 0 else f"again{d - 1}", *control.split_limits(d), str(d), key))
+        only = "" if d == 0 else " QUALIFY count(*) OVER (PARTITION BY doc_id, path) > 1"
+        ctes.append(f"level{d} AS (SELECT doc_id, path AS above, path || CASE WHEN path = '' THEN '' ELSE '.' END || i AS path, piece, {rejected} AS rejected FROM out{d}{only})")
+        ctes.append(f"again{d} AS (SELECT doc_id, path, piece AS text FROM level{d} WHERE rejected)")
+        kept = "" if d == control.DEPTH else f" WHERE NOT EXISTS (SELECT 1 FROM level{d + 1} n WHERE n.doc_id = l.doc_id AND n.above = l.path)"
+        found.append(f"SELECT doc_id, path, {d} AS depth, piece, rejected FROM level{d} l{kept}")
+    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(found)}"
 
 
 def _split(spark: SparkSession, sf_dir: str, target: int, weak: int) -> DataFrame:
@@ -337,10 +358,11 @@ def q17b_split_level_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir, 20, 15)
 
 
-@query()
+@query(_split_levels_sql(40))
 def q17c_split_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves of all splitting levels for an engine that takes sentences of 40 characters."""
-    return control.split_levels(table(spark, sf_dir, "documents").select("doc_id", "text"), 40, "doc_id")
+    leaves = control.split_levels(table(spark, sf_dir, "documents").select("doc_id", "text"), 40, "doc_id")
+    return leaves.withColumn("path", F.array_join("path", "."))
 
 
 _FILES = """files AS (
@@ -578,3 +600,107 @@ def q34_extract_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = media.chunk_plan(media_lengths(spark, sf_dir)).withColumn("source", F.concat("stem", F.lit(".mp4")))
     there = plan.filter("o_orderkey % 3 = 0 OR (o_orderkey % 3 = 1 AND chunk_no > 1)").select(F.col("output").alias("name"))
     return media.extract_status(plan, there)
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN e IN ('edge', 'openai', 'google') THEN e ELSE 'google' END AS engine, coalesce(g_cli, g_user, 0)::DOUBLE AS gain,
+       nullif(n_user, '')::DOUBLE AS normalize, coalesce(p_user, 0)::DOUBLE AS pitch, 0.5::DOUBLE AS after_native, coalesce(r_user, 44100)::INTEGER AS sample_rate,
+       CASE WHEN scan THEN 'batch' WHEN mode = 'audio' THEN NULL WHEN t THEN 'text' END AS run_mode
+FROM (SELECT c_custkey, coalesce(CASE WHEN c_custkey % 7 = 1 THEN 'edge' END, CASE c_mktsegment WHEN 'BUILDING' THEN 'openai' WHEN 'FURNITURE' THEN 'other' END, 'google') AS e,
+             CASE WHEN c_custkey % 4 = 0 THEN 0 END AS g_cli, CASE WHEN c_custkey % 3 = 0 THEN -6.5 END AS g_user,
+             CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 5 = 1 THEN '-18.5' END AS n_user,
+             CASE WHEN c_custkey % 2 = 0 THEN 1.5 END AS p_user, CASE WHEN c_custkey % 11 = 0 THEN 8000 END AS r_user,
+             c_custkey % 9 = 0 AS scan, c_custkey % 5 < 3 AS t, CASE WHEN c_custkey % 6 = 0 THEN 'audio' END AS mode FROM customer)"""
+)
+def q26b_settled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' documents and overrides as JSON, through the whole settings table: sections, nested ones, types, modes."""
+    k = F.col("c_custkey")
+    section = lambda **fields: F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())))
+    engine = F.when(F.col("c_mktsegment") == "BUILDING", "openai").when(F.col("c_mktsegment") == "FURNITURE", "other")
+    google = F.struct(F.when(k % 2 == 0, F.lit(1.5)).alias("pitch"))
+    tts = F.struct(engine.alias("engine"), F.when(k % 3 == 0, F.lit(-6.5)).alias("gain"), F.when(k % 5 == 0, "").when(k % 5 == 1, "-18.5").alias("normalize"), google.alias("google"))
+    user = section(mode=F.when(k % 6 == 0, "audio"), tts=tts, output=F.struct(F.when(k % 11 == 0, F.lit(8000)).alias("sample_rate")))
+    own = F.struct(F.when(k % 9 == 0, "folder").alias("scan"), F.when(k % 5 < 3, "t.txt").alias("text"))
+    override = section(paths=own, tts=F.struct(F.when(k % 7 == 0, "").when(k % 7 == 1, "edge").alias("engine"), F.when(k % 4 == 0, F.lit(0)).alias("gain")))
+    found = settings.resolved(settings.settled(table(spark, sf_dir, "customer").select("c_custkey", user.alias("user"), override.alias("override"))))
+    return found.select("c_custkey", "tts.engine", "tts.gain", "tts.normalize", "google.pitch", "timing.after_native", "output.sample_rate", "run_mode")
+
+
+@query(
+    f"""WITH {_FILES}
+SELECT 'audio' AS asked, dir, mode, stem FROM items WHERE mode = 'audio' UNION ALL SELECT 'text', dir, 'text', stem FROM fresh WHERE ext = 'txt'"""
+)
+def q18c_scan_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of a run that is asked for sound only, and that of one for texts only, where nothing is paired."""
+    found = part_files(spark, sf_dir)
+    one = lambda mode: scan.work_items(found, mode).select(F.lit(mode).alias("asked"), "dir", "mode", "stem")
+    return one("audio").unionByName(one("text"))
+
+
+@query(
+    f"WITH {_FILES} SELECT dir, count(*) FILTER (mode = 'audio') AS n_audio, count(*) FILTER (mode = 'text') AS n_text FROM items GROUP BY dir"
+)
+def q20b_items_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = scan.work_items(part_files(spark, sf_dir))
+    return items.groupBy("dir").agg(F.count_if(F.col("mode") == "audio").alias("n_audio"), F.count_if(F.col("mode") == "text").alias("n_text"))
+
+
+@query(
+    f"""WITH {_FILES}
+SELECT dir, coalesce(audio, text) AS label, 'in/' || stem || '_echo.m4a' AS audio_out, 'in/' || stem || '_echo.lrc' AS lrc_out FROM items
+UNION ALL SELECT dir, coalesce(audio, text), 'out/' || stem || '.wav', 'out/' || stem || '.lrc' FROM items"""
+)
+def q19b_output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results beside the source, and those that the settings name."""
+    items = scan.work_items(part_files(spark, sf_dir)).withColumn("label", scan.label())
+    none, source = F.lit(None).cast("string"), F.concat(F.lit("in/"), "label")
+    beside = paths.output_paths(F.col("mode"), source, none, none, F.lit("m4a"))
+    named = paths.output_paths(F.col("mode"), source, F.concat(F.lit("out/"), "stem", F.lit(".wav")), F.lit(""), F.lit("m4a"))
+    one = lambda found: items.select("dir", "label", found[0].alias("audio_out"), found[1].alias("lrc_out"))
+    return one(beside).unionByName(one(named))
+
+
+@query(
+    f"""WITH {_SEGMENTS}, spoken AS (SELECT * FROM segs WHERE idx % 7 <> 3)
+SELECT s.user_id, s.idx, (s.idx * 37) % 900 + 100 AS target_ms, (s.idx * 11) % 500 AS native_ms FROM spoken s"""
+)
+def q15d_with_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments joined to their clips by number; those without clips are left out."""
+    segs = track_segments(spark, sf_dir)
+    idx = F.col("idx")
+    clips = segs.filter("idx % 7 <> 3").select("user_id", "idx", (idx * 37 % 900 + 100).alias("target_ms"), (idx * 11 % 500).alias("native_ms"))
+    return loops.with_clips(segs, clips, "user_id").select("user_id", "idx", "target_ms", "native_ms")
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 97) || '...' ELSE text END AS shortened, replace(left(text, 30), chr(10), ' ') AS snippet,
+       array_to_string(string_split(text, ' ')[-3:], ' ') AS tail, regexp_matches(text, '[。！？!?.;；\\n]') AS strong FROM documents"""
+)
+def q35_log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    tail = F.array_join(text.last_items(F.split(t, " "), 3), " ")
+    return table(spark, sf_dir, "documents").select("doc_id", text.shortened(t, 100).alias("shortened"), text.snippet(t).alias("snippet"), tail.alias("tail"), text.has_strong(t).alias("strong"))
+
+
+@query(
+    f"""WITH {_FILES}, found AS (SELECT dir, dir || '/' || base0 || ending || '.' || ext AS source, base0 || ending AS stem, ext, ext = 'mp3' AS itself FROM files WHERE lower(ext) IN ('mp3', 'wav'))
+SELECT dir, source, CASE WHEN itself OR EXISTS (SELECT 1 FROM files f WHERE f.dir = found.dir AND f.base0 || f.ending = stem AND f.ext = 'mp3') THEN 'skipped' ELSE 'run' END AS status FROM found"""
+)
+def q34b_extract_sound_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sound files themselves: one that would overwrite itself is skipped, and one whose result lies beside it in the same folder."""
+    listed = part_files(spark, sf_dir)
+    known = listed.filter(paths.extension(F.col("name")).isin("mp3", "wav"))
+    plan = media.chunk_plan(known.withColumns({"stem": paths.stem(F.col("name")), "duration_s": F.lit(60.0)})).withColumnRenamed("name", "source")
+    return media.extract_status(plan, listed).select("dir", F.concat_ws("/", "dir", "source").alias("source"), "status")
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CASE WHEN length(o_comment_like) > 100 THEN left(o_comment_like, 97) || '...' ELSE o_comment_like END END AS error
+FROM (SELECT o_orderkey, o_orderstatus, 'reason ' || repeat(o_orderpriority || ' ', 1 + (o_orderkey % 12)::INTEGER) || 'end' AS o_comment_like FROM orders) WHERE o_orderstatus = 'F'"""
+)
+def q30b_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last line of each failed item's error, shortened."""
+    told = F.concat(F.lit("Traceback\n  at 1\nreason "), F.repeat(F.concat("o_orderpriority", F.lit(" ")), (1 + F.col("o_orderkey") % 12).cast("int")), F.lit("end\n"))
+    status = F.when(F.col("o_orderstatus") == "F", "failed").otherwise("succeeded")
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), status.alias("status"), told.alias("error"))
+    return scan.failures(runs).withColumnRenamed("item", "o_orderkey")

@@ -6,20 +6,36 @@ file's lines keep their numbers, and a leading byte-order mark stays in its firs
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueline.functions import paths, text
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """``dir``, ``name``, ``size`` of the regular files of one folder. Empty files are rows of no Spark source: they count as missing."""
+    """``dir``, ``name``, ``size`` of the regular files of one folder, empty ones included.
+
+    No content is read. The source has no row of an empty file, but lists its name, which the driver gets with the
+    others of the folder. As with all sources of Spark, names that begin with a dot or an underscore are left out.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
-    return found.select(
-        F.regexp_replace("path", "/[^/]*$", "").alias("dir"),
-        F.regexp_extract("path", "([^/]*)$", 1).alias("name"),
-        F.col("length").alias("size"),
-    )
+    names = [tuple(unquote(f).rsplit("/", 1)) for f in found.inputFiles()]
+    listed = spark.createDataFrame(names, "dir string, name string")
+    sizes = found.select(parent(F.col("path")).alias("dir"), leaf(F.col("path")).alias("name"), F.col("length").alias("size"))
+    # A directory of one machine may be named file:/x or file:///x.
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    listed, sizes = listed.withColumn("dir", plain("dir")), sizes.withColumn("dir", plain("dir"))
+    return listed.join(sizes, ["dir", "name"], "left").withColumn("size", F.coalesce("size", F.lit(0)))
+
+
+def parent(path: Column) -> Column:
+    return F.regexp_replace(path, "/[^/]*$", "")
+
+
+def leaf(path: Column) -> Column:
+    return F.regexp_extract(path, "([^/]*)$", 1)
 
 
 def media_listing(files: DataFrame) -> DataFrame:

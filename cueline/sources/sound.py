@@ -1,7 +1,7 @@
-"""Sound as rows: decoded WAV files, slices of tracks, volume, and tracks put together from parts.
+"""Sound as rows: decoded WAV files, slices of tracks, volume, and parts of tracks.
 
-Samples are 16-bit PCM in a binary column. A row is one clip or one track, so its size is that
-of a media file. Other formats need a decoder: pass one to :func:`decoded`.
+Samples are 16-bit PCM in a binary column. A row is one clip or one source file; a new track is
+the ordered rows of its parts and never one row. Other formats need a decoder: pass one to :func:`decoded`.
 """
 
 from __future__ import annotations
@@ -16,7 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from cueline.functions.workers import reach_package
+
 SOUND = "duration_ms bigint, frame_rate int, channels int, dbfs double, pcm binary"
+NAMES = ["duration_ms", "frame_rate", "channels", "dbfs", "pcm"]
+#: What a decoder gives: ``NAMES`` of a file's content, or none if it cannot read it.
+Decoder = Callable[[bytes], tuple[int, int, int, float, bytes] | None]
 #: Loudness of silence.
 SILENCE_DBFS = -200.0
 
@@ -35,21 +40,27 @@ def read_wav(content: bytes) -> tuple[int, int, int, float, bytes] | None:
             if f.getsampwidth() != 2:
                 return None
             pcm = f.readframes(f.getnframes())
-            return round(1000 * f.getnframes() / f.getframerate()), f.getframerate(), f.getnchannels(), loudness(pcm), pcm
+            return milliseconds(len(pcm), f.getframerate(), f.getnchannels()), f.getframerate(), f.getnchannels(), loudness(pcm), pcm
     except (wave.Error, EOFError):
         return None
 
 
-def decoded(spark: SparkSession, *locations: str, decoder: Callable[[bytes], tuple | None] = read_wav) -> DataFrame:
-    """``path`` and the sound of files; null columns where ``decoder`` gives none."""
-    names = ["duration_ms", "frame_rate", "channels", "dbfs", "pcm"]
+def milliseconds(n_bytes: int, frame_rate: int, channels: int) -> int:
+    return round(1000 * n_bytes / (2 * channels * frame_rate))
+
+
+def decoded(spark: SparkSession, *locations: str, decoder: Decoder = read_wav, wanted: DataFrame | None = None) -> DataFrame:
+    """``path`` and the sound of files, all or those whose ``name`` is ``wanted``; null columns where ``decoder`` gives none."""
+    reach_package(spark)
 
     def decode(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [decoder(c) or (None,) * 5 for c in frame["content"]]
-            yield pd.concat([frame[["path"]].reset_index(drop=True), pd.DataFrame(rows, columns=names, dtype=object)], axis=1)
+            yield pd.concat([frame[["path"]].reset_index(drop=True), pd.DataFrame(rows, columns=NAMES, dtype=object)], axis=1)
 
     read = spark.read.format("binaryFile").load(list(locations)).select("path", "content")
+    if wanted is not None:
+        read = read.withColumn("name", F.regexp_extract("path", "([^/]*)$", 1)).join(wanted.select("name").distinct(), "name", "left_semi").drop("name")
     return read.mapInPandas(decode, f"path string, {SOUND}")
 
 
@@ -70,23 +81,45 @@ def amplified(pcm: pd.Series, db: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else one(d, g) for d, g in zip(pcm, db, strict=True)])
 
 
-def joined_tracks(parts: DataFrame, item: str = "item_id", order: tuple[str, ...] = ("idx", "pass", "part")) -> DataFrame:
-    """``item`` and ``pcm``: the samples of its parts (``pcm``) in order. An item's track is one file."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.hex("pcm").alias("samples"))))
-    return parts.groupBy(item).agg(F.unhex(F.array_join(F.transform(rows, lambda r: r["samples"]), "")).alias("pcm"))
+def reshaped(pcm: bytes, rate: int, channels: int, to_rate: int, to_channels: int) -> bytes:
+    """Samples at another rate (linear between the old ones) and number of channels (the first is repeated, or all are averaged)."""
+    frames = np.frombuffer(pcm, "<i2").reshape(-1, channels)
+    if channels != to_channels:
+        one = frames.mean(axis=1, keepdims=True) if channels > 1 else frames
+        frames = np.repeat(one, to_channels, axis=1)
+    if rate != to_rate and len(frames):
+        at = np.arange(round(len(frames) * to_rate / rate)) * (rate / to_rate)
+        frames = np.stack([np.interp(at, np.arange(len(frames)), frames[:, k]) for k in range(to_channels)], axis=1)
+    return np.round(frames).astype("<i2").tobytes()
 
 
 @F.pandas_udf(BinaryType())
-def wav_file(pcm: pd.Series, frame_rate: pd.Series, channels: pd.Series) -> pd.Series:
-    """Samples as a WAV file's bytes."""
-
-    def one(data: bytes, rate: int, n: int) -> bytes:
-        out = io.BytesIO()
-        with wave.open(out, "wb") as f:
-            f.setnchannels(int(n))
-            f.setsampwidth(2)
-            f.setframerate(int(rate))
-            f.writeframes(data)
-        return out.getvalue()
-
-    return pd.Series([one(*x) for x in zip(pcm, frame_rate, channels, strict=True)])
+def at_rate(pcm: pd.Series, frame_rate: pd.Series, channels: pd.Series, to_rate: pd.Series, to_channels: pd.Series) -> pd.Series:
+    """:func:`reshaped` for a column."""
+    rows = zip(pcm, frame_rate, channels, to_rate, to_channels, strict=True)
+    return pd.Series([None if x[0] is None else reshaped(x[0], *map(int, x[1:])) for x in rows])
+
+
+def wav_header(n_bytes: int, rate: int, channels: int) -> bytes:
+    """The header of a WAV file of so many bytes of samples, which follow it."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(channels)
+        f.setsampwidth(2)
+        f.setframerate(rate)
+        f.setnframes(n_bytes // (2 * channels))
+        f.writeframesraw(b"")
+    head = bytearray(out.getvalue())
+    head[4:8], head[40:44] = (36 + n_bytes).to_bytes(4, "little"), n_bytes.to_bytes(4, "little")
+    return bytes(head)
+
+
+def wav_bytes(pcm: bytes, rate: int, channels: int) -> bytes:
+    return wav_header(len(pcm), rate, channels) + pcm
+
+
+def stand_in_voice(request: dict) -> bytes:
+    """WAV of a stand-in voice, which hums for a fixed time for each character: 60 ms (target) or 80 ms (native), and 200 ms more."""
+    ms = len(request["spoken"]) * (60 if request["side"] == "target" else 80) + 200
+    tone = np.sin(np.arange(8 * ms) * (0.2 if request["side"] == "target" else 0.3)) * 6000
+    return wav_bytes(tone.astype("<i2").tobytes(), 8000, 1)
