@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cueline.functions.workers import reach_package, shared_folder, written  # noqa: F401
+
 #: The letters that "lower-case A-Z" speaks of.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,38 +29,12 @@ BLANK_WORD = _none_of(" \t\n\v\f\r")
 BLANKS_CLASS = BLANK_WORD.removeprefix("[^").removesuffix("]+")
 
 
-def _local(spark: SparkSession) -> bool:
-    """True for a session whose tasks run in the driver's own process and machine."""
-    return spark.sparkContext.master.partition("[")[0] == "local"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session, as in tests, gets a folder of this machine where that is unset; on a cluster it is an error.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not _local(spark):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir()
-
-
 def settled(df: DataFrame) -> DataFrame:
     """The rows of ``df``, checkpointed once to the shared folder, so that later plans start from them."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written to the shared folder as Parquet and reread."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def apart_from_its_rows(key: str) -> Column:
     """The same 64-bit key, as a value that no partitioning is known for.
 
@@ -89,11 +60,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     for name, value in BATCHES.items():
         if spark.conf.get(name, None) is None:
             spark.conf.set(name, value)
-    if _local(spark):
-        # A local session may only have this package on the driver's path. A cluster has it installed or gets it with --py-files.
-        here, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-        if here not in environment.get("PYTHONPATH", "").split(os.pathsep):
-            environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), here]))
+    reach_package(spark)
     return df
 
 
