@@ -6,9 +6,9 @@ for each run of separators. A text is scanned once; where its words begin and en
 is kept, so that a match maps to words and to offsets in the original.
 
 The automaton is built in the tasks from the items' normalised texts, which the
-driver reads in blocks of a bounded size. One block is one scan and shuffles
-nothing; for a larger benchmark the rows, with the hits so far, are written and
-scanned again by the next block.
+driver reads and broadcasts in blocks of a bounded size, one after the other. The table is read once, nothing is
+shuffled or written in between, and the plan is the same for any benchmark. What a task holds is bounded as well: one block's automaton,
+and texts of a bounded size, over which a larger benchmark's blocks pass in turn.
 
 Defined results: null and wordless texts have no words and no hits; a wordless item
 has no window; items of one id count once. An empty benchmark leaves every document
@@ -23,16 +23,19 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cueline.llm.hashing import NOT_ALNUM, byte_classes, steps, utf8_view, word_bounds
-from cueline.llm.tables import ALNUM_WORD, lower_ascii, settled, small_batches
+from cueline.llm.tables import ALNUM_WORD, lower_ascii, small_batches
 
 WINDOW = 10
 #: Characters of normalised benchmark text that one automaton is built from; an item is not divided.
 BLOCK_CHARS = 1 << 20
+#: Bytes of texts that a task holds while the blocks of a benchmark of several pass over them.
+HELD_BYTES = 1 << 25
 
 _LOWER, _APART = byte_classes(NOT_ALNUM)
 _RESULT = ("n_words", "spans", "items")
@@ -125,28 +128,48 @@ def _merged(old: list[dict], new: list[dict]) -> list[dict]:
     return out
 
 
-def _scan(df: DataFrame, text_col: str, items: list[tuple[str, str]], window: int, keep_text: bool) -> DataFrame:
-    """``df`` with this block's hits, or with them added to those it has."""
-    again = _RESULT[1] in df.columns
+def _hits(texts: pa.Array, built: tuple) -> tuple[np.ndarray, dict[int, tuple[list[dict], set[str]]]]:
+    """:func:`_matches` of a batch's texts, some at a time."""
+    data, offsets = utf8_view(texts)
+    words: list[np.ndarray] = [np.zeros(0, np.int64)]
+    found: dict[int, tuple[list[dict], set[str]]] = {}
+    for low, high in steps(offsets):
+        count, hits = _matches(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], built)
+        words.append(count)
+        found |= {low + d: own for d, own in hits.items()}
+    return np.concatenate(words), found
+
+
+def _scan(df: DataFrame, text_col: str, blocks: list[Broadcast], window: int, keep_text: bool) -> DataFrame:
+    """``df`` with the hits of all blocks."""
     kept = [c for c in df.columns if c not in _RESULT and (keep_text or c != text_col)]
 
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = _automaton(items, window)
+    def held(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        some: list[pa.RecordBatch] = []
         for batch in batches:
-            data, offsets = utf8_view(batch.column(text_col))
-            words: list[np.ndarray] = [np.zeros(0, np.int64)]
-            spans: list[list[dict]] = batch.column("spans").to_pylist() if again else [[] for _ in range(batch.num_rows)]
-            found: list[set[str]] = [set(x) for x in batch.column("items").to_pylist()] if again else [set() for _ in spans]
-            for low, high in steps(offsets):
-                part = data[offsets[low] : offsets[high]]
-                count, hits = _matches(part, offsets[low : high + 1] - offsets[low], built)
-                words.append(count)
-                for d, (own, own_items) in hits.items():
-                    spans[low + d] = _merged(spans[low + d], own)
-                    found[low + d] |= own_items
-            values = np.concatenate(words), spans, [sorted(x) for x in found]
-            columns = [batch.column(c) for c in kept] + [pa.array(v, t) for v, t in zip(values, _ARROW, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *_RESULT])
+            some.append(batch)
+            if len(blocks) == 1 or sum(x.nbytes for x in some) >= HELD_BYTES:
+                yield some
+                some = []
+        if some:
+            yield some
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in held(batches):
+            counts = [np.zeros(x.num_rows, np.int64) for x in some]
+            spans: list[list[list[dict]]] = [[[] for _ in range(x.num_rows)] for x in some]
+            items: list[list[set[str]]] = [[set() for _ in range(x.num_rows)] for x in some]
+            for block in blocks:
+                built = _automaton(block.value, window)
+                for k, batch in enumerate(some):
+                    counts[k], hits = _hits(batch.column(text_col), built)
+                    for d, (own, own_items) in hits.items():
+                        spans[k][d] = _merged(spans[k][d], own)
+                        items[k][d] |= own_items
+            for k, batch in enumerate(some):
+                values = counts[k], spans[k], [sorted(x) for x in items[k]]
+                columns = [batch.column(c) for c in kept] + [pa.array(v, t) for v, t in zip(values, _ARROW, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *_RESULT])
 
     fields = [f for f in df.schema.fields if f.name in kept]
     return small_batches(df).mapInArrow(scan, T.StructType(fields + _FIELDS))
@@ -172,13 +195,12 @@ def contamination(
     words = F.regexp_extract_all(lower_ascii(F.col(item_text_col)), F.lit(ALNUM_WORD), F.lit(0))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.array_join(words, " ").alias("words")).filter("words <> ''").distinct()
     chars = items.agg(F.sum(F.length("words"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
-    out = df
-    for i in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == i)
-        last = i == blocks - 1
-        out = _scan(out, text_col, sorted(tuple(x) for x in block.collect()), window, keep_text or not last)
-        out = out if last else settled(out)
+    n = max(1, -(-chars // block_chars))
+    blocks = []
+    for i in range(n):
+        block = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == i)
+        blocks.append(df.sparkSession.sparkContext.broadcast(sorted(tuple(x) for x in block.collect())))
+    out = _scan(df, text_col, blocks, window, keep_text)
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"] + 1)
     return out.withColumns({"n_hit": hit, "n_items": F.size("items").cast("bigint"), "contaminated": F.size("spans") > 0})
 

@@ -127,3 +127,24 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np
     for i in range(width):
         out += np.where(length > i, padded[start + i] * odd[i], np.uint64(0))
     return mix(out), at
+
+
+#: An odd base for hashes of runs of values.
+_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def running(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix sums of values times powers, and the powers and their inverses: what :func:`run_hash` needs."""
+    n = len(values) + 1
+    base, inverse = np.full(n, _BASE), np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)))
+    base[0] = inverse[0] = np.uint64(1)
+    up, down = np.multiply.accumulate(base), np.multiply.accumulate(inverse)
+    total = np.zeros(n, np.uint64)
+    np.cumsum(values * up[:-1], out=total[1:])
+    return total, up, down
+
+
+def run_hash(sums: tuple[np.ndarray, np.ndarray, np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A hash of the values in each run, wherever it stands."""
+    total, _, down = sums
+    return (total[high] - total[low]) * down[low]

@@ -2,15 +2,18 @@
 
 A text's words are cut into overlapping blocks; a template is the set of its words. A
 template is found in a block that contains at least its share of them: all words for the
-phrases, which then must stand consecutively as well, and ``NOTICE_SHARE`` for the notices,
-whose wording varies.
+phrases, which then must stand consecutively as well, and ``NOTICE_SHARE`` for the notices and
+licenses, whose wording varies. Blocks follow the templates: a template is looked for in blocks that start
+at every so many words as the next power of two from its own length, ``STRIDE`` at least, and have twice as many. So a
+template of any length that stands in a text lies in one block.
 
 The join orders the templates' words by their frequency in the whole corpus, rarest
-first. A block that reaches the share has one of the first ``size - least + 1`` of them
-(prefix filter), at least ``least`` distinct words (length filter), and its first shared
-word leaves enough of the template behind it (positional filter). So only blocks with a
-rare word of a template are looked at, each pair of block and template once, at its first
-shared word. The templates are arguments of the caller and fit any plan; they are
+first. Words of a block that no template has cannot be shared; the others are sorted by the same order.
+A block that reaches the share has one of the template's first ``size - least + 1`` words
+(prefix filter) and at least ``least`` words of templates (length filter). At a shared word, no more
+words can be shared than are left from there on, on either side: what is left of the template suffices at
+all places of its prefix, and what is left of the block is asked for (positional filter). Each pair of block and template
+that passes is compared once, at its first shared word. The templates are arguments of the caller and fit any plan; they are
 broadcast. Documents are never grouped, and blocks are not shuffled.
 
 Defined results: null and wordless texts have no words and no places. Rows of equal id
@@ -21,33 +24,28 @@ like a result column are replaced.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cueline.llm.license_texts import NOTICES, PHRASES
 from cueline.llm.tables import ALNUM_WORD, ANY_CASE_WORD, apart
 
-# The base phrases and the opening words of common notices, with their labels.
-PHRASES = (
-    ("gnu general public license", "gpl"),
-    ("apache license", "apache"),
-    ("cc by", "cc-by"),
-    ("mit license", "mit"),
-)
-NOTICES = (
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
-    ("licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache"),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
-    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl"),
-    ("all rights reserved no part of this work may be reproduced or transmitted in any form without prior written permission", "reserved"),
-)
 NOTICE_SHARE = 0.8
-#: A block starts at every so many words, and has twice as many.
+#: The least distance of two blocks of one kind; a block has twice as many words.
 STRIDE = 64
+_WORD = re.compile(ALNUM_WORD)
+
+
+def template_words(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def stride_of(n_words: int, least: int = STRIDE) -> int:
+    """The distance of the blocks in which a template of so many words is looked for."""
+    return max(least, 1 << max(0, n_words - 1).bit_length())
 
 
 def words_of(text: Column) -> Column:
@@ -66,16 +64,52 @@ def frequencies(df: DataFrame, text_col: str, vocabulary: Sequence[str]) -> dict
     return {w: 0 for w in vocabulary} | {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def template_index(df: DataFrame, text_col: str, phrases: Sequence[tuple[str, str]], notices: Sequence[tuple[str, str]], share: float) -> list[tuple]:
-    """Rows (word, template, label, place of the word, tokens, least, phrase) for the words of every template's prefix."""
-    templates = [(text.split(), label, 1.0, True) for text, label in phrases] + [(text.split(), label, share, False) for text, label in notices]
+def template_index(df: DataFrame, text_col: str, phrases: Sequence[tuple[str, str]], notices: Sequence[tuple[str, str]], share: float, stride: int) -> tuple[list[str], list[tuple]]:
+    """The templates' words in their order, and rows (word, stride, template, label, tokens, least, phrase) for the words of every template's prefix."""
+    templates = [(template_words(text), label, 1.0, True) for text, label in phrases] + [(template_words(text), label, share, False) for text, label in notices]
     often = frequencies(df, text_col, sorted({w for words, *_ in templates for w in words}))
+    order = lambda w: (often[w], w)
     rows = []
     for number, (words, label, part, phrase) in enumerate(templates):
-        tokens = sorted(set(words), key=lambda w: (often[w], w))
+        tokens = sorted(set(words), key=order)
         least = math.ceil(round(part * len(tokens), 6))
-        rows += [(w, number, label, place, tokens, least, words if phrase else None) for place, w in enumerate(tokens[: len(tokens) - least + 1])]
-    return rows
+        rows += [(w, stride_of(len(words), stride), number, label, tokens, least, words if phrase else None) for w in tokens[: len(tokens) - least + 1]]
+    return sorted(often, key=order), rows
+
+
+def blocks_of(texts: DataFrame, rows: list[tuple]) -> DataFrame:
+    """``stride``, ``start`` and ``words`` of the blocks of texts (``words`` and any other columns) that have a word of a prefix, for every stride of the index."""
+    strides = sorted({r[1] for r in rows})
+    prefix = {s: F.lit(sorted({r[0] for r in rows if r[1] == s})) for s in strides}
+    # A text needs a phrase's prefix word, or as many words as the least that any notice asks for.
+    of_phrases = F.lit(sorted({r[0] for r in rows if r[6] is not None})).cast("array<string>")
+    of_notices = F.lit(sorted({w for r in rows if r[6] is None for w in r[4]})).cast("array<string>")
+    enough = F.arrays_overlap("words", of_phrases) | (F.size(F.array_intersect(of_notices, "words")) >= min((r[5] for r in rows if r[6] is None), default=1 << 30))
+    others = [c for c in texts.columns if c != "words"]
+
+    def cut(stride: int) -> Column:
+        starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(stride))
+        return F.transform(starts, lambda i: F.struct(F.lit(stride).alias("stride"), i.alias("start"), F.slice("words", i + 1, F.lit(2 * stride)).alias("words")))
+
+    found = texts.filter((F.size("words") > 0) & enough).select(*others, F.explode(F.concat(*map(cut, strides))).alias("block")).select(*others, "block.*")
+    has = F.lit(False)
+    for s in strides:
+        has = has | ((F.col("stride") == s) & F.arrays_overlap("words", prefix[s]))
+    return found.filter(has)
+
+
+def candidates(blocks: DataFrame, vocabulary: list[str], rows: list[tuple], positional: bool = True) -> DataFrame:
+    """Pairs of blocks and templates to compare, each at the first word that they share, with ``shared`` words."""
+    index = F.broadcast(blocks.sparkSession.createDataFrame(rows, "probe string, of_stride int, template int, label string, tokens array<string>, least int, phrase array<string>"))
+    prefix = F.lit(sorted({r[0] for r in rows}))
+    # A block's words of templates, rarest first: the order of the first array is kept.
+    probes = blocks.withColumn("ordered", F.array_intersect(F.lit(vocabulary), "words"))
+    others = [c for c in probes.columns if c != "ordered"]
+    probes = probes.select(*others, F.size("ordered").alias("n_ordered"), F.posexplode("ordered").alias("place", "word")).filter(F.array_contains(prefix, F.col("word")))
+    shared = F.array_intersect("tokens", "words")
+    left = F.col("n_ordered") - F.col("place") if positional else F.col("n_ordered")
+    pairs = probes.join(index, (F.col("word") == F.col("probe")) & (F.col("stride") == F.col("of_stride")))
+    return pairs.filter(left >= F.col("least")).withColumn("shared", shared).filter(F.element_at("shared", 1) == F.col("word"))
 
 
 def license_scan(
@@ -95,29 +129,13 @@ def license_scan(
     """
     results = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     df = df.drop(*results)
-    if longest := [text for text, _ in [*phrases, *notices] if len(text.split()) > stride]:
-        raise ValueError(f"longer than a block's stride of {stride} words: {longest[0]!r}")
-    rows = template_index(df, text_col, phrases, notices, share)
-    prefix = F.lit(sorted({r[0] for r in rows}))
-    index = F.broadcast(df.sparkSession.createDataFrame(rows, "word string, template int, label string, place int, tokens array<string>, least int, phrase array<string>"))
-
+    vocabulary, rows = template_index(df, text_col, phrases, notices, share, stride)
     texts = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), words_of(F.col(text_col)).alias("words"))
-    texts = texts.filter((F.size("words") > 0) & F.arrays_overlap("words", prefix))
-    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(stride))
-    cut = F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice("words", i + 1, F.lit(2 * stride)).alias("words")))
-    blocks = texts.select("id", "key", F.explode(cut).alias("block")).select("id", "key", "block.*").filter(F.arrays_overlap("words", prefix))
-    probes = blocks.withColumn("word", F.explode(F.array_intersect("words", prefix)))
-
-    shared = F.array_intersect("tokens", "words")
-    pairs = probes.join(index, "word").filter(
-        (F.size(F.array_distinct("words")) >= F.col("least"))
-        & (F.size("tokens") - F.col("place") >= F.col("least"))
-        & (F.element_at(shared, 1) == F.col("word"))
-        & (F.size(shared) >= F.col("least"))
-    )
-    own = F.sequence(F.lit(0), F.least(F.lit(stride), F.size("words")) - 1)
+    pairs = candidates(blocks_of(texts, rows), vocabulary, rows).filter(F.size("shared") >= F.col("least"))
+    # A phrase's places are counted by the block that begins before them and not after its own half.
+    own = F.sequence(F.lit(0), F.least(F.col("stride"), F.size("words")) - 1)
     places = F.transform(F.filter(own, lambda i: F.slice("words", i + 1, F.size("phrase")) == F.col("phrase")), lambda i: i + F.col("start"))
-    found = pairs.select("id", "key", "start", "template", "label", (F.size(shared) / F.size("tokens")).alias("share"), F.when(F.col("phrase").isNotNull(), places).alias("places"))
+    found = pairs.select("id", "key", "start", "template", "label", (F.size("shared") / F.size("tokens")).alias("share"), F.when(F.col("phrase").isNotNull(), places).alias("places"))
     found = found.filter(F.col("places").isNull() | (F.size("places") > 0)).distinct()
     base = F.col("places").isNotNull()
     per_text = found.groupBy("id", "key").agg(

@@ -1,20 +1,22 @@
 """Line deduplication across documents by a deletion-neighbourhood join.
 
 Lines are compared by their words. A line goes if an earlier one (by document id, then line
-number) is the same, or, for lines of ``min_words`` and more, within one edit: a word put
-in, left out or changed. The earliest line of a text stays.
+number) is the same, or near: within one edit, a unit put in, left out or changed, that is no more than an
+eighth of the line. So units are the words of a line of eight words and more, and the characters (words parted by one blank) of a shorter
+one of eight characters and more; if either of two lines is of fewer than eight words, both are compared by characters. In a line of fewer than eight
+characters every edit is more than an eighth. The earliest line of a text stays.
 
 1. Every line becomes a 128-bit hash of its words; equal lines keep their earliest place.
 2. Two lines within one edit share their first or their last half: at least one of four
    half-line keys. Lines that share none have no partner and need no neighbourhood.
-3. The others emit all variants of one deletion as hashed keys. Lines that differ in one word share
-   a variant and its place; a line that is another's variant has one word less. In
+3. The others are fetched from their documents, whose texts are packed for that shuffle. They emit all variants of one deletion as hashed keys. Lines that differ in one unit share
+   a variant and its place; a line that is another's variant has one unit less. In
    each group of equal keys every line is compared with the earliest only, and
-   that pair's edit distance is verified on the words. No group's pairs are formed: all
+   that pair's edit distance is verified on the texts. No group's pairs are formed: all
    lines of a group are within the bound of its earliest.
 
 A very common line counts once, and a key that a third of all lines share is combined in
-the tasks before it is shuffled.
+the tasks before it is shuffled. The plan is the same for any number of lines.
 
 Defined results: a null text has no lines; a blank line has no words, is not counted and
 stays. A row is known by its id and its text's hash: rows of equal id and text share their
@@ -30,29 +32,30 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueline.llm.hashing import BLANKS, byte_classes, mix, steps, utf8_view, word_bounds, word_hashes
+from cueline.llm.hashing import BLANKS, byte_classes, mix, run_hash, running, steps, utf8_view, word_bounds, word_hashes
 from cueline.llm.tables import BLANK_WORD, apart, apart_from_its_rows, settled, small_batches
 
-#: Words that a line needs for a near copy of it to go; shorter lines only go if they are repeated.
-MIN_WORDS = 8
-#: Lines (of about 24 bytes each) that may be broadcast to find their texts; more are joined by a shuffle.
-BROADCAST_LINES = 500_000
+#: Units that a line needs for one edit to be near: an edit is at most an eighth of it.
+UNITS = 8
 
 _, _APART = byte_classes(BLANKS)
 _WORD = re.compile(BLANK_WORD)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TWO = np.uint64(0xC2B2AE3D27D4EB4F)
+#: What is added to the tags of keys of characters, so that they never meet those of words.
+_OF_CHARACTERS = 8
 
 
 def _salted(n: np.ndarray | int, tag: int) -> np.ndarray:
-    return mix((np.asarray(n, np.uint64) * np.uint64(8) + np.uint64(tag)) * _ODD)
+    return mix((np.asarray(n, np.uint64) * np.uint64(16) + np.uint64(tag)) * _ODD)
 
 
-def _line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes; each line's first word (and the end); its document; its number. Lines without words are left out."""
+def _line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and past-the-last byte of every word (two rows); word hashes; each line's first word (and the end); its document; its number. Lines without words are left out."""
     starts, ends, first = word_bounds(data, offsets, _APART)
     words = word_hashes(data, starts, ends)
     feeds = np.flatnonzero(data == ord("\n"))
@@ -60,26 +63,48 @@ def _line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     # A word's line: the feeds before it, less those before its document.
     number = np.searchsorted(feeds, starts) - np.searchsorted(feeds, offsets[:-1])[doc]
     begins = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])])) if len(words) else np.zeros(0, np.int64)
-    return words, np.append(begins, len(words)), doc[begins], number[begins]
-
-
-def _running(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix sums of words times powers, and the powers and their inverses: hashes of any run of words."""
-    n = len(words) + 1
-    base, inverse = np.full(n, _TWO | np.uint64(1)), np.full(n, np.uint64(pow(int(_TWO | np.uint64(1)), -1, 1 << 64)))
-    base[0] = inverse[0] = np.uint64(1)
-    up, down = np.multiply.accumulate(base), np.multiply.accumulate(inverse)
-    total = np.zeros(n, np.uint64)
-    np.cumsum(words * up[:-1], out=total[1:])
-    return total, up, down
-
-
-def _run(sums: tuple[np.ndarray, np.ndarray, np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    total, _, down = sums
-    return (total[high] - total[low]) * down[low]
-
-
-def line_keys(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    return np.stack([starts, ends]), words, np.append(begins, len(words)), doc[begins], number[begins]
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of all ranges one after the other, and the range that each is of."""
+    n = high - low
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[owner], owner
+
+
+def _characters(data: np.ndarray, bounds: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of lines (words ``low`` to ``high``), with one blank between two words, as units; and where each line begins (and the end)."""
+    word, line = _ranges(low, high)
+    at, of = _ranges(bounds[0, word], bounds[1, word])
+    lead = data[at] & 0xC0 != 0x80
+    at, of = at[lead], of[lead]
+    more = np.append(data, np.zeros(4, np.uint8))
+    code, on = data[at].astype(np.uint64), np.ones(len(at), bool)
+    for k in (1, 2, 3):
+        on &= more[at + k] & 0xC0 == 0x80
+        code |= np.where(on, more[at + k].astype(np.uint64) << np.uint64(8 * k), np.uint64(0))
+    # Before a word there are its line's earlier words' blanks, and those of all lines before.
+    blanks = np.arange(len(word)) - line
+    ends = np.zeros(len(low) + 1, np.int64)
+    np.cumsum(np.bincount(line[of], minlength=len(low)) + (high - low - 1), out=ends[1:])
+    units = np.full(ends[-1], ord(" "), np.uint64)
+    units[np.arange(len(at)) + blanks[of]] = code
+    return mix(units + np.uint64(1)), ends
+
+
+def _sequences(data: np.ndarray, bounds: np.ndarray, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The lines as units that one edit may be near in: tag, the lines, the units, and each line's first unit and its end. A line of just ``UNITS`` words is there both ways."""
+    n = np.diff(at)
+    long_ = np.flatnonzero(n >= UNITS)
+    yield 0, long_, words, at[long_], at[long_ + 1]
+    short = np.flatnonzero((n > 0) & (n <= UNITS))
+    units, ends = _characters(data, bounds, at[short], at[short + 1])
+    own = np.flatnonzero(np.diff(ends) >= UNITS)
+    yield _OF_CHARACTERS, short[own], units, ends[own], ends[own + 1]
+
+
+def line_keys(df: DataFrame) -> DataFrame:
     """``id``, ``key``, ``line_no``, ``hash`` and ``check`` (128 bits together) and ``halves`` (keys) of every line with words (``id``, ``key``, ``text``)."""
 
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,21 +112,24 @@ def line_keys(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             data, offsets = utf8_view(batch.column("text"))
             ids, row_keys = batch.column("id"), batch.column("key")
             for a, b in steps(offsets):
-                words, at, doc, number = _line_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                low, high = at[:-1], at[1:]
-                n = high - low
-                sums = _running(words)
-                whole = _run(sums, low, high)
-                check = _run(_running(mix(words ^ _TWO)), low, high)
-                long_ = np.flatnonzero(n >= min_words)
-                halves = []
-                for less in (0, 1):  # as a line of the shorter length, and as one of a word more
-                    m = n[long_] - less
-                    half = m // 2
-                    halves.append(mix(_run(sums, low[long_], low[long_] + half) ^ _salted(m, 1)))
-                    halves.append(mix(_run(sums, high[long_] - half, high[long_]) ^ _salted(m, 2)))
-                bounds = np.zeros(len(n) + 1, np.int32)
-                bounds[1:] = np.cumsum(np.where(n >= min_words, 4, 0))
+                part = data[offsets[a] : offsets[b]]
+                bounds, words, at, doc, number = _line_words(part, offsets[a : b + 1] - offsets[a])
+                n = np.diff(at)
+                whole = run_hash(running(words), at[:-1], at[1:])
+                check = run_hash(running(mix(words ^ _TWO)), at[:-1], at[1:])
+                line, halves = [], []
+                for tag, own, units, low, high in _sequences(part, bounds, words, at):
+                    sums = running(units)
+                    for less in (0, 1):  # as a line of the shorter length, and as one of a unit more
+                        m = high - low - less
+                        half = m // 2
+                        halves.append(mix(run_hash(sums, low, low + half) ^ _salted(m, tag + 1)))
+                        halves.append(mix(run_hash(sums, high - half, high) ^ _salted(m, tag + 2)))
+                        line += [own, own]
+                line_of = np.concatenate(line)
+                order = np.argsort(line_of, kind="stable")
+                ends = np.zeros(len(n) + 1, np.int32)
+                np.cumsum(np.bincount(line_of, minlength=len(n)), out=ends[1:])
                 row = pa.array(doc + a)
                 columns = (
                     ids.take(row),
@@ -109,57 +137,74 @@ def line_keys(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     pa.array(number.astype(np.int32)),
                     pa.array(mix(whole ^ _salted(n, 0)).view(np.int64)),
                     pa.array(mix(check).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.stack(halves, 1).ravel().view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(halves)[order].view(np.int64))),
                 )
                 yield pa.RecordBatch.from_arrays(list(columns), names=["id", "key", "line_no", "hash", "check", "halves"])
 
     return small_batches(df).mapInArrow(keys, f"id {dict(df.dtypes)['id']}, key long, line_no int, hash long, check long, halves array<long>")
 
 
-def _texts(df: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
-    """``wanted`` lines (``id``, ``key``, ``line_no``, ``hash``) with their ``line``."""
-    per_doc = wanted.groupBy("id", "key").agg(F.collect_list(F.struct("line_no", "hash")).alias("wanted"))
-    per_doc = per_doc.select(F.col("id").alias("of"), "key", "wanted")
-    per_doc = F.broadcast(per_doc) if wanted.count() <= most else per_doc
-    lines = F.split("text", "\n", -1)
-    found = df.join(per_doc, (df["key"] == per_doc["key"]) & F.col("id").eqNullSafe(F.col("of"))).withColumn("lines", lines)
-    found = found.select("id", "lines", F.explode("wanted").alias("w"))
-    return found.select("id", "w.line_no", "w.hash", F.get("lines", F.col("w.line_no")).alias("line")).filter("line IS NOT NULL")
+def _texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` lines (``id``, ``key``, ``line_no``, ``hash``, ``check``) with their ``line``. Texts are packed for the shuffle in which they meet them."""
+    kind = dict(df.dtypes)["id"]
+    per_doc = wanted.groupBy("id", "key").agg(F.collect_list(F.struct("line_no", "hash", "check")).alias("wanted"))
+    per_doc = per_doc.select(F.col("id").alias("of"), F.col("key").alias("of_key"), "wanted")
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            packed = pa.array([packer.compress(x.as_buffer()) for x in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), packed], names=["id", "key", "packed"])
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
+        for batch in batches:
+            taken: list[int] = []
+            found: list[tuple] = []
+            for i, (packed, own) in enumerate(zip(batch.column("packed").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
+                lines = unpacker.decompress(packed).split(b"\n")
+                # An id and a text's hash may be those of another text as well; lines that it does not have are passed over.
+                own = [w for w in own if w["line_no"] < len(lines)]
+                taken += [i] * len(own)
+                found += [(w["line_no"], w["hash"], w["check"], lines[w["line_no"]].decode()) for w in own]
+            columns = [pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(taken, pa.int64())), *columns], names=["id", "line_no", "hash", "check", "line"])
+
+    packed = small_batches(df.filter("text IS NOT NULL")).mapInArrow(pack, f"id {kind}, key long, packed binary")
+    found = packed.join(per_doc, (F.col("key") == F.col("of_key")) & F.col("id").eqNullSafe(F.col("of"))).select("id", "packed", "wanted")
+    return found.mapInArrow(cut, f"id {kind}, line_no int, hash long, check long, line string")
 
 
 def _variants(texts: DataFrame) -> DataFrame:
-    """``key``, ``own`` (the key is the line itself, not a variant) and the line's place and hash."""
+    """``key``, ``own`` (the key is the line itself, not a variant) and the line's place and hashes."""
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8_view(batch.column("line"))
             for a, b in steps(offsets, 1 << 16):
-                starts, ends, first = word_bounds(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], _APART)
-                words = word_hashes(data[offsets[a] : offsets[b]], starts, ends)
-                sums = _running(words)
-                _, up, _ = sums
-                low, high = first[:-1], first[1:]
-                line = np.repeat(np.arange(b - a), high - low)
-                place = np.arange(len(words))
-                n = (high - low)[line]
-                # The words before the deleted one, then those behind it moved up by one.
-                before, behind = _run(sums, low[line], place), _run(sums, place + 1, high[line])
-                variant = before + behind * up[place - low[line]]
-                changed = mix(mix(variant ^ _salted(n, 3)) ^ _salted(place - low[line], 4))
-                shorter = mix(variant ^ _salted(n - 1, 5))
-                itself = mix(_run(sums, low, high) ^ _salted(high - low, 5))
-                rows = np.concatenate([line, line, np.arange(b - a)]) + a
-                key = np.concatenate([changed, shorter, itself]).view(np.int64)
-                own = np.zeros(len(rows), bool)
-                own[2 * len(line) :] = True
-                taken = pa.array(rows)
-                columns = [batch.column(c).take(taken) for c in ("id", "line_no", "hash")]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), *columns], names=["key", "own", "id", "line_no", "hash"])
-
-    return texts.select("id", "line_no", "hash", "line").mapInArrow(emit, f"key long, own boolean, id {dict(texts.dtypes)['id']}, line_no int, hash long")
-
-
-def _within_one_edit(a: list[str], b: list[str]) -> bool:
+                part = data[offsets[a] : offsets[b]]
+                starts, ends, first = word_bounds(part, offsets[a : b + 1] - offsets[a], _APART)
+                for tag, lines, units, low, high in _sequences(part, np.stack([starts, ends]), word_hashes(part, starts, ends), first):
+                    sums = running(units)
+                    _, up, _ = sums
+                    place, of = _ranges(low, high)
+                    line, n = lines[of], (high - low)[of]
+                    # The units before the deleted one, then those behind it moved up by one.
+                    before, behind = run_hash(sums, low[of], place), run_hash(sums, place + 1, high[of])
+                    variant = before + behind * up[place - low[of]]
+                    changed = mix(mix(variant ^ _salted(n, tag + 3)) ^ _salted(place - low[of], tag + 4))
+                    shorter = mix(variant ^ _salted(n - 1, tag + 5))
+                    itself = mix(run_hash(sums, low, high) ^ _salted(high - low, tag + 5))
+                    own = np.zeros(2 * len(line) + len(lines), bool)
+                    own[2 * len(line) :] = True
+                    taken = pa.array(np.concatenate([line, line, lines]) + a)
+                    columns = [batch.column(c).take(taken) for c in ("id", "line_no", "hash", "check")]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([changed, shorter, itself]).view(np.int64)), pa.array(own), *columns], names=["key", "own", "id", "line_no", "hash", "check"])
+
+    return texts.select("id", "line_no", "hash", "check", "line").mapInArrow(emit, f"key long, own boolean, id {dict(texts.dtypes)['id']}, line_no int, hash long, check long")
+
+
+def _within_one_edit(a: list[str] | str, b: list[str] | str) -> bool:
     a, b = (a, b) if len(a) <= len(b) else (b, a)
     if len(b) - len(a) > 1:
         return False
@@ -167,46 +212,54 @@ def _within_one_edit(a: list[str], b: list[str]) -> bool:
     return a[same + (len(a) == len(b)) :] == b[same + 1 :]
 
 
+def near_lines(a: str, b: str) -> bool:
+    """Whether two different lines are near: by words, or by characters if either has too few of them."""
+    x, y = _WORD.findall(a), _WORD.findall(b)
+    if min(len(x), len(y)) < UNITS:
+        x, y = " ".join(x), " ".join(y)
+    return min(len(x), len(y)) >= UNITS and _within_one_edit(x, y)
+
+
 def _near(texts: DataFrame) -> DataFrame:
-    """``hash`` of the lines (``id``, ``line_no``, ``hash``, ``line``) that have an earlier line within one edit."""
+    """``hash`` and ``check`` of the lines (``id``, ``line_no``, ``hash``, ``check``, ``line``) that have a near earlier line."""
     keys = _variants(texts)
     shared = keys.groupBy("key").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).filter("least < most").select(apart_from_its_rows("key"))
-    members = settled(keys.join(shared, "key").withColumn("place", F.struct("id", "line_no", "hash")))
-    # A changed word: all of a group are variants. Else: lines that leave a word out meet the line that is left.
+    members = settled(keys.join(shared, "key").withColumn("place", F.struct("id", "line_no", "hash", "check")))
+    # A changed unit: all of a group are variants. Else: lines that leave a unit out meet the line that is left.
     groups = members.groupBy("key").agg(F.min(F.when(~F.col("own"), F.col("place"))).alias("variant"), F.min(F.when(F.col("own"), F.col("place"))).alias("whole"))
     joined = members.join(groups.select(apart_from_its_rows("key"), "variant", "whole"), "key")
     partner = F.when(F.col("own"), F.col("variant")).otherwise(F.coalesce("whole", "variant"))
-    pairs = joined.withColumn("partner", partner).filter("partner < place").select("hash", F.col("partner.hash").alias("earlier")).distinct()
-    texts = texts.select("hash", "line")
-    sides = pairs.join(texts, "hash").join(texts.select(F.col("hash").alias("earlier"), F.col("line").alias("earlier_line")), "earlier")
+    pairs = joined.withColumn("partner", partner).filter("partner < place").select("hash", "check", F.col("partner.hash").alias("earlier"), F.col("partner.check").alias("earlier_check")).distinct()
+    texts = texts.select("hash", "check", "line")
+    earlier = texts.select(F.col("hash").alias("earlier"), F.col("check").alias("earlier_check"), F.col("line").alias("earlier_line"))
+    sides = pairs.join(texts, ["hash", "check"]).join(earlier, ["earlier", "earlier_check"])
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [_within_one_edit(_WORD.findall(x), _WORD.findall(y)) for x, y in zip(batch.column("line").to_pylist(), batch.column("earlier_line").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("hash").filter(pa.array(near, pa.bool_()))], names=["hash"])
+            near = pa.array([near_lines(x, y) for x, y in zip(batch.column("line").to_pylist(), batch.column("earlier_line").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("hash", "check")], names=["hash", "check"])
 
-    return sides.select("hash", "line", "earlier_line").mapInArrow(verify, "hash long").distinct()
+    return sides.select("hash", "check", "line", "earlier_line").mapInArrow(verify, "hash long, check long").distinct()
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
 
 
-def line_decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def line_decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``key`` (the text's hash), ``line_no`` (from 0, blank lines count), ``repeated`` and ``near`` of every line with words; either sends it away."""
     docs = _keyed(df, id_col, text_col)
-    lines = settled(line_keys(docs, min_words))
+    lines = settled(line_keys(docs))
     place = F.struct("id", "line_no", "key")
-    firsts = lines.groupBy("hash", "check").agg(F.min(place).alias("first"))
+    firsts = settled(lines.groupBy("hash", "check").agg(F.min(place).alias("first"), F.first("halves").alias("halves")))
 
-    halves = lines.select("hash", F.explode("halves").alias("half"))
+    halves = firsts.select("hash", "check", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).filter("least < most").select(apart_from_its_rows("half"))
-    partnered = halves.join(shared, "half").select("hash").distinct()
-    firsts = settled(firsts)
-    wanted = settled(firsts.join(partnered, "hash").select("first.id", "first.key", "first.line_no", "hash"))
-    near = settled(_near(settled(_texts(docs, wanted, broadcast_lines))))
+    partnered = halves.join(shared, "half").select("hash", "check").distinct()
+    wanted = settled(firsts.join(partnered, ["hash", "check"]).select("first.id", "first.key", "first.line_no", "hash", "check"))
+    near = settled(_near(settled(_texts(docs, wanted))))
 
-    marked = firsts.join(near.withColumn("near", F.lit(True)), "hash", "left").select(apart_from_its_rows("hash"), "check", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    marked = firsts.join(near.withColumn("near", F.lit(True)), ["hash", "check"], "left").select(apart_from_its_rows("hash"), "check", "first", F.coalesce("near", F.lit(False)).alias("near"))
     return lines.select("id", "key", "line_no", "hash", "check").join(marked, ["hash", "check"]).select("id", "key", "line_no", (F.col("first") < place).alias("repeated"), "near")
 
 
@@ -233,9 +286,11 @@ def line_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """``df`` without the lines that go; a null text stays null."""
-    n = apart(df, "of", "of_key", "dropped", "row_key")
+    n = apart(df, "of", "of_key", "dropped", "row_key", "lines")
     counts = _counts(df, id_col, text_col, **options).select(*(F.col(c).alias(n[c]) for c in ("of", "of_key", "dropped")))
     keyed = df.withColumn(n["row_key"], F.xxhash64(text_col))
     joined = keyed.join(counts, (F.col(n["row_key"]) == F.col(n["of_key"])) & F.col(id_col).eqNullSafe(F.col(n["of"])))
-    kept = F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains(n["dropped"], i))
-    return joined.withColumn(text_col, F.array_join(kept, "\n")).select(*df.columns)
+    lines = F.split(text_col, "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), n["dropped"])
+    cut = F.array_join(F.transform(kept, lambda i: F.get(n["lines"], i)), "\n")
+    return joined.withColumn(n["lines"], lines).withColumn(text_col, F.when(F.size(n["dropped"]) > 0, cut).otherwise(F.col(text_col))).select(*df.columns)

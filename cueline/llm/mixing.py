@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueline.llm.tables import BLANKS_CLASS, apart, settled, word_count
+from cueline.llm.tables import BLANKS_CLASS, apart, numbered, settled, word_count
 
 WEIGHTS = (5, 2, 1)
 #: Words to take as a share of all there are, and the most times that a source is repeated.
@@ -33,17 +33,6 @@ SHARE, EPOCHS = 1.5, 2.0
 SLICES = 1024
 
 
-def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
-    """``df`` with each row's place (from 0) in ``order``, by a range sort and the row counts of its partitions."""
-    at, part, before = (f"{name}_{x}" for x in ("at", "part", "before"))
-    placed = settled(df.orderBy(order).withColumn(at, F.monotonically_increasing_id()))
-    placed = placed.withColumn(part, F.shiftright(at, 33))
-    counts = placed.groupBy(part).agg(F.count("*").alias(name))
-    before_it = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = counts.select(part, F.coalesce(F.sum(name).over(before_it), F.lit(0)).alias(before))
-    return placed.join(offsets, part).withColumn(name, F.col(before) + F.col(at).bitwiseAND((1 << 33) - 1)).drop(at, part, before)
-
-
 def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
     """``sources`` (``source_key``, ``source``, ``source_size``) with ``target``.
 
@@ -52,7 +41,7 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     one row of sums.
     """
     weight = F.element_at(F.lit([float(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    ranked = numbered(sources, F.col("source").asc_nulls_last(), "rank")
+    ranked = numbered(sources, [F.col("source").asc_nulls_last()], "rank")
     ranked = settled(ranked.withColumns({"weight": weight, "limit": F.col("source_size") * F.lit(float(epochs))}).drop("rank"))
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level = 0.0

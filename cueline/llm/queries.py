@@ -11,11 +11,11 @@ from cueline.llm.chat_format import perspectives
 from cueline.llm.decontaminate import contamination
 from cueline.llm.exact_dedup import exact_groups
 from cueline.llm.language_id import held_out, identify
-from cueline.llm.license_scan import NOTICE_SHARE, NOTICES, PHRASES, STRIDE, license_scan
-from cueline.llm.line_dedup import line_counts
+from cueline.llm.license_scan import NOTICE_SHARE, NOTICES, PHRASES, license_scan, stride_of, template_words
+from cueline.llm.line_dedup import UNITS, line_counts
 from cueline.llm.mixing import mix_sources
 from cueline.llm.near_dedup import near_groups
-from cueline.llm.token_counts import piece_scores, token_counts
+from cueline.llm.token_counts import scores_for, token_counts
 from cueline.llm.url_filter import filter_urls
 
 #: Fixed values for the SQL: the letters to lower-case, and words as RE2 patterns.
@@ -37,24 +37,27 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_rows(templates: tuple[tuple[str, str], ...]) -> str:
-    return ", ".join(f"(string_split('{text}', ' '), '{label}')" for text, label in templates)
+    rows = ((template_words(text), label) for text, label in templates)
+    return ", ".join(f"(string_split('{' '.join(words)}', ' '), '{label}', {stride_of(len(words))})" for words, label in rows)
 
 
 SQL_LICENSE_SCAN = rf"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({SQL_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
-phrases(p, label) AS (VALUES {_sql_rows(PHRASES)}),
-notices(p, label) AS (VALUES {_sql_rows(NOTICES)}),
+phrases(p, label, stride) AS (VALUES {_sql_rows(PHRASES)}),
+notices(p, label, stride) AS (VALUES {_sql_rows(NOTICES)}),
 places AS (
   SELECT doc_id, i - 1 AS place, label FROM d, phrases, unnest(range(1, len(w) - len(p) + 2)) AS t(i)
   WHERE w[i] = p[1] AND w[i : i + len(p) - 1] = p),
 base AS (
   SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base_labels
   FROM places GROUP BY doc_id),
-blocks AS (SELECT doc_id, list_distinct(w[i + 1 : i + {2 * STRIDE}]) AS b FROM d, unnest(range(0, len(w), {STRIDE})) AS t(i)),
+strides AS (SELECT DISTINCT stride FROM notices),
+starts AS (SELECT doc_id, stride, unnest(range(0, len(w), stride)) AS i FROM d, strides),
+blocks AS (SELECT doc_id, stride, list_distinct(w[i + 1 : i + 2 * stride]) AS b FROM starts JOIN d USING (doc_id)),
 found AS (
   SELECT doc_id, label, len(list_intersect(b, list_distinct(p)))::DOUBLE / len(list_distinct(p)) AS share,
          len(list_intersect(b, list_distinct(p))) >= ceil(round({NOTICE_SHARE} * len(list_distinct(p)), 6)) AS enough
-  FROM blocks, notices),
+  FROM blocks JOIN notices USING (stride)),
 own AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS score FROM found WHERE enough GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        coalesce(array_to_string(list_sort(base_labels), ','), '') AS base_labels,
@@ -69,6 +72,23 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+SQL_NEAR_DEDUP = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({SQL_LOWER.format("text")}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS g
+  FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 75 * (x.n + y.n - shared.n)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, seen) AS (SELECT DISTINCT a, a FROM edges UNION SELECT node, b FROM reach JOIN edges ON seen = a),
+roots AS (SELECT node AS doc_id, min(seen) AS root FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN roots USING (doc_id)
+"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -141,13 +161,13 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
-#: A public tokenizer's model, whose piece scores op7 takes as unigram scores.
+#: A public tokenizer's model: op7 takes its pieces. It has no probabilities, so that they are fitted to the table.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts(docs, piece_scores(vocabulary), keep_text=False)
+    return token_counts(docs, scores_for(docs, vocabulary), keep_text=False)
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,16 +175,17 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_CHAT_FORMAT = """
-WITH turns AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+WITH turns AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said, replace(coalesce(text, ''), '<|im_', '< |im_') AS text FROM conversations),
 people AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'),
 rows AS (
-  SELECT t.conv_id, speaker, turn, role, text, role = speaker AS learnt,
-         '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head
+  SELECT t.conv_id, speaker, turn, role, said, text, role = speaker AS learnt,
+         '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system'
+           ELSE 'user name=' || translate(replace(role, '<|im_', '< |im_'), chr(13) || chr(10), '  ') END || chr(10) AS head
   FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 full_rows AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered FROM rows),
 placed AS (
   SELECT *, row_number() OVER w - 1 AS place, coalesce(sum(length(rendered)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM full_rows WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text))
+  FROM full_rows WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, said))
 SELECT conv_id, speaker, turn, place, rendered, start, start + length(rendered) AS "end",
        CASE WHEN learnt THEN start + length(head) END AS masked_from, CASE WHEN learnt THEN start + length(head) + length(text) + 10 END AS masked_to, learnt
 FROM placed
@@ -172,7 +193,34 @@ FROM placed
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("dropped", F.array_join("dropped", ","))
+
+
+SQL_LINE_DEDUP = rf"""
+WITH lines AS (
+  SELECT doc_id, i - 1 AS k, doc_id * 100000000 + i AS place, regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS t(i)),
+named AS (SELECT *, array_to_string(w, ' ') AS s FROM lines WHERE len(w) > 0),
+firsts AS (SELECT s, any_value(w) AS w, min(place) AS place FROM named GROUP BY s),
+units AS (
+  SELECT s, place, 'w' AS kind, w AS u FROM firsts WHERE len(w) >= {UNITS}
+  UNION ALL SELECT s, place, 'c', string_split(s, '') FROM firsts WHERE len(w) <= {UNITS} AND length(s) >= {UNITS}),
+variants AS (
+  SELECT s, place, kind, len(u) AS n, i, CASE kind WHEN 'w' THEN array_to_string(list_concat(u[1 : i - 1], u[i + 1 : len(u)]), ' ') ELSE array_to_string(list_concat(u[1 : i - 1], u[i + 1 : len(u)]), '') END AS v
+  FROM units, unnest(range(1, len(u) + 1)) AS t(i)),
+changed AS (SELECT kind, n, i, v, min(place) AS least FROM variants GROUP BY ALL),
+near AS (
+  SELECT x.s FROM variants x JOIN changed USING (kind, n, i, v) WHERE least < place
+  UNION SELECT CASE WHEN x.place < y.place THEN y.s ELSE x.s END FROM variants x JOIN units y ON x.kind = y.kind AND x.v = y.s AND x.n = len(y.u) + 1),
+found AS (
+  SELECT n.doc_id, n.k, f.place < n.place AS repeated, EXISTS (SELECT 1 FROM near WHERE near.s = n.s) AS near FROM named n JOIN firsts f USING (s)),
+counts AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (repeated) AS n_repeated, count(*) FILTER (near AND NOT repeated) AS n_near,
+         string_agg(k::VARCHAR, ',' ORDER BY k) FILTER (repeated OR near) AS dropped FROM found GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_repeated, 0)::BIGINT AS n_repeated, coalesce(n_near, 0)::BIGINT AS n_near, coalesce(dropped, '') AS dropped
+FROM documents LEFT JOIN counts USING (doc_id)
+"""
 
 
 # A log of list entries (list, host, path, date, action) over hosts of the test pages.
@@ -183,7 +231,7 @@ URL_LOG = (
     ("pharma", "cheap-pills.example.com", None, "2024-03-10", "add"),
     ("spam", "cheap-pills.example.com", None, "2024-06-01", "add"),
     ("pharma", "cheap-pills.example.com", None, "2024-11-20", "remove"),
-    ("review", "example.net", "/es/", "2024-02-01", "add"),
+    ("review", "example.net", "/es", "2024-02-01", "add"),
     ("review", "example.net", "/es/", "2024-04-01", "remove"),
     ("mirror", "ththan.example.net", None, "2024-07-01", "add"),
     ("mirror", "ththan.example.net", None, "2024-07-01", "remove"),
@@ -205,16 +253,17 @@ def _sql_value(x: str | None) -> str:
 
 SQL_URL_FILTER = rf"""
 WITH log(list, host, path, day, action) AS (VALUES {", ".join("(" + ", ".join(map(_sql_value, r)) + ")" for r in URL_LOG)}),
-last AS (SELECT list, host, coalesce(path, '/') AS path, day::TIMESTAMP AS since, max(action) AS action FROM log GROUP BY ALL),
+last AS (SELECT list, host, rtrim(coalesce(path, ''), '/') AS path, day::TIMESTAMP AS since, max(action) AS action FROM log GROUP BY ALL),
 held AS (SELECT *, lead(since) OVER (PARTITION BY list, host, path ORDER BY since) AS until FROM last),
 captures AS (
-  SELECT page_id, nullif(rtrim(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\s]*)', 1)), '.'), '') AS host,
+  SELECT page_id, nullif(rtrim(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/?#:\s]*)', 1)), '.'), '') AS host,
          coalesce(nullif(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/') AS path,
          make_timestamp((1704110400 + page_id % 366 * 86400) * 1000000) AS fetched
   FROM pages),
 hits AS (
   SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM captures c JOIN held h
-  ON (c.host = h.host OR ends_with(c.host, '.' || h.host)) AND h.action = 'add' AND fetched >= since AND (until IS NULL OR fetched < until) AND starts_with(c.path, h.path)
+  ON (c.host = h.host OR (ends_with(c.host, '.' || h.host) AND NOT regexp_matches(c.host, '^(\[.*|[0-9.]+)$')))
+     AND h.action = 'add' AND fetched >= since AND (until IS NULL OR fetched < until) AND (rtrim(c.path, '/') = h.path OR starts_with(c.path, h.path || '/'))
   GROUP BY page_id)
 SELECT page_id, host, coalesce(lists, '') AS lists, lists IS NOT NULL AS blocked FROM captures LEFT JOIN hits USING (page_id)
 """
@@ -233,9 +282,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL = {
     "op2_license_scan": SQL_LICENSE_SCAN,
+    "op3_near_dedup": SQL_NEAR_DEDUP,
     "op4_exact_dedup": SQL_EXACT_DEDUP,
     "op5_decontaminate": SQL_DECONTAMINATE,
     "op6_source_mix": SQL_SOURCE_MIX,
     "op8_chat_format": SQL_CHAT_FORMAT,
+    "op9_line_dedup": SQL_LINE_DEDUP,
     "op10_url_filter": SQL_URL_FILTER,
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueline.functions.workers import reach_package, shared_folder, written  # noqa: F401
@@ -45,6 +47,22 @@ def apart_from_its_rows(key: str) -> Column:
     return F.col(key).bitwiseXOR(F.lit(0)).alias(key)
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with each row's place (from 0) in ``order``, by a range sort and the row counts of its partitions.
+
+    Rows that tie in all of ``order`` may be very many: they are parted by where they came from.
+    """
+    n = apart(df, "from", "at", "part", "before")
+    placed = df.withColumn(n["from"], F.monotonically_increasing_id()).orderBy(*order, n["from"]).drop(n["from"])
+    placed = settled(placed.withColumn(n["at"], F.monotonically_increasing_id())).withColumn(n["part"], F.shiftright(n["at"], 33))
+    counts = placed.groupBy(n["part"]).agg(F.count("*").alias(name))
+    before_it = Window.orderBy(n["part"]).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = counts.select(n["part"], F.coalesce(F.sum(name).over(before_it), F.lit(0)).alias(n["before"]))
+    # As many rows as the sort has partitions, so each task may have them all.
+    out = placed.join(F.broadcast(offsets), n["part"])
+    return out.withColumn(name, F.col(n["before"]) + F.col(n["at"]).bitwiseAND((1 << 33) - 1)).drop(n["at"], n["part"], n["before"])
+
+
 #: Arrow batches of Python tasks, where the session sets none of its own.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 

@@ -3,14 +3,17 @@
 A list is a log of dated entries: on a date a host (and below it a path) is put on a
 list or taken off. Each entry is in force until the next one of the same list, host and path:
 entries become validity intervals. A capture is judged by the intervals that hold when it was
-fetched: an as-of join, on each suffix of its host, with the fetch time inside the interval
-and its path under the entry's.
+fetched: an as-of join, on each suffix of its host and each beginning of its path, with the fetch time inside the interval.
+A path stands for itself and what lies below it, whole segments at a time: ``/es`` is not ``/escape``.
 
-Hosts are equi-join keys, so Spark may broadcast the intervals if they are small, and splits a
-host that holds a third of all captures if they are not. Only matches are grouped, per
+Hosts and paths are equi-join keys, so Spark may broadcast the intervals if they are small, and splits a
+host that holds a third of all captures if they are not; entries of other paths of a host meet no capture. Only matches are grouped, per
 capture.
 
-Defined results: a capture without a URL, host or time is judged by no entry and passes. An
+Times are compared in UTC. Dates and times without a zone (dates, texts, zone-less timestamps) are taken as UTC,
+whatever the session's zone is; a text may name its own zone.
+
+Defined results: an address in numbers or brackets has no domains above it. A capture without a URL, host or time is judged by no entry and passes. An
 entry without host, list or date is void; an action other than ``add`` takes off; of entries of
 one date the last action in alphabetical order counts, so a removal wins. Repeated captures
 get equal verdicts. Empty tables block nothing. Input columns named like a result column are
@@ -27,15 +30,22 @@ from cueline.llm.tables import apart
 ADD = "add"
 
 
+#: The beginning of a URL up to its host; hosts that are numbers or in brackets.
+_SCHEME = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://"
+_NUMBERS = r"^(\[.*|[0-9.]+)$"
+#: How a text that names its own zone ends.
+_ZONED = r"\d[ T]\d{1,2}:\d{1,2}.*(Z|[A-Za-z]{3,}|[+-]\d{1,2}(:?\d{2})?)\s*$"
+
+
 def url_host(url: Column) -> Column:
-    """Lower-case host without port, user and final dot; null if there is none."""
-    host = F.lower(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\s]*)", 1))
+    """Lower-case host without port, user and final dot, an IPv6 address with its brackets; null if there is none."""
+    host = F.lower(F.regexp_extract(url, _SCHEME + r"(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/?#:\s]*)", 1))
     return F.nullif(F.regexp_replace(host, r"\.+$", ""), F.lit(""))
 
 
 def url_path(url: Column) -> Column:
     """Path without query and fragment; ``/`` if it is empty."""
-    path = F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    path = F.regexp_extract(url, _SCHEME + r"[^/?#]*([^?#]*)", 1)
     return F.when(path == "", "/").otherwise(path)
 
 
@@ -43,17 +53,35 @@ def host_suffixes(host: Column) -> Column:
     """The host and all domains above it: ``a.b.c``, ``b.c``, ``c``."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    return F.when(host.rlike(_NUMBERS), F.array(host)).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), ".")))
+
+
+def path_prefixes(path: Column) -> Column:
+    """The empty path and all beginnings of whole segments: '', ``/a``, ``/a/b`` of ``/a/b/``."""
+    segments = F.split(F.regexp_replace(path, "/+$", ""), "/")
+    return F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.array_join(F.slice(segments, 1, i), "/"))
+
+
+def utc_micros(df: DataFrame, name: str) -> Column:
+    """Microseconds since 1970 in UTC of a date, timestamp or text column; null for what is none. The session's zone has no part in it."""
+    column, kind = F.col(name), df.schema[name].dataType.typeName()
+    instant = F.unix_micros(column.try_cast("timestamp"))
+    if kind == "timestamp":
+        return instant
+    wall = column.try_cast("timestamp_ntz")
+    second = (F.extract(F.lit("SECOND"), wall) * 1_000_000).cast("bigint")
+    plain = (F.unix_date(wall.cast("date")).cast("bigint") * 86_400 + F.hour(wall) * 3600 + F.minute(wall) * 60) * 1_000_000 + second
+    return F.when(column.rlike(_ZONED), instant).otherwise(plain) if kind in ("string", "char", "varchar") else plain
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """``list``, ``host``, ``path``, ``valid_from`` and ``valid_to`` (past the end; null if still in force) of a log.
+    """``list``, ``host``, ``path`` (without a final slash), ``valid_from`` and ``valid_to`` (past the end; null if still in force), in microseconds, of a log.
 
     ``entries`` has ``list``, ``host``, ``path`` (null for the whole host), ``date`` and ``action``.
     """
-    log = entries.select(
-        "list", F.regexp_replace(F.lower("host"), r"\.+$", "").alias("host"), F.coalesce("path", F.lit("/")).alias("path"), F.col("date").cast("timestamp").alias("valid_from"), "action"
-    ).filter("list IS NOT NULL AND host <> '' AND valid_from IS NOT NULL")
+    host, path = F.regexp_replace(F.lower("host"), r"\.+$", ""), F.regexp_replace(F.coalesce("path", F.lit("")), "/+$", "")
+    log = entries.select("list", host.alias("host"), path.alias("path"), utc_micros(entries, "date").alias("valid_from"), "action")
+    log = log.filter("list IS NOT NULL AND host <> '' AND valid_from IS NOT NULL")
     # The last entry of a date stands for it.
     log = log.groupBy("list", "host", "path", "valid_from").agg(F.max(F.coalesce("action", F.lit("remove"))).alias("action"))
     order = Window.partitionBy("list", "host", "path").orderBy("valid_from")
@@ -63,15 +91,14 @@ def intervals(entries: DataFrame) -> DataFrame:
 def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """Every row of ``captures`` with ``host``, ``lists`` (names, sorted) and ``blocked``."""
     captures = captures.drop("host", "lists", "blocked")
-    keys = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).cast("timestamp").alias("at"))
-    keys = keys.filter("url IS NOT NULL AND at IS NOT NULL").withColumn("capture_path", url_path(F.col("url")))
-    probes = keys.withColumn("suffix", F.explode(host_suffixes(url_host(F.col("url")))))
+    keys = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), utc_micros(captures, time_col).alias("at")).filter("url IS NOT NULL AND at IS NOT NULL")
+    probes = keys.withColumn("suffix", F.explode(host_suffixes(url_host(F.col("url"))))).withColumn("beginning", F.explode(path_prefixes(url_path(F.col("url")))))
     held = intervals(entries)
     in_force = (F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
-    found = probes.join(held, (F.col("suffix") == F.col("host")) & in_force & F.startswith("capture_path", F.col("path")))
+    found = probes.join(held, (F.col("suffix") == F.col("host")) & (F.col("beginning") == F.col("path")) & in_force)
     n = apart(captures, "id", "url", "at", "lists")
     per_capture = found.groupBy(*(F.col(c).alias(n[c]) for c in ("id", "url", "at"))).agg(F.array_sort(F.collect_set("list")).alias(n["lists"]))
-    same = F.col(id_col).eqNullSafe(F.col(n["id"])) & (F.col(url_col) == F.col(n["url"])) & (F.col(time_col).cast("timestamp") == F.col(n["at"]))
+    same = F.col(id_col).eqNullSafe(F.col(n["id"])) & (F.col(url_col) == F.col(n["url"])) & (utc_micros(captures, time_col) == F.col(n["at"]))
     out = captures.join(per_capture, same, "left")
     names = F.coalesce(n["lists"], F.array().cast("array<string>"))
     return out.select(*captures.columns, url_host(F.col(url_col)).alias("host"), names.alias("lists"), (F.size(names) > 0).alias("blocked"))

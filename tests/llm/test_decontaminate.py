@@ -21,6 +21,7 @@ def setting(spark):
         (1003, " ".join(items[2].split()[:9])),
         (1004, items[3] + " " + items[3]),
         (1005, "é The tiny one, é again: tiny-one!"),
+        (1006, f"{prose(rng, 'en', 6000)} {items[1]} {prose(rng, 'en', 6000)} {items[3]}; tiny, one"),
     ]
     cells = ", ".join(f"NULL AS {c}" if c not in ("doc_id", "text") else c for c in df.columns)
     df = df.unionByName(spark.createDataFrame(planted, "doc_id bigint, text string").selectExpr(*cells.split(", ")).selectExpr(*(f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in df.schema)))
@@ -31,11 +32,14 @@ def setting(spark):
 def brute(text, bench):
     words = WORD.findall(lower(text))
     hit, items = set(), set()
+    at = {}
+    for i, w in enumerate(words):
+        at.setdefault(w, []).append(i)
     for item, t in bench:
         w = WORD.findall(lower(t))
         n = min(10, len(w))
         for k in range(len(w) - n + 1 if w else 0):
-            for i in range(len(words) - n + 1):
+            for i in at.get(w[k], []):
                 if words[i : i + n] == w[k : k + n]:
                     hit |= set(range(i, i + n))
                     items.add("" if item is None else str(item))
@@ -48,7 +52,7 @@ def test_matches_brute_force(spark, block_chars):
     rows = contamination(df, bench_df, block_chars=block_chars).collect()
     assert len(rows) == df.count() and any(r["contaminated"] for r in rows)
     for r in rows:
-        n, hit, items = brute(r["text"], bench) if len(r["text"] or "") < 20_000 else (r["n_words"], 0, [])
+        n, hit, items = brute(r["text"], bench)
         assert (r["n_words"], r["n_hit"], r["items"], r["n_items"], r["contaminated"]) == (n, hit, items, len(items), hit > 0)
         for s in r["spans"]:
             inside = WORD.findall(lower(r["text"][s["start"] : s["end"]]))
@@ -60,7 +64,7 @@ def test_clean_documents_stay(spark):
     kept = decontaminate(df, bench_df)
     assert kept.columns == df.columns
     gone = {r["doc_id"] for r in df.collect()} - {r["doc_id"] for r in kept.collect()}
-    assert gone == {1001, 1002, 1004, 1005}
+    assert gone == {1001, 1002, 1004, 1005, 1006}
 
 
 def test_empty(spark):

@@ -79,7 +79,7 @@ def test_texts_of_the_mix_follow_its_words(spark):
 
 def test_numbered(spark):
     df = spark.createDataFrame([(f"{(i * 7919) % 1000:04d}",) for i in range(1000)], "s string").repartition(7)
-    rows = numbered(df, F.col("s").asc(), "at").orderBy("s").collect()
+    rows = numbered(df, [F.col("s").asc()], "at").orderBy("s").collect()
     assert [r["at"] for r in rows] == list(range(1000)) and rows[0].asDict().keys() == {"s", "at"}
 
 
