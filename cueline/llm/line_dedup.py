@@ -9,7 +9,8 @@ characters every edit is more than an eighth. The earliest line of a text stays.
 1. Every line becomes a 128-bit hash of its words; equal lines keep their earliest place.
 2. Two lines within one edit share their first or their last half: at least one of four
    half-line keys. Lines that share none have no partner and need no neighbourhood.
-3. The others are fetched from their documents, whose texts are packed for that shuffle. They emit all variants of one deletion as hashed keys. Lines that differ in one unit share
+3. The keys that two lines share set bits of a filter of a bounded size, and a second pass over the texts brings the lines whose keys it admits, each once:
+   all lines with a partner, and a few without, which do no harm. They emit all variants of one deletion as hashed keys. Lines that differ in one unit share
    a variant and its place; a line that is another's variant has one unit less. In
    each group of equal keys every line is compared with the earliest only, and
    that pair's edit distance is verified on the texts. No group's pairs are formed: all
@@ -32,7 +33,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +46,8 @@ _, _APART = byte_classes(BLANKS)
 _WORD = re.compile(BLANK_WORD)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TWO = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bits of the filter for each key that two lines share, and the most bits in all. Beyond that it admits more lines without a partner.
+FILTER_BITS, FILTER_MOST = 16, 1 << 27
 #: What is added to the tags of keys of characters, so that they never meet those of words.
 _OF_CHARACTERS = 8
 
@@ -104,75 +106,80 @@ def _sequences(data: np.ndarray, bounds: np.ndarray, words: np.ndarray, at: np.n
     yield _OF_CHARACTERS, short[own], units, ends[own], ends[own + 1]
 
 
+def _keys(texts: pa.Array) -> Iterator[tuple]:
+    """Of some texts at a time: each line's text and number; its first and past-the-last byte, and those bytes; hash and check; keys of half-lines and the line of each."""
+    data, offsets = utf8_view(texts)
+    for a, b in steps(offsets):
+        part = data[offsets[a] : offsets[b]]
+        bounds, words, at, doc, number = _line_words(part, offsets[a : b + 1] - offsets[a])
+        n = np.diff(at)
+        whole = run_hash(running(words), at[:-1], at[1:])
+        check = run_hash(running(mix(words ^ _TWO)), at[:-1], at[1:])
+        line, halves = [], []
+        for tag, own, units, low, high in _sequences(part, bounds, words, at):
+            sums = running(units)
+            for less in (0, 1):  # as a line of the shorter length, and as one of a unit more
+                m = high - low - less
+                half = m // 2
+                halves.append(mix(run_hash(sums, low, low + half) ^ _salted(m, tag + 1)))
+                halves.append(mix(run_hash(sums, high - half, high) ^ _salted(m, tag + 2)))
+                line += [own, own]
+        span = np.stack([bounds[0, at[:-1]], bounds[1, at[1:] - 1]])
+        yield doc + a, number, span, part, mix(whole ^ _salted(n, 0)).view(np.int64), mix(check).view(np.int64), np.concatenate(halves), np.concatenate(line)
+
+
 def line_keys(df: DataFrame) -> DataFrame:
     """``id``, ``key``, ``line_no``, ``hash`` and ``check`` (128 bits together) and ``halves`` (keys) of every line with words (``id``, ``key``, ``text``)."""
 
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8_view(batch.column("text"))
-            ids, row_keys = batch.column("id"), batch.column("key")
-            for a, b in steps(offsets):
-                part = data[offsets[a] : offsets[b]]
-                bounds, words, at, doc, number = _line_words(part, offsets[a : b + 1] - offsets[a])
-                n = np.diff(at)
-                whole = run_hash(running(words), at[:-1], at[1:])
-                check = run_hash(running(mix(words ^ _TWO)), at[:-1], at[1:])
-                line, halves = [], []
-                for tag, own, units, low, high in _sequences(part, bounds, words, at):
-                    sums = running(units)
-                    for less in (0, 1):  # as a line of the shorter length, and as one of a unit more
-                        m = high - low - less
-                        half = m // 2
-                        halves.append(mix(run_hash(sums, low, low + half) ^ _salted(m, tag + 1)))
-                        halves.append(mix(run_hash(sums, high - half, high) ^ _salted(m, tag + 2)))
-                        line += [own, own]
-                line_of = np.concatenate(line)
-                order = np.argsort(line_of, kind="stable")
-                ends = np.zeros(len(n) + 1, np.int32)
-                np.cumsum(np.bincount(line_of, minlength=len(n)), out=ends[1:])
-                row = pa.array(doc + a)
-                columns = (
-                    ids.take(row),
-                    row_keys.take(row),
-                    pa.array(number.astype(np.int32)),
-                    pa.array(mix(whole ^ _salted(n, 0)).view(np.int64)),
-                    pa.array(mix(check).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(halves)[order].view(np.int64))),
-                )
-                yield pa.RecordBatch.from_arrays(list(columns), names=["id", "key", "line_no", "hash", "check", "halves"])
+            for doc, number, _, _, whole, check, halves, line in _keys(batch.column("text")):
+                ends = np.zeros(len(doc) + 1, np.int32)
+                np.cumsum(np.bincount(line, minlength=len(doc)), out=ends[1:])
+                own = pa.ListArray.from_arrays(pa.array(ends), pa.array(halves[np.argsort(line, kind="stable")].view(np.int64)))
+                rows = [batch.column(c).take(pa.array(doc)) for c in ("id", "key")]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(number.astype(np.int32)), pa.array(whole), pa.array(check), own], names=["id", "key", "line_no", "hash", "check", "halves"])
 
     return small_batches(df).mapInArrow(keys, f"id {dict(df.dtypes)['id']}, key long, line_no int, hash long, check long, halves array<long>")
 
 
-def _texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` lines (``id``, ``key``, ``line_no``, ``hash``, ``check``) with their ``line``. Texts are packed for the shuffle in which they meet them."""
-    kind = dict(df.dtypes)["id"]
-    per_doc = wanted.groupBy("id", "key").agg(F.collect_list(F.struct("line_no", "hash", "check")).alias("wanted"))
-    per_doc = per_doc.select(F.col("id").alias("of"), F.col("key").alias("of_key"), "wanted")
+def _filter(shared: DataFrame) -> np.ndarray:
+    """A bit for each of two parts of every key (``half``), in words of 64 bits."""
+    n = shared.count()
+    bits = min(FILTER_MOST, 1 << max(10, (FILTER_BITS * n - 1).bit_length()))
+    places = shared.select(F.explode(F.array(*(F.shiftrightunsigned("half", k).bitwiseAND(bits - 1) for k in (0, 32)))).alias("bit"))
+    words = places.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
 
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            packed = pa.array([packer.compress(x.as_buffer()) for x in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), packed], names=["id", "key", "packed"])
+
+def _admitted(halves: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    mask = np.uint64(len(bits) * 64 - 1)
+    found = np.ones(len(halves), bool)
+    for k in (0, 32):
+        bit = (halves >> np.uint64(k)) & mask
+        found &= (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+    return found
+
+
+def _texts(df: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``hash``, ``check``, earliest place (``id``, ``line_no``) and ``line`` of the lines that have a key which the filter admits, each once."""
+    shipped = df.sparkSession.sparkContext.broadcast(bits)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            taken: list[int] = []
-            found: list[tuple] = []
-            for i, (packed, own) in enumerate(zip(batch.column("packed").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
-                lines = unpacker.decompress(packed).split(b"\n")
-                # An id and a text's hash may be those of another text as well; lines that it does not have are passed over.
-                own = [w for w in own if w["line_no"] < len(lines)]
-                taken += [i] * len(own)
-                found += [(w["line_no"], w["hash"], w["check"], lines[w["line_no"]].decode()) for w in own]
-            columns = [pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(taken, pa.int64())), *columns], names=["id", "line_no", "hash", "check", "line"])
-
-    packed = small_batches(df.filter("text IS NOT NULL")).mapInArrow(pack, f"id {kind}, key long, packed binary")
-    found = packed.join(per_doc, (F.col("key") == F.col("of_key")) & F.col("id").eqNullSafe(F.col("of"))).select("id", "packed", "wanted")
-    return found.mapInArrow(cut, f"id {kind}, line_no int, hash long, check long, line string")
+            for doc, number, span, part, whole, check, halves, line in _keys(batch.column("text")):
+                some = np.unique(line[_admitted(halves, shipped.value)])
+                raw = part.tobytes()
+                lines = pa.array([raw[a:b].decode() for a, b in span[:, some].T.tolist()], pa.string())
+                rows = [batch.column(c).take(pa.array(doc[some])) for c in ("id", "key")]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(number[some].astype(np.int32)), pa.array(whole[some]), pa.array(check[some]), lines], names=["id", "key", "line_no", "hash", "check", "line"])
+
+    found = small_batches(df).mapInArrow(cut, f"id {dict(df.dtypes)['id']}, key long, line_no int, hash long, check long, line string")
+    # Copies of a line may be parted by other blanks; any of them stands for all.
+    first = found.groupBy("hash", "check").agg(F.min(F.struct("id", "line_no", "key")).alias("first"), F.min("line").alias("line"))
+    return first.select("hash", "check", "first.id", "first.line_no", "line")
 
 
 def _variants(texts: DataFrame) -> DataFrame:
@@ -251,13 +258,11 @@ def line_decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = _keyed(df, id_col, text_col)
     lines = settled(line_keys(docs))
     place = F.struct("id", "line_no", "key")
-    firsts = settled(lines.groupBy("hash", "check").agg(F.min(place).alias("first"), F.first("halves").alias("halves")))
+    firsts = lines.groupBy("hash", "check").agg(F.min(place).alias("first"))
 
-    halves = firsts.select("hash", "check", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).filter("least < most").select(apart_from_its_rows("half"))
-    partnered = halves.join(shared, "half").select("hash", "check").distinct()
-    wanted = settled(firsts.join(partnered, ["hash", "check"]).select("first.id", "first.key", "first.line_no", "hash", "check"))
-    near = settled(_near(settled(_texts(docs, wanted))))
+    halves = lines.select("hash", F.explode("halves").alias("half"))
+    shared = settled(halves.groupBy("half").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).filter("least < most").select("half"))
+    near = settled(_near(settled(_texts(docs, _filter(shared)))))
 
     marked = firsts.join(near.withColumn("near", F.lit(True)), ["hash", "check"], "left").select(apart_from_its_rows("hash"), "check", "first", F.coalesce("near", F.lit(False)).alias("near"))
     return lines.select("id", "key", "line_no", "hash", "check").join(marked, ["hash", "check"]).select("id", "key", "line_no", (F.col("first") < place).alias("repeated"), "near")

@@ -3,7 +3,10 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
+
 from cases import documents, prose
+from cueline.llm import line_dedup
 from cueline.llm.line_dedup import UNITS, drop_lines, line_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,7 +69,10 @@ def inputs(spark):
     return df.unionByName(spark.createDataFrame(made, "doc_id bigint, text string"), allowMissingColumns=True).repartition(4)
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("most", [1 << 27, 64])
+def test_matches_brute_force(spark, monkeypatch, most):
+    """Also if the filter is full and admits all lines."""
+    monkeypatch.setattr(line_dedup, "FILTER_MOST", most)
     df = inputs(spark)
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
     want = brute([r for r in rows if r[0] is not None])
