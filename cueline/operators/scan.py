@@ -64,9 +64,9 @@ def colliding(items: DataFrame) -> DataFrame:
     return items.groupBy("dir", "stem").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def scan_summary(items: DataFrame) -> DataFrame:
-    """One row: numbers by mode and a line that says them."""
-    counts = items.agg(F.count_if(F.col("mode") == "audio").alias("n_audio"), F.count_if(F.col("mode") == "text").alias("n_text"))
+def scan_summary(items: DataFrame, *by: str) -> DataFrame:
+    """One row, or one for each group: numbers by mode and a line that says them."""
+    counts = items.groupBy(*by).agg(F.count_if(F.col("mode") == "audio").alias("n_audio"), F.count_if(F.col("mode") == "text").alias("n_text"))
     some = lambda n, what: F.when(F.col(n) > 0, F.concat(F.col(n).cast("string"), F.lit(f" {what} item"), F.when(F.col(n) == 1, "").otherwise("s")))
     said = F.concat_ws(", ", some("n_audio", "audio"), some("n_text", "text"))
     return counts.withColumn("summary", F.when(said == "", "no items").otherwise(said))

@@ -638,11 +638,18 @@ def q18c_scan_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_FILES} SELECT dir, count(*) FILTER (mode = 'audio') AS n_audio, count(*) FILTER (mode = 'text') AS n_text FROM items GROUP BY dir"
-)
-def q20b_items_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = scan.work_items(part_files(spark, sf_dir))
-    return items.groupBy("dir").agg(F.count_if(F.col("mode") == "audio").alias("n_audio"), F.count_if(F.col("mode") == "text").alias("n_text"))
+    f"""WITH {_FILES}, counts AS (SELECT o.dir || o.size AS part, count(i.stem) FILTER (mode = 'audio') AS a, count(i.stem) FILTER (mode = 'text') AS t
+  FROM (SELECT DISTINCT p_brand AS dir, p_size AS size, 'item' || p_partkey AS stem FROM part) o LEFT JOIN items i ON i.dir = o.dir AND i.stem = o.stem GROUP BY 1)
+SELECT part, a AS n_audio, t AS n_text, CASE WHEN a + t = 0 THEN 'no items' ELSE
+       concat_ws(', ', CASE WHEN a > 0 THEN a || ' audio item' || CASE WHEN a = 1 THEN '' ELSE 's' END END, CASE WHEN t > 0 THEN t || ' text item' || CASE WHEN t = 1 THEN '' ELSE 's' END END) END AS summary
+FROM counts"""
+)
+def q20b_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary for each brand and size of part: some have no item, or one."""
+    items = scan.work_items(part_files(spark, sf_dir)).select("dir", "stem", "mode")
+    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("dir"), F.col("p_size").alias("size"), F.concat(F.lit("item"), F.col("p_partkey").cast("string")).alias("stem")).distinct()
+    found = parts.join(items, ["dir", "stem"], "left").withColumn("part", F.concat("dir", F.col("size").cast("string")))
+    return scan.scan_summary(found, "part")
 
 
 @query(

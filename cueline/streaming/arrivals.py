@@ -7,6 +7,8 @@ the place of looking for results that exist already.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -23,20 +25,23 @@ def arriving_files(spark: SparkSession, folder: str, pattern: str = "*.lrc", per
     return reader.load(folder).select(F.col("path").alias("item_id"), F.decode("content", "UTF-8").alias("content"))
 
 
-def retimed(batch: DataFrame, timing: loops.Timing = loops.Timing(), variant: str = "full", delimiter: str = "|||") -> DataFrame:
-    """Re-timed lines of whole files (``item_id``, ``content``), with the stand-in voice's lengths."""
+Lengths = Callable[[DataFrame], DataFrame]
+
+
+def retimed(batch: DataFrame, timing: loops.Timing = loops.Timing(), variant: str = "full", delimiter: str = "|||", lengths: Lengths = media.stub_lengths) -> DataFrame:
+    """Re-timed lines of whole files (``item_id``, ``content``). ``lengths`` adds ``target_ms`` and ``native_ms`` to segments: those of real clips, or the stand-in voice's."""
     cues = segments.cues(files.numbered_lines(batch), delimiter)
-    offsets = loops.loop_offsets(media.stub_lengths(segments.segments(cues)), timing, variant)
+    offsets = loops.loop_offsets(lengths(segments.segments(cues)), timing, variant)
     return loops.retimed_lines(offsets, delimiter).select("item_id", "idx", "pass", "line")
 
 
-def retime_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str, variant: str = "full", delimiter: str = "|||") -> StreamingQuery:
+def retime_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str, variant: str = "full", delimiter: str = "|||", lengths: Lengths = media.stub_lengths) -> StreamingQuery:
     """Reads what has arrived, writes its lines as Parquet under ``out`` and ends.
 
     A batch that is run again overwrites its own folder, so each file's lines are there once.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        retimed(batch, variant=variant, delimiter=delimiter).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        retimed(batch, variant=variant, delimiter=delimiter, lengths=lengths).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return arriving_files(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
