@@ -80,10 +80,12 @@ def _mixed(codes: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces by length: for each, the sorted hashes and the pieces' numbers; scores by number, and that of a byte."""
+    """Pieces by number: their hashes and scores, the places of a table that lead from a hash to its number (-1: none), their lengths, and a byte's score."""
 
-    by_length: dict[int, tuple[np.ndarray, np.ndarray]]
+    hashes: np.ndarray
     scores: np.ndarray
+    places: np.ndarray
+    lengths: list[int]
     byte_score: float
 
     @classmethod
@@ -91,12 +93,27 @@ class Vocabulary:
         pieces = [p for p in scores if p]
         codes, bounds = _codes(pieces)
         hashes = run_hash(running(_mixed(codes)), bounds[:-1], bounds[1:])
-        by_length = {}
-        for n in sorted({len(p) for p in pieces}):
-            own = np.flatnonzero(np.diff(bounds) == n)
-            own = own[np.argsort(hashes[own])]
-            by_length[n] = hashes[own], own
-        return cls(by_length, np.array([scores[p] for p in pieces]), min(scores.values(), default=0.0) - BELOW)
+        places = np.full(8 << max(1, len(pieces)).bit_length(), -1, np.int32)
+        mask = len(places) - 1
+        for number, h in enumerate(hashes.tolist()):
+            at = h & mask
+            while places[at] >= 0:
+                at = (at + 1) & mask
+            places[at] = number
+        return cls(hashes, np.array([scores[p] for p in pieces]), places, sorted({len(p) for p in pieces}), min(scores.values(), default=0.0) - BELOW)
+
+    def numbers(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of pieces of these hashes, or -1."""
+        at = (keys & np.uint64(len(self.places) - 1)).astype(np.int64)
+        out = self.places[at]
+        some = np.flatnonzero(out >= 0)
+        some = some[self.hashes[out[some]] != keys[some]]
+        while len(some):  # another piece is in the place: the next one may have it
+            at[some] = (at[some] + 1) & (len(self.places) - 1)
+            out[some] = self.places[at[some]]
+            some = some[out[some] >= 0]
+            some = some[self.hashes[out[some]] != keys[some]]
+        return out
 
 
 class Trie:
@@ -117,13 +134,11 @@ class Trie:
         self.piece, self.length = np.full(n + 1, -1), np.ones(n + 1, np.int64)
         size = 1 + (codes[first] > 0x7F).astype(np.int64) + (codes[first] > 0x7FF) + (codes[first] > 0xFFFF)
         matched = {}
-        for k, (hashes, numbers) in vocabulary.by_length.items():
+        for k in vocabulary.lengths:
             own = np.flatnonzero(self.depth >= k)
             if len(own):
-                key = run_hash(sums, first[own] + 1 - k, first[own] + 1)
-                place = np.minimum(np.searchsorted(hashes, key), len(hashes) - 1)
-                number = np.full(n, -1)
-                number[own] = np.where(hashes[place] == key, numbers[place], -1)
+                number = np.full(n, -1, np.int32)
+                number[own] = vocabulary.numbers(run_hash(sums, first[own] + 1 - k, first[own] + 1))
                 matched[k] = number
         order = np.argsort(self.depth, kind="stable")
         cuts = np.searchsorted(self.depth[order], np.arange(1, DEEP + 2))
@@ -245,23 +260,22 @@ def pretoken_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``word`` (behind its mark) and ``n`` of every distinct pre-token of the table."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        words: list[str] = []
+        known, number, times = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for _, _, _, hashes, data, bounds in _pretokens(batch.column(text_col)):
-                distinct, at, times = np.unique(hashes, return_index=True, return_counts=True)
-                fresh = [i for i, h in enumerate(distinct.tolist()) if h not in held]
-                held |= {int(distinct[i]): [w, 0] for i, w in zip(fresh, _spelled(data, bounds[:, at[fresh]]), strict=True)} if fresh else {}
-                for h, n in zip(distinct.tolist(), times.tolist(), strict=True):
-                    held[h][1] += n
-            if len(held) > KNOWN:
-                yield told(held)
-                held = {}
-        if held:
-            yield told(held)
-
-    def told(held: dict[int, list]) -> pa.RecordBatch:
-        words, n = zip(*held.values(), strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
+                distinct, at, n = np.unique(hashes, return_index=True, return_counts=True)
+                fresh = at[~np.isin(distinct, known, assume_unique=True)]
+                known, number = np.concatenate([known, hashes[fresh]]), np.concatenate([number, np.arange(len(fresh)) + len(words)])
+                order = np.argsort(known)
+                known, number = known[order], number[order]
+                words += _spelled(data, bounds[:, fresh])
+                times = np.concatenate([times, np.zeros(len(fresh), np.int64)])
+                times[number[np.searchsorted(known, distinct)]] += n
+            if len(words) > KNOWN:
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(times)], names=["word", "n"])
+                words, known, number, times = [], known[:0], number[:0], times[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(times)], names=["word", "n"])
 
     counted = small_batches(df.select(text_col)).mapInArrow(count, "word string, n bigint")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
