@@ -15,6 +15,7 @@ from cueline.llm.license_scan import NOTICE_SHARE, NOTICES, PHRASES, license_sca
 from cueline.llm.line_dedup import UNITS, line_counts
 from cueline.llm.mixing import mix_sources
 from cueline.llm.near_dedup import near_groups
+from cueline.llm.phrases import collocations
 from cueline.llm.token_counts import scores_for, token_counts
 from cueline.llm.url_filter import filter_urls
 
@@ -268,6 +269,35 @@ hits AS (
 SELECT page_id, host, coalesce(lists, '') AS lists, lists IS NOT NULL AS blocked FROM captures LEFT JOIN hits USING (page_id)
 """
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+SQL_COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(string_split_regex({SQL_LOWER.format("text")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, array_to_string(w[i : i + k - 2], ' ') AS head, w[i + k - 1] AS last, w[i] AS first, array_to_string(w[i + 1 : i + k - 1], ' ') AS tail
+  FROM pieces, unnest(range(1, 4)) AS s(k), unnest(range(1, len(w) - k + 2)) AS t(i)),
+f AS (SELECT lang, k, phrase, head, last, first, tail, count(*)::HUGEINT AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, 1 AS cut, l.a AS l, r.a AS r FROM candidates c JOIN f l ON l.lang = c.lang AND l.k = 1 AND l.phrase = c.first JOIN f r ON r.lang = c.lang AND r.k = c.k - 1 AND r.phrase = c.tail
+  UNION ALL
+  SELECT c.lang, c.k, c.phrase, c.a, 2, l.a, r.a FROM candidates c JOIN f l ON l.lang = c.lang AND l.k = 2 AND l.phrase = c.head JOIN f r ON r.lang = c.lang AND r.k = 1 AND r.phrase = c.last WHERE c.k = 3),
+scored AS (SELECT *, 1000000::HUGEINT * a * a // (l * r) AS score FROM cuts),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, head AS phrase, a FROM candidates WHERE k = 3 UNION ALL SELECT lang, tail, a FROM candidates WHERE k = 3),
+longest AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY ALL),
+kept AS (SELECT s.* FROM least s LEFT JOIN longest i ON s.k = 2 AND s.lang = i.lang AND s.phrase = i.phrase WHERE longer IS NULL OR 100 * longer < 50 * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -279,6 +309,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_collocations": op11_collocations,
 }
 ORACLE_SQL = {
     "op2_license_scan": SQL_LICENSE_SCAN,
@@ -289,4 +320,5 @@ ORACLE_SQL = {
     "op8_chat_format": SQL_CHAT_FORMAT,
     "op9_line_dedup": SQL_LINE_DEDUP,
     "op10_url_filter": SQL_URL_FILTER,
+    "op11_collocations": SQL_COLLOCATIONS,
 }
