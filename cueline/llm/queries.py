@@ -17,6 +17,7 @@ from cueline.llm.mixing import mix_sources
 from cueline.llm.near_dedup import near_groups
 from cueline.llm.phrases import collocations
 from cueline.llm.token_counts import scores_for, token_counts
+from cueline.llm.turn_repair import damaged, repair
 from cueline.llm.url_filter import filter_urls
 
 #: Fixed values for the SQL: the letters to lower-case, and words as RE2 patterns.
@@ -298,6 +299,73 @@ SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BI
 FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair(damaged(conversations), conversations)
+
+
+def _sql_cheapest(state: int, ahead: str) -> str:
+    """Least cost of all edits but insertions in a state, from the costs ``b0`` to ``b3`` behind the row."""
+    to = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[state]
+    kept = " ".join(f"WHEN r.initial = '{c}' THEN b{q} + r.extra" for c, q in to.items())
+    return f"least(b{state} + 2, CASE WHEN r.must THEN {_SQL_NEVER} {kept} ELSE {_SQL_NEVER} END, CASE WHEN r.must THEN {_SQL_NEVER} ELSE b{ahead} + 1 + r.extra END)"
+
+
+_SQL_NEVER = "1000000000"
+#: Of a state q: the one that an insertion or a changed role leads to, and the cost there.
+_SQL_AHEAD, _SQL_ROLE = "[2, 2, 3, 2][q + 1]", "CASE WHEN q = 2 THEN 'assistant' ELSE 'user' END"
+SQL_TURN_REPAIR = f"""
+WITH RECURSIVE original AS (SELECT DISTINCT conv_id FROM conversations),
+hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+           lambda crc, x: list_reduce(list_prepend(xor(crc, x), range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))), 4294967295) % 20 AS chosen
+  FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN chosen = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN chosen = 1 THEN '' WHEN chosen = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM hashed, unnest(range(CASE chosen WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS t(copy)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said
+  FROM damaged),
+faults AS (
+  SELECT *, CASE WHEN said = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two
+  FROM placed),
+coded AS (SELECT *, fault IN ('blank', 'duplicate') AS must, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS extra FROM faults),
+rest(conv_id, i, b0, b1, b2, b3) AS (
+  SELECT conv_id, max(n) + 1, 0::BIGINT, 10::BIGINT, 5::BIGINT, 0::BIGINT FROM coded GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, least(c0, c2 + 5, c3 + 10), least(c1, c2 + 5, c3 + 10), least(c2, c3 + 5), least(c3, c2 + 5)
+  FROM (SELECT r.conv_id, r.i, {_sql_cheapest(0, "2")} AS c0, {_sql_cheapest(1, "2")} AS c1, {_sql_cheapest(2, "3")} AS c2, {_sql_cheapest(3, "2")} AS c3
+        FROM rest b JOIN coded r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i - 1)),
+costs AS MATERIALIZED (SELECT conv_id, i, [b0, b1, b2, b3] AS b FROM rest),
+walk(conv_id, i, q, edit, audit, lines) AS (
+  SELECT conv_id, 1::BIGINT, 0, '', '', []::VARCHAR[] FROM coded WHERE i = 1
+  UNION ALL
+  SELECT conv_id, CASE WHEN edit = 'I' THEN i ELSE i + 1 END, CASE edit WHEN 'D' THEN q WHEN 'K' THEN kept ELSE {_SQL_AHEAD} END, edit, audit || edit,
+         CASE edit WHEN 'D' THEN lines WHEN 'I' THEN list_append(lines, {_SQL_ROLE} || ':') WHEN 'K' THEN list_append(lines, role || ':' || text) ELSE list_append(lines, {_SQL_ROLE} || ':' || text) END
+  FROM (
+    SELECT w.conv_id, w.i, q, audit, lines, role, text, kept,
+           CASE WHEN r.i IS NOT NULL AND here = after[q + 1] + 2 THEN 'D' WHEN here = c.b[{_SQL_AHEAD} + 1] + 5 THEN 'I'
+                WHEN r.i IS NULL THEN '' WHEN NOT must AND kept IS NOT NULL AND here = after[kept + 1] + extra THEN 'K' ELSE 'R' END AS edit
+    FROM (SELECT w.*, c.b, c.b[q + 1] AS here FROM walk w JOIN costs c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.i = w.i) w
+    JOIN costs c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.i = w.i
+    LEFT JOIN (
+      SELECT coded.*, costs.b AS after FROM coded JOIN costs ON costs.conv_id IS NOT DISTINCT FROM coded.conv_id AND costs.i = coded.i + 1) r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i
+    LEFT JOIN (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) AS g(state, letter, kept) ON g.state = w.q AND g.letter = r.initial) steps
+  WHERE edit <> ''),
+ends AS (SELECT conv_id, arg_max(audit, length(audit)) AS audit, arg_max(lines, length(audit)) AS lines FROM walk GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM coded GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b[1], 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM original o LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN costs c ON c.i = 1 AND c.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -310,6 +378,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_collocations": op11_collocations,
+    "op12_turn_repair": op12_turn_repair,
 }
 ORACLE_SQL = {
     "op2_license_scan": SQL_LICENSE_SCAN,
@@ -321,4 +390,5 @@ ORACLE_SQL = {
     "op9_line_dedup": SQL_LINE_DEDUP,
     "op10_url_filter": SQL_URL_FILTER,
     "op11_collocations": SQL_COLLOCATIONS,
+    "op12_turn_repair": SQL_TURN_REPAIR,
 }
