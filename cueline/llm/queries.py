@@ -16,6 +16,7 @@ from cueline.llm.line_dedup import UNITS, line_counts
 from cueline.llm.mixing import mix_sources
 from cueline.llm.near_dedup import near_groups
 from cueline.llm.phrases import collocations
+from cueline.llm.set_join import jaccard_groups
 from cueline.llm.token_counts import scores_for, token_counts
 from cueline.llm.turn_repair import damaged, repair
 from cueline.llm.url_filter import filter_urls
@@ -366,6 +367,14 @@ FROM original o LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM o.conv_id L
 LEFT JOIN costs c ON c.i = 1 AND c.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_groups(docs).select("doc_id", "n_shingles", "component_id")
+
+
+#: The same join as for near duplicates, at another similarity and without the decision.
+SQL_NGRAM_JACCARD = SQL_NEAR_DEDUP.replace(">= 75 *", ">= 80 *").replace(", coalesce(root, d.doc_id) = d.doc_id AS kept", "")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -379,6 +388,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
     "op11_collocations": op11_collocations,
     "op12_turn_repair": op12_turn_repair,
+    "op13_ngram_jaccard": op13_ngram_jaccard,
 }
 ORACLE_SQL = {
     "op2_license_scan": SQL_LICENSE_SCAN,
@@ -391,4 +401,5 @@ ORACLE_SQL = {
     "op10_url_filter": SQL_URL_FILTER,
     "op11_collocations": SQL_COLLOCATIONS,
     "op12_turn_repair": SQL_TURN_REPAIR,
+    "op13_ngram_jaccard": SQL_NGRAM_JACCARD,
 }
