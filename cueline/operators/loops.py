@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueline.functions import text
+from cueline.operators.ordered import in_order
 
 
 @dataclass(frozen=True)
@@ -69,9 +70,11 @@ def loop_parts(table: DataFrame, timing: Timing = Timing(), variant: str = "full
 
 def loop_offsets(table: DataFrame, timing: Timing = Timing(), variant: str = "full", item: str = "item_id") -> DataFrame:
     """A row for each pass of each segment: ``pass``, ``loop_ms`` and ``pos_ms``, where it begins in the new track."""
-    rows = table.withColumns({"loop_ms": loop_ms(timing).cast("bigint")}).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(len(passes(variant)) - 1))))
-    before = Window.partitionBy(item).orderBy("idx", "pass").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("pos_ms", F.coalesce(F.sum("loop_ms").over(before), F.lit(0)).cast("bigint"))
+    n = len(passes(variant))
+    rows = in_order(table.withColumn("loop_ms", loop_ms(timing).cast("bigint")), item, ["idx"], sums={"_before": "loop_ms"})
+    # All passes of a segment are equally long.
+    rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return rows.withColumn("pos_ms", F.col("_before") * n + F.col("pass") * F.col("loop_ms")).drop("_before")
 
 
 def track_lengths(offsets: DataFrame, item: str = "item_id") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueline.functions import paths, text
+from cueline.functions.workers import written
+from cueline.operators.ordered import in_order
 
 
 def work_items(files: DataFrame, mode: str = "") -> DataFrame:
@@ -85,7 +87,9 @@ def failures(runs: DataFrame, limit: int = 100) -> DataFrame:
 
 def checkpoints(rows: DataFrame, group: str, order: tuple[str, ...]) -> DataFrame:
     """The rows at which a group's progress enters a new tenth, with ``current`` and ``total``, and its last row."""
-    numbered = rows.withColumns({"current": F.row_number().over(Window.partitionBy(group).orderBy(*order)), "total": F.count("*").over(Window.partitionBy(group))})
+    totals = written(rows.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("total")))
+    placed = in_order(rows, group, order, "_place").withColumn("current", F.col("_place") + 1).drop("_place")
+    numbered = placed.join(totals, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
     tenth = lambda n: F.floor(n * 10 / F.col("total"))
     return numbered.filter((tenth(F.col("current")) > tenth(F.col("current") - 1)) | (F.col("current") == F.col("total")))
 

@@ -1,7 +1,8 @@
 """Subtitle and bilingual text lines as ordered segments.
 
 A segments table has ``item_id``, ``idx`` (from 0), ``start_ms``, ``end_ms``, ``target_text`` and
-``native_text``. Windows run within an item, which is one media file's cues.
+``native_text``. Places and ends come from range sorts (:mod:`cueline.operators.ordered`), so an item may have any number of cues.
+Only the lines of a text that stands in one row are numbered by a window.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueline.functions import text
+from cueline.operators.ordered import in_order
 
 #: How long the last cue lasts when the media's length is unknown.
 LAST_MS = 5000
@@ -28,11 +30,11 @@ def segments(found: DataFrame, tie: Sequence[str] = ("line_no",), item: str = "i
 
     The last one ends at ``duration``, or ``LAST_MS`` after its start if that is unknown.
     """
-    order = Window.partitionBy(item).orderBy("start_ms", *tie)
-    ends = [F.lead("start_ms").over(order), *([duration] if duration is not None else []), F.col("start_ms") + LAST_MS]
-    return found.select(
-        item, (F.row_number().over(order) - 1).cast("bigint").alias("idx"), "start_ms", F.coalesce(*ends).cast("bigint").alias("end_ms"), "target_text", "native_text"
-    )
+    length = F.lit(None) if duration is None else duration
+    cut = found.select(item, "start_ms", "target_text", "native_text", *(F.col(c).alias(f"_tie{i}") for i, c in enumerate(tie)), length.cast("bigint").alias("_length"))
+    placed = in_order(cut, item, ["start_ms", *(f"_tie{i}" for i in range(len(tie)))], "idx", leads={"_next": "start_ms"})
+    end = F.coalesce("_next", "_length", F.col("start_ms") + LAST_MS).cast("bigint")
+    return placed.select(item, "idx", "start_ms", end.alias("end_ms"), "target_text", "native_text")
 
 
 def text_segments(lines: DataFrame, delimiter: str = "|||", strategy: str = "last", item: str = "item_id", order: Sequence[str] = ("line_no",)) -> DataFrame:
@@ -66,7 +68,6 @@ def pcm_slice(pcm: Column, from_ms: Column, to_ms: Column, frame_rate: Column, f
 
 def turn_pairs(conversations: DataFrame) -> DataFrame:
     """User turns that an assistant's follows, as target and native text of an item."""
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    ahead = conversations.withColumns({"_role": F.lead("role").over(order), "native_text": F.lead("text").over(order)})
-    pairs = ahead.filter("role = 'user' AND _role = 'assistant'")
-    return pairs.select("conv_id", (F.row_number().over(order) - 1).cast("bigint").alias("idx"), F.col("text").alias("target_text"), "native_text")
+    ahead = in_order(conversations.select("conv_id", "turn", "role", "text"), "conv_id", ["turn"], leads={"_role": "role", "native_text": "text"})
+    pairs = ahead.filter("role = 'user' AND _role = 'assistant'").select("conv_id", "turn", F.col("text").alias("target_text"), "native_text")
+    return in_order(pairs, "conv_id", ["turn"], "idx").select("conv_id", "idx", "target_text", "native_text")

@@ -7,6 +7,7 @@ the stand-in voice. File listings and media lengths are derived from ``part`` an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -335,7 +336,9 @@ def _split_levels_sql(accepted: int) -> str:
         ctes.append(f"again{d} AS (SELECT doc_id, path, piece AS text FROM level{d} WHERE rejected)")
         kept = "" if d == control.DEPTH else f" WHERE NOT EXISTS (SELECT 1 FROM level{d + 1} n WHERE n.doc_id = l.doc_id AND n.above = l.path)"
         found.append(f"SELECT doc_id, path, {d} AS depth, piece, rejected FROM level{d} l{kept}")
-    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(found)}"
+    # Parts that several others read are kept; DuckDB would work them out again for each, and for each of a level's readers those of the level above.
+    kept_once = re.sub(r"^(\w+) AS \(|(?<=\),\n)(\w+) AS \(", lambda m: f"{m[1] or m[2]} AS MATERIALIZED (", ",\n".join(ctes))
+    return f"WITH {kept_once} {' UNION ALL '.join(found)}"
 
 
 def _split(spark: SparkSession, sf_dir: str, target: int, weak: int) -> DataFrame:

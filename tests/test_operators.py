@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from cueline.operators import control, loops, media, scan, segments
@@ -157,8 +159,12 @@ def test_split_levels(spark):
     df = spark.createDataFrame([("i", content)], "item_id string, text string")
     leaves = control.split_levels(df, 30).orderBy("path").collect()
     assert "".join(r["piece"] for r in leaves).replace(" ", "") == content.replace(" ", "")
-    assert all(r["rejected"] == (r["depth"] == 3 or len(r["piece"]) <= 30) or not r["rejected"] for r in leaves)
     assert not any(r["rejected"] for r in leaves)
+    # An engine that takes 12 characters rejects what the last level cannot cut to that: a piece counts by its longest sentence.
+    leaves = control.split_levels(df, 12).orderBy("path").collect()
+    longest = lambda piece: max(len(x.strip()) for x in re.findall(r"[^.]*[.]+|[^.]+", piece))
+    assert all(r["rejected"] == (longest(r["piece"]) > 12) for r in leaves)
+    assert {r["depth"] for r in leaves if r["rejected"]} == {control.DEPTH} and any(not r["rejected"] for r in leaves)
 
 
 def test_commands(spark):
