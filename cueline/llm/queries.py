@@ -19,7 +19,7 @@ from cueline.llm.phrases import collocations
 from cueline.llm.set_join import jaccard_groups
 from cueline.llm.token_counts import scores_for, token_counts
 from cueline.llm.turn_repair import damaged, repair
-from cueline.llm.url_filter import filter_urls
+from cueline.llm.url_filter import filter_urls, url_host, url_path
 
 #: Fixed values for the SQL: the letters to lower-case, and words as RE2 patterns.
 SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -226,51 +226,58 @@ FROM documents LEFT JOIN counts USING (doc_id)
 """
 
 
-# A log of list entries (list, host, path, date, action) over hosts of the test pages.
-URL_LOG = (
-    ("spam", "spam-farm.example.org", None, "2024-01-01", "add"),
-    ("spam", "spam-farm.example.org", None, "2024-05-01", "remove"),
-    ("spam", "spam-farm.example.org", None, "2024-08-15", "add"),
-    ("pharma", "cheap-pills.example.com", None, "2024-03-10", "add"),
-    ("spam", "cheap-pills.example.com", None, "2024-06-01", "add"),
-    ("pharma", "cheap-pills.example.com", None, "2024-11-20", "remove"),
-    ("review", "example.net", "/es", "2024-02-01", "add"),
-    ("review", "example.net", "/es/", "2024-04-01", "remove"),
-    ("mirror", "ththan.example.net", None, "2024-07-01", "add"),
-    ("mirror", "ththan.example.net", None, "2024-07-01", "remove"),
-    ("mirror", "blog.ththan.example.net", None, "2024-07-01", "add"),
-)
 #: The pages have no fetch time: page k counts as fetched at noon of day k modulo 366 of 2024.
 FETCHED = "timestamp_seconds(1704110400 + page_id % 366 * 86400)"
+#: Nor are there lists. Their entries are made of the pages' hosts, so that they grow with the table: of each host, by the number k of its first
+#: page, its list, path (of that page's first segment), day of 2024 and action. ``mirror`` is of the domain above the host.
+URL_LOG = (
+    ("spam", "host", None, "k % 300", "add", "true"),
+    ("spam", "host", None, "k % 300 + 60", "remove", "k % 3 <> 0"),
+    ("spam", "host", None, "k % 300 + 120", "add", "k % 2 = 0"),
+    ("review", "host", "segment", "k * 7 % 366", "add", "true"),
+    ("review", "host", "segment", "k * 7 % 366 + 100", "remove", "k % 4 <> 1"),
+    ("mirror", "above", None, "k * 13 % 366", "add", "k % 5 = 0"),
+    ("mirror", "above", None, "k * 13 % 366", "remove", "k % 10 = 0"),
+)
 
 
-def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(FETCHED).alias("fetched_at"))
-    log = spark.createDataFrame(URL_LOG, "list string, host string, path string, date string, action string")
-    return filter_urls(pages, log).select("page_id", "host", F.array_join("lists", ",").alias("lists"), "blocked")
+def url_log(pages: DataFrame) -> DataFrame:
+    """The log's entries: ``list``, ``host``, ``path``, ``date`` and ``action``."""
+    known = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path")).filter("host IS NOT NULL")
+    hosts = known.groupBy("host").agg(F.min("page_id").alias("k"), F.min_by("path", "page_id").alias("path"))
+    hosts = hosts.withColumns({"segment": F.concat(F.lit("/"), F.get(F.split("path", "/"), F.lit(1))), "above": F.regexp_replace("host", r"^[^.]*\.", "")})
+    one = lambda name, host, path, day, action, when: F.when(F.expr(when), F.struct(F.lit(name).alias("list"), F.col(host).alias("host"), (F.lit(None).cast("string") if path is None else F.col(path)).alias("path"), F.date_add(F.lit("2024-01-01").cast("date"), F.expr(f"CAST({day} AS INT)")).alias("date"), F.lit(action).alias("action")))
+    return hosts.select(F.inline(F.array_compact(F.array(*(one(*row) for row in URL_LOG)))))
 
 
-def _sql_value(x: str | None) -> str:
-    return "NULL" if x is None else f"'{x}'"
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(FETCHED).alias("fetched_at"))
+    return filter_urls(pages, url_log(pages)).select("page_id", "host", F.array_join("lists", ",").alias("lists"), "blocked")
 
 
 SQL_URL_FILTER = rf"""
-WITH log(list, host, path, day, action) AS (VALUES {", ".join("(" + ", ".join(map(_sql_value, r)) + ")" for r in URL_LOG)}),
-last AS (SELECT list, host, rtrim(coalesce(path, ''), '/') AS path, day::TIMESTAMP AS since, max(action) AS action FROM log GROUP BY ALL),
-held AS (SELECT *, lead(since) OVER (PARTITION BY list, host, path ORDER BY since) AS until FROM last),
-captures AS (
+WITH captures AS MATERIALIZED (
   SELECT page_id, nullif(rtrim(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/?#:\s]*)', 1)), '.'), '') AS host,
          coalesce(nullif(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/') AS path,
          make_timestamp((1704110400 + page_id % 366 * 86400) * 1000000) AS fetched
   FROM pages),
+hosts AS (
+  SELECT host, k, '/' || string_split(path, '/')[2] AS segment, regexp_replace(host, '^[^.]*\.', '') AS above
+  FROM (SELECT host, min(page_id) AS k, arg_min(path, page_id) AS path FROM captures WHERE host IS NOT NULL GROUP BY host)),
+log AS ({" UNION ALL ".join(f"SELECT '{name}' AS list, {host} AS host, {path or 'NULL'} AS path, DATE '2024-01-01' + ({day})::INTEGER AS day, '{action}' AS action FROM hosts WHERE {when}" for name, host, path, day, action, when in URL_LOG)}),
+last AS (SELECT list, host, rtrim(coalesce(path, ''), '/') AS path, day::TIMESTAMP AS since, max(action) AS action FROM log WHERE host <> '' GROUP BY ALL),
+held AS MATERIALIZED (SELECT *, lead(since) OVER (PARTITION BY list, host, path ORDER BY since) AS until FROM last),
+suffixes AS (
+  SELECT page_id, path, fetched, CASE WHEN regexp_matches(host, '^(\[.*|[0-9.]+)$') THEN host ELSE array_to_string(string_split(host, '.')[i : ], '.') END AS suffix
+  FROM captures, unnest(range(1, len(string_split(host, '.')) + 1)) AS t(i)),
 hits AS (
-  SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM captures c JOIN held h
-  ON (c.host = h.host OR (ends_with(c.host, '.' || h.host) AND NOT regexp_matches(c.host, '^(\[.*|[0-9.]+)$')))
+  SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM suffixes c JOIN held h ON c.suffix = h.host
      AND h.action = 'add' AND fetched >= since AND (until IS NULL OR fetched < until) AND (rtrim(c.path, '/') = h.path OR starts_with(c.path, h.path || '/'))
   GROUP BY page_id)
 SELECT page_id, host, coalesce(lists, '') AS lists, lists IS NOT NULL AS blocked FROM captures LEFT JOIN hits USING (page_id)
 """
 
+
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from cueline.llm.url_filter import allowed, filter_urls, intervals, path_prefixes, url_host, url_path, utc_micros
+import time
+
+from cueline.llm.url_filter import allowed, beginning, depth, filter_urls, host_suffix, intervals, labels, plain_path, url_host, url_path, utc_micros
 from pyspark.sql import functions as F
 
 LOG = [
@@ -50,8 +52,33 @@ def test_hosts_and_paths(spark):
     urls = ["HTTP://A.b:8/c?d", "https://a.b?x", "//a.b/c", "ftp://user@a.b./"]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select(url_host(F.col("u")), url_path(F.col("u"))).collect()
     assert [tuple(r) for r in got] == [("a.b", "/c"), ("a.b", "/"), (None, "/"), ("a.b", "/")]
-    got = spark.createDataFrame([("/",), ("/a/b/",), ("/a//b",)], "p string").select(path_prefixes(F.col("p"))).collect()
+    path = plain_path(F.col("p"))
+    df = spark.createDataFrame([("/",), ("/a/b/",), ("/a//b",)], "p string")
+    got = df.select(F.transform(F.sequence(F.lit(0), depth(path)), lambda d: beginning(path, d))).collect()
     assert [list(r[0]) for r in got] == [[""], ["", "/a", "/a/b"], ["", "/a", "/a/", "/a//b"]]
+    host = F.col("h")
+    got = spark.createDataFrame([("a.b.c",), ("10.0.0.4",), ("[::1.2]",)], "h string").select(F.transform(F.sequence(F.lit(1), labels(host)), lambda n: host_suffix(host, n))).collect()
+    assert [list(r[0]) for r in got] == [["c", "b.c", "a.b.c"], ["10.0.0.4"], ["[::1.2]"]]
+
+
+def test_long_urls_and_a_hot_host(spark):
+    """Megabytes of segments, labels and slashes cost what their length costs; a host of a third of the captures meets its own entries."""
+    schema = "page_id bigint, url string, fetched_at string"
+    log = [("a", "bad.org", "/x/y", "2024-01-01", "add"), ("b", "bad.org", None, "2024-06-01", "add"), ("deep", "d.org", "/" + "/".join("s" * 3000), "2024-01-01", "add")]
+    log += [(f"l{k % 7}", f"h{k}.net", f"/p{k % 3}", f"2024-0{1 + k % 9}-01", "add") for k in range(300)]
+    log = spark.createDataFrame(log, "list string, host string, path string, date string, action string")
+    long = [("http://bad.org/x/y" + "/a" * 500_000, ["a"]), ("http://" + "l." * 500_000 + "bad.org/x/z", []), ("http://bad.org/" + "/" * 1_000_000, []), ("http://d.org" + "/s" * 400_000, ["deep"]), ("http://" + "." * 300_000 + "/", [])]
+    captures = [(i, u, "2024-05-01") for i, (u, _) in enumerate(long)] + [(100 + i, "http://www.h4.net/p1/q", "2024-05-01") for i in range(2000)] + [(5000 + i, f"http://h{i % 300}.net/p0", "2024-05-01") for i in range(4000)]
+    df = spark.createDataFrame(captures, schema).repartition(4)
+    filter_urls(df.filter("page_id >= 100"), log).collect()
+    began = time.perf_counter()
+    found = {r["page_id"]: r["lists"] for r in filter_urls(df, log).collect()}
+    assert time.perf_counter() - began < 60
+    assert [found[i] for i in range(len(long))] == [want for _, want in long]
+    assert all(found[100 + i] == ["l4"] for i in range(2000)) and len(found) == len(captures)
+    for i in range(4000):
+        k = i % 300
+        assert found[5000 + i] == ([f"l{k % 7}"] if k % 3 == 0 and 1 + k % 9 <= 5 else [])
 
 
 def test_the_sessions_zone_has_no_part(spark):
