@@ -168,6 +168,10 @@ def traces(codes: list[np.ndarray], final: np.ndarray) -> Iterator[tuple[int, in
             yield int(some[run[i]]), i % 4, int(total[i]), int(state[i]), audit, np.where(e == 1, -1, places[i])[left].tolist(), roles[i][left].tolist()
 
 
+def _tasks(runs: DataFrame) -> int:
+    return int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _codes(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.array(c, np.int64) for c in batch.column("codes").to_pylist()]
 
@@ -186,8 +190,8 @@ def _with_rest(runs: DataFrame) -> DataFrame:
             columns = [batch.column(c) for c in ("conv", "run", "codes")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tolist() for x in rest], pa.list_(pa.int64()))], names=["conv", "run", "codes", "rest"])
 
-    # All runs of a conversation pass one task, as a stream of small rows.
-    light = runs.select("conv", "run", "codes").repartition("conv").sortWithinPartitions("conv", F.desc("run"))
+    # All runs of a conversation pass one task, as a stream of small rows. They are few bytes and much work: Spark would join their tasks if it chose the number.
+    light = runs.select("conv", "run", "codes").repartition(_tasks(runs), "conv").sortWithinPartitions("conv", F.desc("run"))
     return light.mapInArrow(add, "conv string, run long, codes array<int>, rest array<long>")
 
 
@@ -217,7 +221,7 @@ def _planned(runs: DataFrame) -> DataFrame:
             columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("conv"), batch.column("run"), *columns], names=["conv", "run", "cost", "audit", "illegal", "rows", "roles"])
 
-    ordered = _with_rest(runs).repartition("conv").sortWithinPartitions("conv", "run")
+    ordered = _with_rest(runs).repartition(_tasks(runs), "conv").sortWithinPartitions("conv", "run")
     return ordered.mapInArrow(plan, "conv string, run long, cost long, audit string, illegal long, rows array<int>, roles array<string>")
 
 
