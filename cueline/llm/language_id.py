@@ -7,9 +7,9 @@ are trained in numpy by stochastic gradient descent on a bounded sample of label
 texts; part of the sample is held back to fit the temperature of the softmax and the
 score below which a text is rejected.
 
-Every text is read whole. Only to learn, a text of the sample is a draw of up to ``DRAWN`` of its
-subwords, from all over it: so the sample is bounded in bytes as well as in texts. Languages
-may be any number; a model of many keeps embeddings and class weights apart, one of
+Every text is read whole, to learn from as well: tasks count the subwords of a text of the sample, and the counts of at most
+``BUCKETS`` rows are what comes to the driver. The sample is bounded in texts (``SAMPLE_ALL``). Languages
+may be any number, and so may labels that are none; a model of many keeps embeddings and class weights apart, one of
 few their product (the score of each subword for each class), which is then the smaller.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and is
@@ -30,18 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cueline.llm.hashing import byte_classes, steps, utf8_view
-from cueline.llm.tables import small_batches
+from cueline.llm.tables import apart, small_batches, written
 
 #: N-gram lengths in bytes, and the rows of the table that they are hashed to.
 LENGTHS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 UNKNOWN = "und"
 #: Labelled texts that are drawn for each language (expected number), those for all languages, and the part that only calibrates.
-SAMPLE, SAMPLE_ALL, HELD_BACK = 1000, 4000, 0.3
+SAMPLE, SAMPLE_ALL, HELD_BACK = 500, 2000, 0.3
 #: Short runs of words, up to so many, that are learnt beside each whole text of the sample.
 PIECES, PIECE_WORDS = 2, 12
-#: Subwords that are drawn of a text of the sample, at most; each is three bytes (row and count) on its way to the driver.
-DRAWN = 1024
 #: Share of the calibration texts that rejection may cost, and how many texts in two languages are made of each: such a
 #: document scores low for either, and stays.
 REJECT, MIXES = 0.001, 10
@@ -97,12 +95,13 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         yield (mixed >> np.uint32(16)).astype(np.int32) % BUCKETS, owner[at]
 
 
-def drawn(data: np.ndarray, offsets: np.ndarray, rng: np.random.Generator, most: int = DRAWN) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct subword rows of one text, or of a draw of ``most`` of its subwords, and how often each was met (255 at most)."""
-    rows = np.concatenate([np.zeros(0, np.int32), *(r for r, _ in subwords(data, offsets))])
-    rows = rows if len(rows) <= most else rng.choice(rows, most, replace=False)
-    found, n = np.unique(rows, return_counts=True)
-    return found.astype(np.uint16), np.minimum(n, 255).astype(np.uint8)
+def counted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct subword rows of one text, and how often each is there."""
+    n = np.zeros(BUCKETS, np.int64)
+    for rows, _ in subwords(data, offsets):
+        n += np.bincount(rows, minlength=BUCKETS)
+    found = np.flatnonzero(n)
+    return found.astype(np.uint16), n[found].astype(np.uint16 if n.max() < 1 << 16 else np.uint32)
 
 
 def pieces(text: str, rng: np.random.Generator) -> list[str]:
@@ -173,7 +172,7 @@ def calibrate(logits: np.ndarray, labels: np.ndarray, reject: float) -> tuple[fl
 
 
 def _sample(chosen: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Languages, and of each text and each of its pieces the language's number, whether it only calibrates, and its draw; in the order of the texts' places."""
+    """Languages, and of each text and each of its pieces the language's number, whether it only calibrates, and its counts; in the order of the texts' places."""
 
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +181,7 @@ def _sample(chosen: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, list[
                 rng = np.random.default_rng(int(place * 2**53))
                 for i, own in enumerate([text, *pieces(text, rng)]):
                     data = np.frombuffer(own.encode(), np.uint8)
-                    rows, n = drawn(data, np.array([0, len(data)]), rng)
+                    rows, n = counted(data, np.array([0, len(data)]))
                     if len(rows):
                         out.append((lang, place, i, rows.tobytes(), n.tobytes()))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema)
@@ -195,7 +194,10 @@ def _sample(chosen: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, list[
     number = {lang: i for i, lang in enumerate(languages)}
     # Held back by document, as its pieces share its place.
     back = (got.column("place").to_numpy() * 1e9 % 1 < HELD_BACK) & (len(names) >= 20)
-    texts = [(np.frombuffer(r.as_py(), np.uint16), np.frombuffer(n.as_py(), np.uint8)) for r, n in zip(got.column("rows"), got.column("n"), strict=True)]
+    texts = []
+    for r, n in zip(got.column("rows"), got.column("n"), strict=True):
+        rows, n = np.frombuffer(r.as_py(), np.uint16), n.as_py()
+        texts.append((rows, np.frombuffer(n, np.uint16 if len(n) == 2 * len(rows) else np.uint32)))
     return languages, np.array([number[x] for x in names], np.int64), back, texts
 
 
@@ -203,18 +205,23 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     """A model of the labelled rows that ``learn`` admits (all by default) and that have an id.
 
     About ``sample`` texts of a language are drawn by a hash of their ids, fewer if the languages
-    are many: about ``sample_all`` in all. Tasks turn them into draws of subwords; only these come to the driver,
-    and the number of rows of each label.
+    are many: about ``sample_all`` in all, of rows of one id and label one. Which ones is found from ids and labels alone, by joins; no label or count
+    comes to the driver but those of the sample. Tasks turn the texts into counts of subwords, which do.
     """
-    rows = df.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    rows = df.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows if learn is None else rows.filter(learn)
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), (F.shiftright(F.xxhash64(id_col), 11) / float(1 << 53) + 0.5).alias("place"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
+    place = (F.shiftright(F.xxhash64(id_col), 11) / float(1 << 53) + 0.5).alias("place")
+    keys = rows.select(F.col(lang_col).cast("string").alias("lang"), place)
+    sizes = keys.groupBy("lang").agg(F.count("*").alias("n"))
+    labels = sizes.count()
+    if not labels:
         return Model.empty()
-    most = min(sample, sample_all / len(sizes))
-    rate = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, most / n)))
-    chosen = rows.filter(F.col("place") < F.element_at(rate, F.col("lang")))
+    most = min(sample, sample_all / labels)
+    # A table of labels that is not broadcast is read back, so that rows of one label do not meet where its count is.
+    drawn = keys.join(written(sizes), "lang").filter(F.col("place") < most / F.col("n")).select("lang", "place").distinct()
+    texts_of = rows.filter(F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), place)
+    # About ``sample_all`` keys, whatever the table's size.
+    chosen = texts_of.join(F.broadcast(drawn), ["lang", "place"]).groupBy("lang", "place").agg(F.min("text").alias("text"))
     languages, labels, back, texts = _sample(chosen)
     if not languages:
         return Model.empty()
@@ -241,8 +248,9 @@ def _logits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def predict(df: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Every row of ``df`` with ``lang_pred``, ``score`` (0 to 1) and ``rejected``."""
     results = ("lang_pred", "score", "rejected")
-    readable = next(x for x in ("readable", "readable_", "readable__") if x not in df.columns)
-    df = df.drop(*results).withColumn(readable, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    df = df.drop(*results)
+    readable = apart(df, "readable")["readable"]
+    df = df.withColumn(readable, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     kept = [c for c in df.columns if c != readable and (keep_text or c != text_col)]
     shipped = df.sparkSession.sparkContext.broadcast(model)
 

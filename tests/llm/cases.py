@@ -7,8 +7,8 @@ import random
 from pyspark.sql import DataFrame, SparkSession
 
 #: Columns of documents, and others that clash with names that the operators use themselves.
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, size string, id string, node string, key string, _text string, Row string"
-CLASHING = ("kept", "size", "id", "node", "key", "_text", "Row")
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, size string, id string, node string, key string, _text string, Row string, Readable string, readable_ string, _readable_ string, _before0 string, _key_ string"
+CLASHING = ("kept", "size", "id", "node", "key", "_text", "Row", "Readable", "readable_", "_readable_", "_before0", "_key_")
 WORDS = {
     "en": "the of and that with from this over under river stone light garden window table quiet small green early train".split(),
     "de": "der die und das mit von über straße fluß stein licht garten fenster tisch ruhig klein grün früh zug nicht".split(),

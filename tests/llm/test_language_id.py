@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cases import documents, prose
-from cueline.llm.language_id import BUCKETS, LENGTHS, UNKNOWN, Model, calibrate, drawn, fit, held_out, identify, keep_identified, predict, subwords
+from cueline.llm.language_id import BUCKETS, LENGTHS, UNKNOWN, Model, calibrate, counted, fit, held_out, identify, keep_identified, predict, subwords
 
 
 def labelled(spark, n=600):
@@ -67,7 +67,7 @@ def test_subwords_stay_inside_words_and_texts():
             together[o].append(int(r))
     for t, own in zip(texts, together, strict=True):
         b = np.frombuffer(t.encode(), np.uint8)
-        found, n = drawn(b, np.array([0, len(b)]), np.random.default_rng(0))
+        found, n = counted(b, np.array([0, len(b)]))
         assert sorted(set(own)) == found.tolist() and n.tolist() == [own.count(x) for x in found.tolist()]
     # "ab c": letters 3, bigrams "ab" "b " " c" (not the two blanks), trigrams "ab " (not across words)
     assert len(together[0]) == 3 + 3 + 1 and LENGTHS == (1, 2, 3, 4)
@@ -148,9 +148,22 @@ def test_any_number_of_languages(spark):
     assert len(model.languages) == 450 and model.weight is not None and model.table.shape[1] < 450
 
 
-def test_learning_draws_from_the_whole_text():
-    text = ("a" * 50 + " ") * 400 + ("b" * 50 + " ") * 400
+def test_all_subwords_of_a_text_are_learnt():
+    """No text is cut and no count is clipped."""
+    text = ("a" * 50 + " ") * 4000 + ("b" * 50 + " ") * 10
     data = np.frombuffer(text.encode(), np.uint8)
-    rows, n = drawn(data, np.array([0, len(data)]), np.random.default_rng(0), most=200)
-    ones = {int(r) for rs, _ in [next(subwords(np.frombuffer(b"b", np.uint8), np.array([0, 1])))] for r in rs}
-    assert n.sum(dtype=int) == 200 and ones <= set(rows.tolist())
+    rows, n = counted(data, np.array([0, len(data)]))
+    assert n.sum(dtype=int) == sum(len(r) for r, _ in subwords(data, np.array([0, len(data)]))) and n.max() > 65_535
+    short = np.frombuffer(b"aaa", np.uint8)
+    assert counted(short, np.array([0, 3]))[1].dtype == np.uint16
+
+
+def test_columns_and_dirty_labels(spark):
+    """Columns of any name stay; a label for each of 100,000 rows leaves a sample of the stated size, and rows of one id count once."""
+    df = labelled(spark).withColumns({c: F.lit("x") for c in ("Readable", "readable_", "_readable_")})
+    assert set(df.columns) <= set(identify(df).columns)
+    rows = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.concat(F.lit("label"), F.col("id").cast("string")).alias("lang"))
+    model = fit(rows, sample_all=300)
+    assert 200 < len(model.languages) < 400
+    same = spark.range(3000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    assert fit(same, sample=5000, sample_all=5000).languages == ["en"]
