@@ -64,7 +64,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """The rows of ``df`` that stay, as they came: of each text the one with the largest id.
+    """The rows of ``df`` that stay, as they came: of each text the one with the largest id; of several of that id, the one of the largest hash of its columns.
 
     The other columns travel with the text, so nothing is joined back.
     """
@@ -76,7 +76,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     rows = rows.select(key, salt, text, F.struct(*fields, was_null).alias(row))
 
     def last(df: DataFrame, *by: str) -> DataFrame:
-        return df.groupBy(*by, text).agg(F.max_by(row, F.struct(f"{row}.{id_col}")).alias(row))
+        # Rows of one id and text are ordered by a hash of all their columns.
+        return df.groupBy(*by, text).agg(F.max_by(row, F.struct(f"{row}.{id_col}", F.xxhash64(F.to_json(row)))).alias(row))
 
     won = last(last(rows, key, salt).repartition(key), key)
     value = {c: F.col(f"{row}.{c}") for c in df.columns if c != text_col}

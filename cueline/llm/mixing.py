@@ -8,8 +8,8 @@ document; the last, partial one takes documents in key order, and the document o
 the cut for the words that fit.
 
 The prefix sum has two levels: sums over equal slices of the key range of each
-source, then within a slice. A slice, not a source, is what one task sorts. As keys
-are uniform, a source of any size deals evenly to its slices.
+source, then within a slice. A slice, not a source, is what one task sorts; there are as many as keep it to about ``SLICE_ROWS`` rows, should all be of one source. As keys
+are uniform, a source of any size deals evenly to its slices. Keys and sizes alone are sorted; the rows join what is taken of them.
 
 Defined results: a null text has no words; null is a source of its own, the last.
 Rows of equal id are ordered by their text's hash and each counts; rows without an id are ordered by that hash alone. A source without
@@ -29,8 +29,8 @@ from cueline.llm.tables import BLANKS_CLASS, apart, numbered, settled, word_coun
 WEIGHTS = (5, 2, 1)
 #: Words to take as a share of all there are, and the most times that a source is repeated.
 SHARE, EPOCHS = 1.5, 2.0
-#: Slices of the key range of one source.
-SLICES = 1024
+#: Rows of one source that a slice of its key range has, about.
+SLICE_ROWS = 50_000
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
@@ -63,13 +63,13 @@ def mix_sources(
     share: float = SHARE,
     epochs: float = EPOCHS,
     seed: str = "mix",
-    slices: int = SLICES,
+    slice_rows: int = SLICE_ROWS,
     keep_text: bool = True,
 ) -> DataFrame:
     """Every row of ``df`` with ``size``, ``source_size``, ``target`` (its source's) and ``taken`` (words, repeats counted)."""
     df = df.drop("size", "source_size", "target", "taken")
-    n = apart(df, "source", "key", "slice", "before", "tie")
-    source, key, part, before, tie = n.values()
+    n = apart(df, "source", "key", "slice", "before", "tie", "base", "row")
+    source, key, part, before, tie, base, row = n.values()
     named = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
     rows = df.withColumns(
         {
@@ -81,25 +81,27 @@ def mix_sources(
     # Rows without an id are dealt by their texts, so that they are not one key.
     own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), F.col(tie).cast("string")))
     rows = rows.withColumn(key, F.md5(F.concat_ws(":", F.lit(seed), own)))
+    # Sums and rows both start from here, so that words are counted once; a row keeps its number.
+    whole = settled((rows if keep_text else rows.drop(text_col)).withColumn(row, F.monotonically_increasing_id()))
+    slices = max(1, -(-whole.count() // slice_rows))
+    rows = whole.select(row, source, F.col(source_col).alias("source"), key, F.col(id_col).alias("id"), tie, "size")
     rows = rows.withColumn(part, F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") * slices / (1 << 32)).cast("int"))
-    # Sums and rows both start from here, so that words are counted once.
-    rows = settled(rows if keep_text else rows.drop(text_col))
-
-    sums = settled(rows.groupBy(source, part).agg(F.first(source_col).alias("source"), F.sum("size").alias("slice_size")))
+    sums = settled(rows.groupBy(source, part).agg(F.first("source").alias("source"), F.sum("size").alias("slice_size")))
     totals = sums.groupBy(F.col(source).alias("source_key")).agg(F.first("source").alias("source"), F.sum("slice_size").alias("source_size"))
     shares = targets(totals, weights, share, epochs).select(F.col("source_key").alias(source), "source_size", "target")
     lower = Window.partitionBy(source).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(source, part, F.coalesce(F.sum("slice_size").over(lower), F.lit(0)).alias("slice_start")).join(shares, source)
-    starts = settled(starts.withColumnRenamed("slice_start", f"{before}0"))
+    starts = settled(starts.withColumnRenamed("slice_start", base))
 
-    inside = Window.partitionBy(source, part).orderBy(key, id_col, tie).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(source, part).orderBy(key, "id", tie).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(before, F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, [source, part])
     words = F.floor("target")
     full = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0)
-    rest = words - full * F.col("source_size") - F.col(f"{before}0") - F.col(before)
+    rest = words - full * F.col("source_size") - F.col(base) - F.col(before)
     taken = full * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
+    found = rows.select(F.col(row).alias(base), "source_size", "target", taken.cast("bigint").alias("taken"))
     kept = [c for c in df.columns if keep_text or c != text_col]
-    return rows.select(*kept, "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return whole.join(found.hint("shuffle_hash"), F.col(row) == F.col(base)).select(*kept, "size", "source_size", "target", "taken")
 
 
 def mixture(df: DataFrame, **options: object) -> DataFrame:

@@ -46,3 +46,11 @@ def test_empty(spark):
     df = documents(spark).limit(0)
     assert exact_groups(df).count() == 0 and exact_dedup(df).count() == 0
     assert set(CLASHING) <= set(exact_dedup(df).columns)
+
+
+def test_rows_of_one_id_and_text_that_differ_elsewhere(spark):
+    """Which one stays depends on the rows, not on where they are."""
+    rows = [(7, "same", lang, k) for k, lang in enumerate(["en", "de", None, "fr", "en"])] + [(3, "same", "es", 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n_chars int")
+    found = {tuple(exact_dedup(df.repartition(k, "n_chars")).collect()) for k in (1, 2, 3, 5)}
+    assert len(found) == 1 and len(next(iter(found))) == 1 and next(iter(found))[0]["doc_id"] == 7

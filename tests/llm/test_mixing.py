@@ -31,7 +31,7 @@ def shares(sizes, weights, share, epochs):
 @pytest.mark.parametrize(("weights", "share", "epochs"), [((5, 2, 1), 1.5, 2.0), ((1, 9), 0.5, 3.0), ((1,), 5.0, 2.0)])
 def test_targets_and_cuts(spark, weights, share, epochs):
     df = documents(spark)
-    rows = mix_sources(df, weights=weights, share=share, epochs=epochs, slices=8).collect()
+    rows = mix_sources(df, weights=weights, share=share, epochs=epochs, slice_rows=30).collect()
     assert len(rows) == df.count()
     sizes, taken = defaultdict(int), defaultdict(int)
     for r in rows:
@@ -43,7 +43,7 @@ def test_targets_and_cuts(spark, weights, share, epochs):
         assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6
     for s in sizes:
         assert taken[s] == math.floor(want[s] + 1e-9)
-    again = mix_sources(df.repartition(3), weights=weights, share=share, epochs=epochs, slices=8).collect()
+    again = mix_sources(df.repartition(3), weights=weights, share=share, epochs=epochs, slice_rows=30).collect()
     key = lambda r: repr((r["doc_id"], r["text"], r["taken"], r["target"]))
     assert sorted(map(key, rows)) == sorted(map(key, again))
 
