@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,9 +66,15 @@ def clip_name(prefix: Column, idx: Column) -> Column:
     return F.concat(prefix, F.lit("_"), F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), F.lit("0")), F.lit(".mp3"))
 
 
-def container(name: Column) -> Column:
-    """The container format that a decoder is asked for: the extension, known or not."""
-    return extension(name)
+# Containers that decoders know by the extension.
+CONTAINERS = ("mp3", "wav", "m4a", "aac", "ogg", "flac", "wma")
+
+
+def container(name: Column, named: Mapping[str, str] | None = None) -> Column:
+    """The container that a decoder is asked for: by the lower-case extension, as ``named`` calls it; others pass through."""
+    known = {c: c for c in CONTAINERS} | dict(named or {})
+    ext = extension(name)
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in known.items() for x in pair)), ext), ext)
 
 
 def voice_language(voice: Column) -> Column:

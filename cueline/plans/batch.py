@@ -7,8 +7,7 @@ and tracks are made of them. An item that fails does so alone.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,8 @@ from cueline.functions.workers import written
 from cueline.operators import loops, media, scan, segments, settings
 from cueline.sources import files, sinks, sound, voices
 
+#: Names of subtitles and texts.
+TEXTS = r"\.(lrc|[tT][xX][tT])$"
 #: Voices by engine where the caller brings none.
 STAND_INS: dict[str, voices.Voice] = dict.fromkeys(("edge", "openai", "google"), sound.stand_in_voice)
 
@@ -29,7 +30,8 @@ def timing_of(run: Mapping) -> loops.Timing:
 
 def folder_items(spark: SparkSession, folder: str, mode: str = "", ext: str = "m4a", done: DataFrame | None = None) -> DataFrame:
     """The work list of a folder with its results' names. Results are looked for in the listing ``done``, by default the folder's own."""
-    listed = files.listing(spark, folder)
+    # As the folder is when the run begins: its results will lie there too.
+    listed = written(files.listing(spark, folder))
     at = listed.first()
     existing = listed if done is None or at is None else done.select(F.lit(at["dir"]).alias("dir"), "name")
     return scan.planned(scan.work_items(listed, mode), existing, ext).withColumn("item_id", F.concat_ws("/", "dir", scan.label()))
@@ -42,9 +44,7 @@ def single_item(spark: SparkSession, run: Mapping) -> DataFrame:
     if mode not in ("audio", "text"):
         raise ValueError("no input: give a sound file with its subtitles, a text, or a folder to scan")
     source = named["audio" if mode == "audio" else "text"]
-    folder, lrc_folder = (p.rpartition("/")[0] for p in (source, named["lrc"] or ""))
-    if mode == "audio" and lrc_folder != folder:
-        raise ValueError("sound and subtitles of an item lie in one folder")
+    folder = source.rpartition("/")[0]
     name = lambda p: (p or "").rpartition("/")[2] or None
     rows = [(folder, 0 if mode == "audio" else 1, mode, name(named["audio"]), name(named["lrc"]), name(named["text"]), source, named["output"], named["output_lrc"], run["output"]["format"])]
     kept = [(d, k, m, a if m == "audio" else None, c if m == "audio" else None, t if m == "text" else None, *rest) for d, k, m, a, c, t, *rest in rows]
@@ -53,10 +53,13 @@ def single_item(spark: SparkSession, run: Mapping) -> DataFrame:
     return df.select("dir", "kind_ord", "mode", paths.stem(scan.label()).alias("stem"), "audio", "lrc", "text", audio_out.alias("audio_out"), lrc_out.alias("lrc_out"), F.lit(False).alias("skipped"), F.col("source").alias("item_id"))
 
 
-def item_segments(spark: SparkSession, folder: str, items: DataFrame, delimiter: str = "|||", strategy: str = "last", lengths: DataFrame | None = None, names: str = "*.{lrc,[tT][xX][tT]}") -> DataFrame:
-    """Segments of all items: cues of paired subtitles (the last one ends with the sound, where ``lengths`` has its ``duration_ms``) and lines of texts."""
-    # One load of the folder with a filter of names: a location that matches no file would be an error, and sound is not to be read.
-    contents = files.text_files(spark, folder, names=names).select(files.leaf(F.col("item_id")).alias("name"), "content")
+def item_segments(spark: SparkSession, folder: str, items: DataFrame, delimiter: str = "|||", strategy: str = "last", lengths: DataFrame | None = None, names: Sequence[str] = ()) -> DataFrame:
+    """Segments of all items: cues of paired subtitles (the last one ends with the sound, where ``lengths`` has its ``duration_ms``) and lines of texts.
+
+    Subtitles and texts are read from ``folder``: those of ``names``, or all with their endings.
+    """
+    contents = files.text_files(spark, folder, names=names) if names else files.text_files(spark, folder, TEXTS)
+    contents = contents.select(files.leaf(F.col("item_id")).alias("name"), "content")
     sources = items.select("item_id", "mode", F.coalesce("lrc", "text").alias("name"))
     lines = files.numbered_lines(sources.join(contents, "name").select(F.struct("item_id", "mode").alias("item"), "content"), "item")
     lines = lines.select("item.item_id", "item.mode", "line_no", "line")
@@ -107,22 +110,21 @@ def _parts(table: DataFrame, clips: DataFrame, timing: loops.Timing, variant: st
 
 
 def run_items(
-    spark: SparkSession, folder: str, items: DataFrame, run: Mapping, out: str, speak: Mapping[str, voices.Voice] = STAND_INS, decoder: sound.Decoder = sound.read_wav, tool: str = "ffmpeg", names: str | None = None,
+    spark: SparkSession, folder: str, items: DataFrame, run: Mapping, out: str, speak: Mapping[str, voices.Voice] = STAND_INS, decoder: sound.Decoder = sound.read_wav, tool: str = "ffmpeg", texts_in: str | None = None, sound_names: Sequence[str] = (), text_names: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Makes the results of all items that are not skipped, below the URI ``out``, which all executors reach.
 
-    ``run`` holds the settings (:func:`settings.of_run`). Returns the re-timed lines, and the outcomes: ``item``, ``status``, ``n_segments``,
+    Subtitles and texts lie in ``texts_in``, by default in ``folder`` as the sound; ``sound_names`` and ``text_names`` may name the only files to read. ``run`` holds the settings (:func:`settings.of_run`). Returns the re-timed lines, and the outcomes: ``item``, ``status``, ``n_segments``,
     ``n_fallback`` (clips that became silence), ``error``, ``elapsed_s`` (of its speech).
     """
     todo = items.filter("NOT skipped")
     wanted = todo.filter("mode = 'audio'").select("item_id", F.col("audio").alias("name"))
-    found = sound.decoded(spark, folder, decoder=decoder, wanted=wanted)
+    found = sound.decoded(spark, folder, decoder, wanted, sound_names)
     sounds = written(found.withColumn("name", files.leaf(F.col("path"))).join(wanted, "name").select("item_id", *sound.NAMES))
     unread = sounds.filter("pcm IS NULL").select("item_id", F.lit("source sound cannot be decoded").alias("unread"))
     readable = sounds.filter("pcm IS NOT NULL")
 
-    more = {} if names is None else {"names": names}
-    table = item_segments(spark, folder, todo, run["lrc"]["delimiter"] or "|||", run["lrc"]["split_strategy"], readable, **more)
+    table = item_segments(spark, texts_in or folder, todo, run["lrc"]["delimiter"] or "|||", run["lrc"]["split_strategy"], readable, text_names)
     table = table.join(unread, "item_id", "left_anti")
     clips = written(item_clips(table, readable, run, speak, decoder))
     length = lambda side: F.max(F.when(F.col("side") == side, F.coalesce("duration_ms", F.lit(media.MISSING_MS)))).alias(f"{side}_ms")
@@ -156,19 +158,20 @@ def run_items(
 def run_folder(spark: SparkSession, folder: str, out: str | None = None, run: Mapping | None = None, **options: object) -> tuple[DataFrame, DataFrame]:
     """A folder's run. Results go to the URI ``out``, by default the folder itself, and items whose results are there already are skipped."""
     run = run or settings.of_run(spark)
-    folder = folder.rstrip("/")
-    done = None if out is None else files.listing(spark, out) if _exists(spark, out) else spark.createDataFrame([], "dir string, name string, size bigint")
+    folder = _uri(spark, folder.rstrip("/"))
+    done = None if out is None else written(files.listing(spark, out))
     items = folder_items(spark, folder, run["mode"] or "", run["output"]["format"], done)
-    return run_items(spark, folder, items, run, out or _uri(spark, folder), **options)
+    return run_items(spark, folder, items, run, out or folder, **options)
 
 
 def run_single(spark: SparkSession, run: Mapping, out: str | None = None, **options: object) -> tuple[DataFrame, DataFrame]:
     """The run of one item that the settings name. Its results' paths are those of the settings, below ``out`` (by default as they are)."""
     item = single_item(spark, run)
     one = item.first()
-    folder, source = one["dir"] or ".", one["lrc"] or one["text"]
-    names = re.sub(r"([*?\[\]{}\\,])", r"\\\1", source)
-    return run_items(spark, folder, item, run, out or _uri(spark, "/" if one["audio_out"].startswith("/") else "."), names=names, **options)
+    # Sound and subtitles may lie in different folders.
+    texts_in = (run["paths"]["lrc" if one["mode"] == "audio" else "text"]).rpartition("/")[0]
+    names = {"sound_names": [one["audio"]] if one["audio"] else [], "text_names": [one["lrc"] or one["text"]]}
+    return run_items(spark, one["dir"] or ".", item, run, out or _uri(spark, "/" if one["audio_out"].startswith("/") else "."), texts_in=texts_in or ".", **names, **options)
 
 
 def _hadoop(spark: SparkSession, path: str) -> tuple:
@@ -176,11 +179,6 @@ def _hadoop(spark: SparkSession, path: str) -> tuple:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    system, p = _hadoop(spark, path)
-    return system.exists(p)
-
-
 def _uri(spark: SparkSession, path: str) -> str:
     system, p = _hadoop(spark, path)
     return system.makeQualified(p).toString()

@@ -16,10 +16,11 @@ from cueline.sources import files, sinks
 
 
 def probe(path: str) -> str:
-    """What a probe prints for a media file: its length in seconds; empty if it fails."""
+    """What a probe prints for a media file: its length in seconds; empty if it cannot be run or reports a failure."""
     arguments = ["ffprobe", "-v", "error", "-show_entries", "format=duration", "-of", "default=noprint_wrappers=1:nokey=1", path]
     try:
-        return subprocess.run(arguments, capture_output=True, text=True, check=False).stdout
+        done = subprocess.run(arguments, capture_output=True, text=True, check=False)
+        return done.stdout if done.returncode == 0 else ""
     except OSError:
         return ""
 
@@ -52,7 +53,7 @@ def extract_folder(
 
     Files whose outputs exist are skipped. Commands run once: their outcomes are written to the shared folder.
     """
-    listed = files.listing(spark, folder)
+    listed = written(files.listing(spark, folder))
     known = files.media_listing(listed)
     plan = extraction_plan(written(durations(known, ask) if split_over > 0 else known.withColumn("duration_s", F.lit(0.0))), split_over, chunk, bitrate, sample_rate)
     status = media.extract_status(plan, listed, overwrite=overwrite)

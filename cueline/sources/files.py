@@ -1,33 +1,23 @@
 """Readers: folder listings and whole text files as tables of numbered lines.
 
-Listings read no content (the column is pruned). Files are read whole, so that a
+Listings read no content. Files are read whole, so that a
 file's lines keep their numbers, and a leading byte-order mark stays in its first line.
 """
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueline.functions import paths, text
+from cueline.sources.folders import folder_files
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """``dir``, ``name``, ``size`` of the regular files of one folder, empty ones included.
-
-    No content is read. The source has no row of an empty file, but lists its name, which the driver gets with the
-    others of the folder. As with all sources of Spark, names that begin with a dot or an underscore are left out.
-    """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
-    names = [tuple(unquote(f).rsplit("/", 1)) for f in found.inputFiles()]
-    listed = spark.createDataFrame(names, "dir string, name string")
-    sizes = found.select(parent(F.col("path")).alias("dir"), leaf(F.col("path")).alias("name"), F.col("length").alias("size"))
-    # A directory of one machine may be named file:/x or file:///x.
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    listed, sizes = listed.withColumn("dir", plain("dir")), sizes.withColumn("dir", plain("dir"))
-    return listed.join(sizes, ["dir", "name"], "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    """``dir``, ``name``, ``size`` of the regular files of one folder, of any name, empty ones included. No content is read."""
+    return folder_files(spark, folder)
 
 
 def parent(path: Column) -> Column:
@@ -44,10 +34,12 @@ def media_listing(files: DataFrame) -> DataFrame:
     return files.filter(paths.extension(F.col("name")).isin(*known)).orderBy("dir", "name")
 
 
-def text_files(spark: SparkSession, *locations: str, names: str = "*") -> DataFrame:
-    """``item_id`` (the path) and ``content`` of whole files whose names match the glob ``names``; no others are read, and none need match."""
-    read = spark.read.format("binaryFile").option("pathGlobFilter", names).load(list(locations))
-    return read.select(F.col("path").alias("item_id"), F.decode("content", "UTF-8").alias("content"))
+def text_files(spark: SparkSession, folder: str, pattern: str | None = None, names: Sequence[str] = ()) -> DataFrame:
+    """``item_id`` (the path) and ``content`` of a folder's whole files whose names are among ``names``, or match the regular expression ``pattern``."""
+    read = folder_files(spark, folder, "content", pattern=pattern or "")
+    if names:
+        read = read.filter(F.col("name").isin(*names))
+    return read.select(F.concat_ws("/", "dir", "name").alias("item_id"), F.decode("content", "UTF-8").alias("content"))
 
 
 def numbered_lines(files: DataFrame, item: str = "item_id", content: str = "content") -> DataFrame:
@@ -58,9 +50,3 @@ def numbered_lines(files: DataFrame, item: str = "item_id", content: str = "cont
 
 def without_comments(lines: DataFrame) -> DataFrame:
     return lines.filter(~F.startswith("line", F.lit("#")))
-
-
-def clips(files: DataFrame) -> DataFrame:
-    """Sizes of generated clips ``<item>_<side>_<idx>.mp3`` of a listing."""
-    parts = [F.regexp_extract("name", r"^(.*)_(target|native)_(\d+)\.mp3$", k) for k in (1, 2, 3)]
-    return files.select(parts[0].alias("item_id"), parts[1].alias("side"), parts[2].try_cast("bigint").alias("idx"), "size").filter("item_id <> ''")

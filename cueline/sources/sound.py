@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from cueline.functions import paths
 from cueline.functions.workers import reach_package
+from cueline.sources.folders import folder_files
 
 SOUND = "duration_ms bigint, frame_rate int, channels int, dbfs double, pcm binary"
 NAMES = ["duration_ms", "frame_rate", "channels", "dbfs", "pcm"]
@@ -49,19 +51,25 @@ def milliseconds(n_bytes: int, frame_rate: int, channels: int) -> int:
     return round(1000 * n_bytes / (2 * channels * frame_rate))
 
 
-def decoded(spark: SparkSession, *locations: str, decoder: Decoder = read_wav, wanted: DataFrame | None = None) -> DataFrame:
-    """``path`` and the sound of files, all or those whose ``name`` is ``wanted``; null columns where ``decoder`` gives none."""
+def decoded(spark: SparkSession, folder: str, decoder: Decoder | Mapping[str, Decoder] = read_wav, wanted: DataFrame | None = None, names: Sequence[str] = ()) -> DataFrame:
+    """``path`` and the sound of a folder's files, all or those whose ``name`` is among ``names`` or ``wanted``; null columns where ``decoder`` gives none.
+
+    There may be a decoder for each container (by extension, see :func:`paths.container`); a file without one is not decoded. The names are few (a single item's) and keep other files from being opened; what is ``wanted`` may be a table of any size.
+    """
     reach_package(spark)
 
     def decode(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [decoder(c) or (None,) * 5 for c in frame["content"]]
+            of = (decoder.get(kind) if isinstance(decoder, Mapping) else decoder for kind in frame["container"])
+            rows = [(read and read(c)) or (None,) * 5 for read, c in zip(of, frame["content"], strict=True)]
             yield pd.concat([frame[["path"]].reset_index(drop=True), pd.DataFrame(rows, columns=NAMES, dtype=object)], axis=1)
 
-    read = spark.read.format("binaryFile").load(list(locations)).select("path", "content")
+    read = folder_files(spark, folder, "content")
+    if names:
+        read = read.filter(F.col("name").isin(*names))
     if wanted is not None:
-        read = read.withColumn("name", F.regexp_extract("path", "([^/]*)$", 1)).join(wanted.select("name").distinct(), "name", "left_semi").drop("name")
-    return read.mapInPandas(decode, f"path string, {SOUND}")
+        read = read.join(wanted.select("name").distinct(), "name", "left_semi")
+    return read.select(F.concat_ws("/", "dir", "name").alias("path"), paths.container(F.col("name")).alias("container"), "content").mapInPandas(decode, f"path string, {SOUND}")
 
 
 def silence(ms: Column, frame_rate: Column, channels: Column) -> Column:
