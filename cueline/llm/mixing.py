@@ -30,7 +30,7 @@ WEIGHTS = (5, 2, 1)
 #: Words to take as a share of all there are, and the most times that a source is repeated.
 SHARE, EPOCHS = 1.5, 2.0
 #: Rows of one source that a slice of its key range has, about.
-SLICE_ROWS = 50_000
+SLICE_ROWS = 8192
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
