@@ -1,8 +1,9 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 The items' windows (runs of ten consecutive words, or the whole of a shorter item)
-become patterns of an automaton over normalised text: A-Z lower-cased, one blank
-for each run of separators. A text is scanned once; where its words begin and end
+become patterns of an automaton over normalised text: A-Z lower-cased, words told apart from separators. Its letters are
+the items' words, by number: a text's words are looked up by a hash, runs of words that no item has count as one letter, and
+the text is scanned once. The words of a match are compared with the item's own. Where words begin and end
 is kept, so that a match maps to words and to offsets in the original.
 
 The automaton is built in the tasks from the items' normalised texts, which the
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -28,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cueline.llm.hashing import NOT_ALNUM, byte_classes, steps, utf8_view, word_bounds
+from cueline.llm.hashing import NOT_ALNUM, byte_classes, steps, utf8_view, word_bounds, word_hashes
 from cueline.llm.tables import ALNUM_WORD, lower_ascii, small_batches
 
 WINDOW = 10
 #: Characters of normalised benchmark text that one automaton is built from; an item is not divided.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 19
 #: Bytes of texts that a task holds while the blocks of a benchmark of several pass over them.
 HELD_BYTES = 1 << 25
 
@@ -46,66 +48,104 @@ _ARROW = [
     pa.list_(pa.struct([(x, pa.int64()) for x in ("first", "last", "start", "end")])),
     pa.list_(pa.string()),
 ]
-_built: dict[bytes, tuple] = {}
+_built: dict[bytes, _Patterns] = {}
 
 
-def _automaton(items: list[tuple[str, str]], window: int) -> tuple[ahocorasick.Automaton, list[int], list[list[str]]]:
-    """The automaton, and for each pattern its number of words and the ids of the items that have it.
+@dataclass
+class _Patterns:
+    """An automaton over word numbers (from 1; 0 is any other word), the sorted hashes of the words and their numbers, the words, and of each pattern its length and the items that have it."""
 
-    The last one built stays with the Python worker for its next batches.
-    """
+    automaton: ahocorasick.Automaton
+    hashes: np.ndarray
+    numbers: np.ndarray
+    words: list[bytes]
+    lengths: np.ndarray
+    owners: list[tuple[str, ...]]
+
+
+def _hashed(words: list[str]) -> np.ndarray:
+    data, offsets = utf8_view(pa.array(words, pa.large_string()))
+    return word_hashes(data, offsets[:-1], offsets[1:])
+
+
+def _automaton(items: list[tuple[str, str]], window: int) -> _Patterns:
+    """The automaton of some items. The last one built stays with the Python worker for its next batches."""
     key = hashlib.sha256(repr((window, items)).encode()).digest()
     if key not in _built:
-        owners: dict[str, dict[str, None]] = {}
+        _built.clear()
+        known = sorted({w for _, text in items for w in text.split(" ")})
+        number = {w: i + 1 for i, w in enumerate(known)}
+        hashes = _hashed(known)
+        order = np.argsort(hashes)
+        if (hashes[order][1:] == hashes[order][:-1]).any():
+            raise ValueError("two words of the benchmark have one hash")
+        found, places = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), {}
+        owners: list[tuple[str, ...]] = []
+        lengths: list[int] = []
         for item, text in items:
-            words = text.split(" ")
+            words = tuple(number[w] for w in text.split(" "))
             for i in range(max(1, len(words) - window + 1)):
-                owners.setdefault(" ".join(words[i : i + window]), {})[item] = None
-        found = ahocorasick.Automaton()
-        for number, pattern in enumerate(owners):
-            # Bytes of UTF-8, one to a character, as in the text that is scanned.
-            found.add_word(f" {pattern} ".encode().decode("latin-1"), number)
+                pattern = words[i : i + window]
+                place = found.get(pattern, -1)
+                if place < 0:
+                    found.add_word(pattern, len(owners))
+                    owners.append((item,))
+                    lengths.append(len(pattern))
+                elif item not in owners[place]:
+                    # Windows of the same items share one tuple.
+                    both = (*owners[place], item)
+                    owners[place] = places.setdefault(both, both)
         if owners:
             found.make_automaton()
-        _built.clear()
-        _built[key] = found, [p.count(" ") + 1 for p in owners], [list(x) for x in owners.values()]
+        _built[key] = _Patterns(found, hashes[order], order + 1, [w.encode() for w in known], np.array(lengths, np.int64), owners)
     return _built[key]
 
 
-def _matches(data: np.ndarray, offsets: np.ndarray, built: tuple) -> tuple[np.ndarray, dict[int, tuple[list[dict], set[str]]]]:
+def _letters(built: _Patterns, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of some texts one after the other, and each one's word; a text's end, and a run of words that no item has, is a 0."""
+    at = np.minimum(np.searchsorted(built.hashes, hashes), len(built.hashes) - 1)
+    number = np.where(built.hashes[at] == hashes, built.numbers[at], 0)
+    apart = np.zeros(len(number) + 1, bool)
+    apart[first] = True  # another text's words begin
+    kept = (number > 0) | np.append(True, number[:-1] > 0)
+    word = np.flatnonzero(kept | (apart[:-1]))
+    between = apart[word] & (word > 0)
+    place = np.cumsum(between) + np.arange(len(word))
+    letters, words = np.zeros(len(word) + int(between.sum()), np.int64), np.full(len(word) + int(between.sum()), -1)
+    letters[place], words[place] = number[word], word
+    return letters, words
+
+
+def _matches(data: np.ndarray, offsets: np.ndarray, built: _Patterns) -> tuple[np.ndarray, dict[int, tuple[list[dict], set[str]]]]:
     """Words of each text, and of those with hits the merged spans and the items."""
-    automaton, lengths, owners = built
     low = _LOWER[data]
     starts, ends, first = word_bounds(data, offsets, _APART)
     count = np.diff(first)
-    if not lengths or not len(starts):
+    if not built.owners or not len(starts):
         return count, {}
-    # Each text becomes " word word \n": where its words begin there, then their bytes.
-    size = ends - starts
     doc = np.repeat(np.arange(len(count)), count)
-    at = np.cumsum(size + 1) - (size + 1) + 2 * doc + 1
-    stream = np.full(at[-1] + size[-1] + 2 * len(count) + 2, ord(" "), np.uint8)
-    line = np.concatenate([at[first[1:][count > 0] - 1] + size[first[1:][count > 0] - 1] + 1])
-    stream[line] = ord("\n")
-    inside = np.flatnonzero(~_APART[data])
-    stream[inside + np.repeat(at - starts, size)] = low[inside]
-
+    letters, words = _letters(built, word_hashes(low, starts, ends), first)
     ended, pattern = [], []
-    for place, number in automaton.iter(stream.tobytes().decode("latin-1")):
+    for place, number in built.automaton.iter(tuple(letters.tolist())):
         ended.append(place)
         pattern.append(number)
     if not ended:
         return count, {}
-    last = np.searchsorted(at, np.array(ended)) - 1
-    begun = last - np.array([lengths[p] for p in pattern]) + 1
+    last, pattern = words[np.array(ended)], np.array(pattern)
+    begun = last - built.lengths[pattern] + 1
+    # Words of another text may only share the hash.
+    number = dict(zip(words.tolist(), letters.tolist(), strict=True))
+    same = {k: low[starts[k] : ends[k]].tobytes() == built.words[number[k] - 1] for a, b in zip(begun.tolist(), last.tolist(), strict=True) for k in range(a, b + 1)}
     hits: dict[int, tuple[list[list[int]], set[str]]] = {}
     for i in np.argsort(begun, kind="stable"):
+        if not all(same[k] for k in range(begun[i], last[i] + 1)):
+            continue
         spans, items = hits.setdefault(int(doc[last[i]]), ([], set()))
         if spans and begun[i] <= spans[-1][1] + 1:
             spans[-1][1] = max(spans[-1][1], int(last[i]))
         else:
             spans.append([int(begun[i]), int(last[i])])
-        items.update(owners[pattern[i]])
+        items.update(built.owners[pattern[i]])
 
     def chars(doc: int, end: int) -> int:
         return int(np.count_nonzero(data[offsets[doc] : end] & 0xC0 != 0x80))
@@ -128,7 +168,7 @@ def _merged(old: list[dict], new: list[dict]) -> list[dict]:
     return out
 
 
-def _hits(texts: pa.Array, built: tuple) -> tuple[np.ndarray, dict[int, tuple[list[dict], set[str]]]]:
+def _hits(texts: pa.Array, built: _Patterns) -> tuple[np.ndarray, dict[int, tuple[list[dict], set[str]]]]:
     """:func:`_matches` of a batch's texts, some at a time."""
     data, offsets = utf8_view(texts)
     words: list[np.ndarray] = [np.zeros(0, np.int64)]

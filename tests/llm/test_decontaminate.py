@@ -71,3 +71,30 @@ def test_empty(spark):
     df, bench_df, _ = setting(spark)
     assert contamination(df.limit(0), bench_df).count() == 0
     assert not any(r["contaminated"] for r in contamination(df, bench_df.limit(0)).collect())
+
+
+def test_words_that_only_share_a_hash_are_no_match(monkeypatch):
+    """A match is of the words themselves, and of one text."""
+    import numpy as np
+    import pyarrow as pa
+
+    from cueline.llm import decontaminate as module
+
+    data, offsets = module.utf8_view(pa.array(["a b c", "x b c d", "b", "c d b c"]))
+    built = module._automaton([("1", "b c"), ("2", "b c"), ("3", "c d")], 2)
+    count, hits = module._matches(data, offsets, built)
+    assert count.tolist() == [3, 4, 1, 4]
+    assert {d: ([(s["first"], s["last"]) for s in spans], items) for d, (spans, items) in hits.items()} == {0: ([(1, 2)], {"1", "2"}), 1: ([(1, 3)], {"1", "2", "3"}), 3: ([(0, 3)], {"1", "2", "3"})}
+    # "q" gets the hash of "b".
+    real, q, b = module.word_hashes, module._hashed(["q"])[0], module._hashed(["b"])[0]
+    monkeypatch.setattr(module, "word_hashes", lambda *x: np.where(real(*x) == q, b, real(*x)))
+    assert module._matches(*module.utf8_view(pa.array(["q c", "b c"])), built)[1].keys() == {1}
+
+
+def test_long_text(spark):
+    rng = random.Random(4)
+    item = prose(rng, "en", 40)
+    long = prose(rng, "de", 300_000) + " " + item
+    df = spark.createDataFrame([(1, long), (2, item)], "doc_id bigint, text string")
+    found = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in contamination(df, spark.createDataFrame([(5, item)], "item_id bigint, text string")).collect()}
+    assert found == {1: (len(WORD.findall(lower(long))), len(WORD.findall(lower(item)))), 2: (len(WORD.findall(lower(item))),) * 2}
