@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def is_local(spark: SparkSession) -> bool:
@@ -45,3 +45,10 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def written_and_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, object]]:
+    """:func:`written`, with aggregates of its rows that the job which writes them takes on the way."""
+    seen = Observation()
+    rows = written(df.observe(seen, *(c.alias(name) for name, c in counts.items())))
+    return rows, dict(seen.get)

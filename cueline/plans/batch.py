@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueline.functions import paths, text
-from cueline.functions.workers import written
+from cueline.functions.workers import written, written_and_counted
 from cueline.operators import loops, media, scan, segments, settings
 from cueline.sources import files, sinks, sound, voices
 
@@ -110,12 +110,13 @@ def _parts(table: DataFrame, clips: DataFrame, timing: loops.Timing, variant: st
 
 
 def run_items(
-    spark: SparkSession, folder: str, items: DataFrame, run: Mapping, out: str, speak: Mapping[str, voices.Voice] = STAND_INS, decoder: sound.Decoder = sound.read_wav, tool: str = "ffmpeg", texts_in: str | None = None, sound_names: Sequence[str] = (), text_names: Sequence[str] = (),
+    spark: SparkSession, folder: str, items: DataFrame, run: Mapping, out: str, speak: Mapping[str, voices.Voice] = STAND_INS, decoder: sound.Decoder = sound.read_wav, tool: str = "ffmpeg", texts_in: str | None = None, sound_names: Sequence[str] = (), text_names: Sequence[str] = (), counts: dict[str, object] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Makes the results of all items that are not skipped, below the URI ``out``, which all executors reach.
 
     Subtitles and texts lie in ``texts_in``, by default in ``folder`` as the sound; ``sound_names`` and ``text_names`` may name the only files to read. ``run`` holds the settings (:func:`settings.of_run`). Returns the re-timed lines, and the outcomes: ``item``, ``status``, ``n_segments``,
-    ``n_fallback`` (clips that became silence), ``error``, ``elapsed_s`` (of its speech).
+    ``n_fallback`` (clips that became silence), ``error``, ``elapsed_s`` (of its speech). ``counts`` is given the run's totals, which the jobs that write
+    clips and tracks take on the way: clips, silent ones, seconds of speech, tracks, failed ones, and bytes of both.
     """
     todo = items.filter("NOT skipped")
     wanted = todo.filter("mode = 'audio'").select("item_id", F.col("audio").alias("name"))
@@ -126,19 +127,26 @@ def run_items(
 
     table = item_segments(spark, texts_in or folder, todo, run["lrc"]["delimiter"] or "|||", run["lrc"]["split_strategy"], readable, text_names)
     table = table.join(unread, "item_id", "left_anti")
-    clips = written(item_clips(table, readable, run, speak, decoder))
+    silent = F.col("pcm").isNull()
+    clips, taken = written_and_counted(
+        item_clips(table, readable, run, speak, decoder),
+        n_clips=F.count("*"), n_silent=F.coalesce(F.sum(silent.cast("bigint")), F.lit(0)), spoken_s=F.coalesce(F.sum("elapsed_s"), F.lit(0.0)), clip_bytes=F.coalesce(F.sum(F.length("pcm")), F.lit(0)),
+    )
     length = lambda side: F.max(F.when(F.col("side") == side, F.coalesce("duration_ms", F.lit(media.MISSING_MS)))).alias(f"{side}_ms")
     table = loops.with_clips(table, clips.groupBy("item_id", "idx").agg(length("target"), length("native")))
 
     timing, variant, output = timing_of(run), run["loop"]["variant"], run["output"]
     results = todo.select("item_id", "audio_out", "lrc_out")
     parts = _parts(table, clips, timing, variant, int(output["sample_rate"])).join(results, "item_id").withColumnRenamed("audio_out", "path")
-    tracks = written(sinks.write_tracks(parts, out, int(output["sample_rate"]), output["format"], output["bitrate"], tool))
+    made_all = sinks.write_tracks(parts, out, int(output["sample_rate"]), output["format"], output["bitrate"], tool)
+    tracks, more = written_and_counted(made_all, n_tracks=F.count("*"), track_bytes=F.coalesce(F.sum("n_bytes"), F.lit(0)), n_failed_tracks=F.count("error"))
+    if counts is not None:
+        counts.update(taken | more)
     made = tracks.join(results, F.col("path") == F.col("audio_out")).select("item_id", "n_bytes", F.col("error").alias("track_error"))
 
     lines = loops.retimed_lines(loops.loop_offsets(table, timing, variant), run["lrc"]["delimiter"] or "|||").select("item_id", "idx", "pass", "pos_ms", "line")
     good = lines.join(made.filter("track_error IS NULL"), "item_id", "left_semi")
-    sinks.write_files(sinks.file_contents(good).join(results, "item_id").select(F.col("lrc_out").alias("path"), "content"), out)
+    sinks.write_lines(good.join(results, "item_id").withColumnRenamed("lrc_out", "path"), out)
 
     spoken = clips.groupBy("item_id").agg(F.countDistinct("idx").alias("n_segments"), F.count_if(F.col("pcm").isNull()).alias("n_fallback"), F.sum("elapsed_s").alias("elapsed_s"))
     all_ = items.join(spoken, "item_id", "left").join(made, "item_id", "left").join(unread, "item_id", "left")

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueline.operators import intervals, ordered, run_log, scan, sessions
-from cueline.plans.catalog import _FILES, _SEGMENTS, _done_files, part_files, query, table, track_segments
+from cueline.operators import in_sql, intervals, ordered, run_log, scan, sessions
+from cueline.plans.catalog import _FILES, _SEGMENTS, _done_files, _offsets_select, _parts_sql, part_files, query, table, track_segments, voiced
 
 #: How long before an event its segment is looked up, and the spans of the other queries, in seconds.
 EARLIER_S, GAP_S, NEAR_S, TOLERANCE_S = 30, 6 * 3600, 6 * 3600, 12 * 3600
@@ -149,3 +149,17 @@ def q42_merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = F.abs(F.col("n_voices") - F.col("voices")) <= F.greatest(F.lit(1), run_log.DISTINCT_ERROR * F.col("voices"))
     within = lambda i, low, high: (F.col("lengths_at")[i] >= F.floor(low)) & (F.col("lengths_at")[i] <= F.ceil(high))
     return merged.join(exact, "week").select("week", "n", near.alias("voices_near"), (within(0, "p0", "p1") & within(1, "p2", "p3")).alias("lengths_near"))
+
+
+@query(_parts_sql(("native", "silence")))
+def q43_loop_parts_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of all loops, from a table function that SQL calls."""
+    in_sql.register(spark)
+    return spark.sql("SELECT user_id, idx, pass, part, kind, part_ms FROM loop_parts(TABLE({segments}), 'progressive')", segments=voiced(spark, sf_dir))
+
+
+@query(_offsets_select(2))
+def q43b_loop_positions_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each loop begins, from a table function over each track's rows in order."""
+    in_sql.register(spark)
+    return spark.sql("SELECT user_id, idx, pass, loop_ms, pos_ms FROM loop_positions(TABLE({segments}) PARTITION BY (user_id) ORDER BY (idx), 'progressive')", segments=voiced(spark, sf_dir))

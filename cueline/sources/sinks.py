@@ -55,6 +55,46 @@ class _NamedFilesWriter(DataSourceWriter):
         return WriterCommitMessage()
 
 
+class _StreamedFiles(DataSource):
+    """Writes rows (``path``, ``line``) as lines of files of these names; a task's rows of one file come one after the other."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "streamed_files"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return _StreamedFilesWriter(self.options["root"])
+
+
+class _StreamedFilesWriter(DataSourceWriter):
+    def __init__(self, root: str) -> None:
+        self.root = root
+
+    def write(self, iterator: Iterable) -> WriterCommitMessage:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(self.root)
+        for name, rows in itertools.groupby(iterator, key=lambda row: row["path"]):
+            path = f"{base}/{name}"
+            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            # A retry writes the same lines to the same name.
+            with system.open_output_stream(path) as out:
+                for row in rows:
+                    out.write(f"{row['line']}\n".encode())
+        return WriterCommitMessage()
+
+
+def write_lines(lines: DataFrame, root: str, order: tuple[str, ...] = ("idx", "pass")) -> None:
+    """Writes the rows (``path`` below ``root``, ``line``) of each path, in order, to a UTF-8 file, each ended by a line feed.
+
+    A file's rows are sorted and pass its task one by one, so that a file of any length is never held as a whole.
+    """
+    reach_package(lines.sparkSession)
+    lines.sparkSession.dataSource.register(_StreamedFiles)
+    rows = lines.select("path", "line", *order).repartition("path").sortWithinPartitions("path", *order)
+    rows.select("path", "line").write.format("streamed_files").mode("append").option("root", root).save()
+
+
 def write_files(contents: DataFrame, root: str) -> None:
     """Writes each row (``path`` below ``root``, ``content``) to its own UTF-8 file. ``root`` is a URI that all executors reach."""
     reach_package(contents.sparkSession)

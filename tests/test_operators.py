@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from cueline.operators import control, loops, media, scan, segments
+from cueline.operators import control, in_sql, loops, media, scan, segments
 from cueline.sources import files, sinks
 
 
@@ -192,3 +194,23 @@ def test_fallback_summary_gathers_only_what_it_shows(spark):
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
     before_shuffle = found._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in before_shuffle and "Partial" in before_shuffle.split("WindowGroupLimit", 2)[-1].splitlines()[0]
+
+
+def test_lines_of_files_are_streamed(spark, tmp_path):
+    """Files longer than any batch, in order, each line ended; a file's rows come from many partitions."""
+    lines = spark.range(60_000).select(F.concat(F.lit("x/"), (F.col("id") % 2).cast("string"), F.lit(".lrc")).alias("path"), F.concat(F.lit("é "), F.col("id").cast("string")).alias("line"), F.col("id").alias("idx"), F.lit(0).alias("pass"))
+    sinks.write_lines(lines.repartition(7), tmp_path.as_uri())
+    for k in (0, 1):
+        assert (tmp_path / f"x/{k}.lrc").read_text(encoding="utf-8") == "".join(f"é {i}\n" for i in range(k, 60_000, 2))
+
+
+def test_table_functions_in_sql(spark):
+    in_sql.register(spark)
+    lines = spark.createDataFrame([("i", 0, "[01:02.50]a ||| b|||c"), ("i", 1, "[00:00.123]x|||y"), ("i", 2, "[ti:none]"), ("i", 3, "[00:01.00]x||| "), ("i", 4, None), ("i", 5, "[00:01.00]alone")], "item string, no int, line string")
+    cues = spark.sql("SELECT no, start_ms, target_text, native_text FROM parsed_cues(TABLE({lines}), 'line', '|||') ORDER BY no", lines=lines).collect()
+    assert [tuple(r) for r in cues] == [tuple(r) for r in segments.cues(lines.drop("item")).select("no", "start_ms", "target_text", "native_text").orderBy("no").collect()]
+    table = spark.createDataFrame([("i", 1, 30, 5), ("i", 0, 10, 20), ("j", 0, 1, 1)], "item_id string, idx int, target_ms bigint, native_ms bigint")
+    found = spark.sql("SELECT item_id, idx, pass, pos_ms FROM loop_positions(TABLE({t}) PARTITION BY (item_id) ORDER BY (idx), 'progressive')", t=table).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, loops.loop_offsets(table, variant="progressive").select("item_id", "idx", "pass", "pos_ms").collect()))
+    with pytest.raises(AnalysisException, match="no column"):
+        spark.sql("SELECT * FROM loop_parts(TABLE({t}), 'full')", t=table.drop("native_ms")).collect()

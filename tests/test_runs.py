@@ -156,9 +156,13 @@ def test_folder_run(spark, tmp_path):
     listed = {r["name"]: r["size"] for r in files.listing(spark, str(src)).collect()}
     assert len(listed) == 14 and listed["e.lrc"] == 0 and listed["g+h i.txt"] == 6
     run = settings_of(spark, loop={"variant": "progressive"})
-    lines, outcomes = batch.run_folder(spark, str(src), run=run, speak={"edge": flaky()})
+    counts = {}
+    lines, outcomes = batch.run_folder(spark, str(src), run=run, speak={"edge": flaky()}, counts=counts)
     found = {r["item"]: (r["status"], r["n_segments"], r["n_fallback"]) for r in outcomes.collect()}
     assert found == {"a.wav": ("succeeded", 2, 1), "b.TXT": ("succeeded", 1, 0), "c.wav": ("failed", 0, 0), "d.txt": ("skipped", 0, 0), "e.wav": ("failed", 0, 0), "f.wav": ("failed", 0, 0), "g+h i.txt": ("succeeded", 1, 0)}
+    # Both sides of four segments; one clip is silent.
+    assert (counts["n_clips"], counts["n_silent"], counts["n_tracks"], counts["n_failed_tracks"]) == (8, 1, 3, 0)
+    assert counts["track_bytes"] == sum((src / f"{x}_echo.wav").stat().st_size for x in ("a", "b", "g+h i")) and counts["clip_bytes"] > 0
     errors = {r["item"]: r["error"] for r in outcomes.collect() if r["error"]}
     assert errors == {"c.wav": "no segments found", "e.wav": "no segments found", "f.wav": "source sound cannot be decoded"}
     # Targets are cut out of the sound (2000 and 1000 ms), natives are the voice's (80 ms a character and 200) or 500 ms of silence.
