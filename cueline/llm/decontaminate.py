@@ -2,7 +2,7 @@
 
 The items' windows (runs of ten consecutive words, or the whole of a shorter item)
 become patterns of an automaton over normalised text: A-Z lower-cased, words told apart from separators. Its letters are
-the items' words, by number: a text's words are looked up by a hash, runs of words that no item has count as one letter, and
+the items' words, by number: a text's words are looked up by a hash, stretches without as many neighbours in a row that some item has side by side as the shortest window needs count as one letter, and
 the text is scanned once. The words of a match are compared with the item's own. Where words begin and end
 is kept, so that a match maps to words and to offsets in the original.
 
@@ -48,12 +48,18 @@ _ARROW = [
     pa.list_(pa.struct([(x, pa.int64()) for x in ("first", "last", "start", "end")])),
     pa.list_(pa.string()),
 ]
+#: Bits (a power of two) of the tables that tell stretches of text without a window.
+_BITS = 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _built: dict[bytes, _Patterns] = {}
 
 
 @dataclass
 class _Patterns:
-    """An automaton over word numbers (from 1; 0 is any other word), the sorted hashes of the words and their numbers, the words, and of each pattern its length and the items that have it."""
+    """An automaton over word numbers (from 1; 0 is any other word), the sorted hashes of the words and their numbers, the words, and of each pattern its length and the items that have it.
+
+    ``pairs`` has a bit for each two words that stand side by side in an item, ``singles`` one for each pattern of one word; ``least`` is the length of the shortest longer one.
+    """
 
     automaton: ahocorasick.Automaton
     hashes: np.ndarray
@@ -61,6 +67,17 @@ class _Patterns:
     words: list[bytes]
     lengths: np.ndarray
     owners: list[tuple[str, ...]]
+    pairs: np.ndarray
+    singles: np.ndarray
+    least: int
+
+
+def _bit(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - _BITS)
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return _bit(first * _ODD + second)
 
 
 def _hashed(words: list[str]) -> np.ndarray:
@@ -82,6 +99,7 @@ def _automaton(items: list[tuple[str, str]], window: int) -> _Patterns:
         found, places = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), {}
         owners: list[tuple[str, ...]] = []
         lengths: list[int] = []
+        pairs, singles = np.zeros(1 << _BITS, bool), np.zeros(1 << _BITS, bool)
         for item, text in items:
             words = tuple(number[w] for w in text.split(" "))
             for i in range(max(1, len(words) - window + 1)):
@@ -95,20 +113,44 @@ def _automaton(items: list[tuple[str, str]], window: int) -> _Patterns:
                     # Windows of the same items share one tuple.
                     both = (*owners[place], item)
                     owners[place] = places.setdefault(both, both)
+            at = hashes[np.array(words) - 1]
+            pairs[_pair(at[:-1], at[1:])] = True
+            if len(words) == 1 or window == 1:
+                singles[_bit(at)] = True
         if owners:
             found.make_automaton()
-        _built[key] = _Patterns(found, hashes[order], order + 1, [w.encode() for w in known], np.array(lengths, np.int64), owners)
+        least = min((n for n in lengths if n > 1), default=0)
+        _built[key] = _Patterns(found, hashes[order], order + 1, [w.encode() for w in known], np.array(lengths, np.int64), owners, pairs, singles, least)
     return _built[key]
 
 
+def _near_windows(built: _Patterns, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether each word may be part of a window."""
+    found = built.singles[_bit(hashes)]
+    if built.least:
+        side = np.zeros(len(hashes) + 1, bool)
+        side[1:-1] = built.pairs[_pair(hashes[:-1], hashes[1:])]
+        side[first] = False  # two texts
+        edges = np.flatnonzero(side[1:] != side[:-1]).reshape(-1, 2)
+        edges = edges[edges[:, 1] - edges[:, 0] >= built.least - 1]
+        # From the first word of a run of pairs to the last.
+        change = np.zeros(len(hashes) + 1, np.int64)
+        np.add.at(change, edges[:, 0], 1)
+        np.add.at(change, edges[:, 1] + 1, -1)
+        found = found | (np.cumsum(change)[:-1] > 0)
+    return found
+
+
 def _letters(built: _Patterns, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The letters of some texts one after the other, and each one's word; a text's end, and a run of words that no item has, is a 0."""
-    at = np.minimum(np.searchsorted(built.hashes, hashes), len(built.hashes) - 1)
-    number = np.where(built.hashes[at] == hashes, built.numbers[at], 0)
+    """The letters of some texts one after the other, and each one's word; a text's end, and a stretch without a window, is a 0."""
+    near = np.flatnonzero(_near_windows(built, hashes, first))
+    at = np.minimum(np.searchsorted(built.hashes, hashes[near]), len(built.hashes) - 1)
+    number = np.zeros(len(hashes), np.int64)
+    number[near] = np.where(built.hashes[at] == hashes[near], built.numbers[at], 0)
     apart = np.zeros(len(number) + 1, bool)
     apart[first] = True  # another text's words begin
     kept = (number > 0) | np.append(True, number[:-1] > 0)
-    word = np.flatnonzero(kept | (apart[:-1]))
+    word = np.flatnonzero(kept)
     between = apart[word] & (word > 0)
     place = np.cumsum(between) + np.arange(len(word))
     letters, words = np.zeros(len(word) + int(between.sum()), np.int64), np.full(len(word) + int(between.sum()), -1)
