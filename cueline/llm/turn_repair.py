@@ -107,6 +107,14 @@ def _padded(codes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _distinct(rows: list[bytes]) -> tuple[list[int], list[int]]:
+    """One place of each different row, and for each row the number of its like: runs of the same codes are common."""
+    number: dict[bytes, int] = {}
+    of = [number.setdefault(r, len(number)) for r in rows]
+    first = dict(zip(reversed(of), range(len(of) - 1, -1, -1), strict=True))
+    return [first[k] for k in range(len(number))], of
+
+
 def _in_groups(codes: list[np.ndarray]) -> Iterator[np.ndarray]:
     """Numbers of runs of about equal length, a bounded number at a time."""
     order = np.argsort([len(c) for c in codes], kind="stable")
@@ -184,7 +192,10 @@ def _with_rest(runs: DataFrame) -> DataFrame:
         over = np.array([0 if q in _ENDING else _NEVER for q in range(4)])
         for batch in batches:
             rest: list[np.ndarray] = []
-            for conv, costs in zip(batch.column("conv").to_pylist(), run_costs(_codes(batch)), strict=True):
+            codes = _codes(batch)
+            one_each, like = _distinct([c.tobytes() for c in codes])
+            found = run_costs([codes[i] for i in one_each])[like]
+            for conv, costs in zip(batch.column("conv").to_pylist(), found, strict=True):
                 rest.append(carried if conv == last else over)
                 last, carried = conv, np.minimum((costs + rest[-1]).min(axis=1), _NEVER)
             columns = [batch.column(c) for c in ("conv", "run", "codes")]
@@ -205,7 +216,9 @@ def _planned(runs: DataFrame) -> DataFrame:
         for batch in batches:
             codes = _codes(batch)
             final = np.array(batch.column("rest").to_pylist(), np.int64).reshape(-1, 4)
-            found = {(x[0], x[1]): x[2:] for x in traces(codes, final)}
+            more = np.where(final < _NEVER, final - final.min(axis=1, keepdims=True), _NEVER)
+            one_each, like = _distinct([c.tobytes() + m.tobytes() for c, m in zip(codes, more, strict=True)])
+            found = {(x[0], x[1]): x[2:] for x in traces([codes[i] for i in one_each], more[one_each])}
             out: list[tuple] = []
             for i, conv in enumerate(batch.column("conv").to_pylist()):
                 initials = codes[i] // 3
@@ -214,8 +227,8 @@ def _planned(runs: DataFrame) -> DataFrame:
                     state = 0
                 elif len(initials):
                     bad += not legal[initial, initials[0]]
-                cost, end, audit, rows, roles = found[i, state]
-                out.append((cost if conv != last else 0, audit, bad, rows, [ROLES.get(r) for r in roles]))
+                cost, end, audit, rows, roles = found[like[i], state]
+                out.append((cost + int(final[i].min()) if conv != last else 0, audit, bad, rows, [ROLES.get(r) for r in roles]))
                 last, state, initial = conv, end, initials[-1]
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))
             columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
