@@ -61,7 +61,7 @@ def test_run(spark, folder):
 
 def test_registered():
     named = __spark_entry__.queries()
-    assert "pipeline" in named and sorted(n.split("_")[0] for n in named if re.match(r"op\d+_", n)) == sorted(f"op{k}" for k in range(1, 11))
+    assert "pipeline" in named and sorted(n.split("_")[0] for n in named if re.match(r"op\d+_", n)) == sorted(f"op{k}" for k in range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
