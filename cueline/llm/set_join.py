@@ -48,6 +48,10 @@ COSTLY = 256
 #: Tokens that a task sorts at a time (24 bytes each).
 HELD = 1 << 20
 
+#: Least tokens of a set that its rows carry, so that a pair of many common tokens is not told at each.
+TOLD = 8
+_LAST = 2**63 - 1
+
 #: Bits of a token that name its scheme.
 _NAMED = 6
 _SUBSET, _LESS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -251,30 +255,46 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").mapInArrow(check, "a long, b long")
 
 
-def _met(probes: DataFrame, index: DataFrame, nodes: DataFrame, percent: int, block: int) -> DataFrame:
+def _least(rows: DataFrame) -> DataFrame:
+    """``node`` and ``least``: the least ``TOLD`` of its tokens; where there are fewer, the largest number fills up."""
+    place = F.row_number().over(Window.partitionBy("node").orderBy("token"))
+    few = rows.withColumn("place", place).filter(F.col("place") <= TOLD).groupBy("node").agg(F.collect_list("token").alias("few"))
+    return few.select("node", F.concat("few", F.array_repeat(F.lit(_LAST), TOLD - F.size("few"))).alias("least"))
+
+
+def _meetings(probes: DataFrame, index: DataFrame, nodes: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs of a probe and an indexed set (``token``, ``node``) of one token that may link, of different components: ``a``, ``b`` and their roots.
 
     The set of the smaller component (``n_root``, then ``root``) is the one that has to look; so what all sets of a token's largest
-    component would look for is left out. Both sides are dealt to blocks, and each block of the one meets each of the other.
+    component would look for is left out. Both sides are dealt to blocks, and each block of the one meets each of the other. Rows stay
+    narrow until they are dealt. A pair meets at all tokens that it shares, and is told at the least of them: where both sets' least tokens show one
+    below, it is passed over.
     """
     rank = F.struct("n_root", "root")
-    index = index.join(nodes, "node")
-    tops = index.groupBy("token").agg(F.count("*").alias("n_index"), F.max(rank).alias("top"))
-    probes = probes.join(nodes, "node").join(tops.select(apart_from_its_rows("token"), "n_index", "top"), "token").filter(rank < F.col("top")).drop("top")
-    sizes = probes.groupBy("token").agg(F.count("*").alias("n_probes"), F.max("n_index").alias("n_index"))
+    ranks = nodes.select("node", "root", "n_root")
+    index = index.join(ranks, "node")
+    tops = index.groupBy("token").agg(F.max(rank).alias("top"))
+    probes = probes.join(ranks, "node").join(tops.select(apart_from_its_rows("token"), "top"), "token").filter(rank < F.col("top"))
+    probes = settled(probes.select("token", "node", "n_root", "root"))
+    lows = probes.groupBy("token").agg(F.count("*").alias("n_probes"), F.min(rank).alias("low"))
+    index = settled(index.join(lows.select(apart_from_its_rows("token"), "n_probes", "low"), "token").filter(rank > F.col("low")).select("token", "node", "n_probes"))
+    sizes = index.groupBy("token").agg(F.max("n_probes").alias("n_probes"), F.count("*").alias("n_index"))
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
     sizes = sizes.select(apart_from_its_rows("token"), blocks("n_probes").alias("k_probes"), blocks("n_index").alias("k_index"))
     deal = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    own = ["node", "root", "n_root", "n_shingles", "bitmap"]
-    left = probes.drop("n_index").join(sizes, "token").select("token", deal("k_probes").alias("i"), every("k_index").alias("j"), F.lit(0).alias("side"), *own)
-    right = index.join(sizes, "token").select("token", every("k_probes").alias("i"), deal("k_index").alias("j"), F.lit(1).alias("side"), *own)
+    own = ["node", "root", "n_root", "n_shingles", "bitmap", "least"]
+    left = probes.join(sizes, "token").select("token", "node", deal("k_probes").alias("i"), every("k_index").alias("j"), F.lit(0).alias("side"))
+    right = index.join(sizes, "token").select("token", "node", every("k_probes").alias("i"), deal("k_index").alias("j"), F.lit(1).alias("side"))
+    left, right = (dealt.join(nodes.join(_least(rows), "node"), "node").select("token", "i", "j", "side", *own) for dealt, rows in ((left, probes), (right, index)))
     names = ["a", "b", "root_a", "root_b"]
 
-    def compare(token: np.ndarray, group: pa.Table) -> Iterator[np.ndarray]:
+    def compare(meeting: np.ndarray, group: pa.Table) -> Iterator[np.ndarray]:
+        token = group.column("token").to_numpy()
         node, root, n_root, size, side = (group.column(c).to_numpy() for c in ("node", "root", "n_root", "n_shingles", "side"))
         bits = _bits(group.column("bitmap").combine_chunks())
-        bounds = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
+        least = group.column("least").combine_chunks().flatten().to_numpy().reshape(-1, TOLD)
+        bounds = np.append(np.flatnonzero(np.append(True, meeting[1:] != meeting[:-1])), len(meeting))
         for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             others = np.flatnonzero(side[low:high] == 1) + low
             for i in (np.flatnonzero(side[low:high] == 0) + low).tolist():
@@ -282,6 +302,8 @@ def _met(probes: DataFrame, index: DataFrame, nodes: DataFrame, percent: int, bl
                 j = j[np.minimum(size[j], size[i]) * 100 >= percent * np.maximum(size[j], size[i])]
                 both = _upper(bits[i], bits[j], size[i], size[j])
                 j = j[both * 100 >= percent * (size[i] + size[j] - both)]
+                below = least[i][least[i] < token[low]]
+                j = j[~(least[j][:, :, None] == below).any(axis=(1, 2))]
                 if len(j):
                     yield np.stack([np.full(len(j), node[i]), node[j], np.full(len(j), root[i]), root[j]])
 
@@ -309,7 +331,7 @@ def _met(probes: DataFrame, index: DataFrame, nodes: DataFrame, percent: int, bl
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(pairs, axis=1)], names=names)
 
     dealt = left.unionByName(right).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInArrow(meet, ", ".join(f"{c} long" for c in names)).distinct()
+    return dealt.mapInArrow(meet, ", ".join(f"{c} long" for c in names))
 
 
 def _neighbourhoods(texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -405,7 +427,7 @@ def jaccard_groups(
     by_root = members.select("token", "node").join(labelled.select("node", "root"), "node").groupBy("token", "root").agg(F.count("*").alias("n"))
     costs = by_root.groupBy("token").agg((F.sum("n") - F.max("n")).alias("cost")).select(apart_from_its_rows("token"), "cost")
     probes, index = _lookups(settled(members.drop("n").join(costs, "token")), texts, width, percent, costly)
-    more = _verified(_met(probes, index, labelled, percent, block), texts, width, percent)
+    more = _verified(_meetings(probes, index, labelled, percent, block).distinct(), texts, width, percent)
     tops = components(more.select(F.least("root_a", "root_b").alias("b"), F.greatest("root_a", "root_b").alias("a")))
     tops = tops.select(apart_from_its_rows("node").alias("lower"), F.col("root").alias("top"))
     above = roots.join(tops, F.col("root") == F.col("lower"), "left").select("node", F.coalesce("top", "root").alias("root"))

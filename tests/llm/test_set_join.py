@@ -111,3 +111,19 @@ def test_subsets_of_a_set_and_of_one_less() -> None:
 
 def test_empty_table(spark: SparkSession) -> None:
     assert not jaccard_groups(spark.createDataFrame([], "doc_id bigint, text string")).collect()
+
+
+def test_pairs_of_many_common_tokens_are_told_once(spark: SparkSession) -> None:
+    """Each meeting is a batch of its own here, so nothing else drops a pair's other meetings."""
+    bits = np.full(set_join.BITS // 64, 5, np.uint64).tobytes()
+    nodes = spark.createDataFrame([(n, n, 1, 2, bytearray(bits)) for n in range(4)], "node long, root long, n_root long, n_shingles long, bitmap binary")
+    own = {0: range(0, 60), 1: range(0, 60), 2: range(55, 90), 3: range(200, 203)}
+    rows = spark.createDataFrame([(t * 64 - 3000, n) for n, tokens in own.items() for t in tokens], "token long, node long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        found = [tuple(r)[:2] for r in set_join._meetings(rows, rows, nodes, 80, 512).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(found) == {(0, 1), (0, 2), (1, 2)}
+    # Set 1 only looks where 2 is. The five tokens of 2 that 0 has are not among the least eight of 0: no row can tell, so all five stand.
+    assert (found.count((0, 1)), found.count((1, 2)), found.count((0, 2))) == (1, 1, 5)
