@@ -53,11 +53,14 @@ def extract_status(plan: DataFrame, existing: DataFrame, source: str = "source",
     Where the plan has a ``dir``, outputs are looked for in it, and files of one name in two folders are told apart.
     """
     by = [c for c in ("dir",) if c in plan.columns]
-    there = existing.select(*by, F.col("name").alias("output"), F.lit(True).alias("_there")).distinct()
-    joined = plan.join(there, [*by, "output"], "left")
-    all_there = F.bool_and(F.coalesce("_there", F.lit(False))) & (not overwrite)
-    itself = F.bool_or((F.col("n_chunks") == 1) & (F.col("output") == F.col(source)))
-    return joined.groupBy(*by, source).agg(F.when(all_there | itself, "skipped").otherwise("run").alias("status"), F.count("*").alias("n_outputs"))
+    itself = (F.col("n_chunks") == 1) & (F.col("output") == F.col(source))
+    # A source's chunks are counted where they are made; only outputs that are not there go on from the join.
+    planned = plan.select(*by, source, itself.alias("_itself"), F.lit(1).cast("bigint").alias("_n"), F.lit(False).alias("_missing"))
+    absent = plan.select(*by, "output", source).join(existing.select(*by, F.col("name").alias("output")), [*by, "output"], "left_anti")
+    absent = absent.select(*by, source, F.lit(False).alias("_itself"), F.lit(0).cast("bigint").alias("_n"), F.lit(True).alias("_missing"))
+    found = planned.unionByName(absent).groupBy(*by, source).agg(F.bool_or("_missing").alias("_missing"), F.bool_or("_itself").alias("_itself"), F.sum("_n").alias("n_outputs"))
+    skipped = (~F.col("_missing") & (not overwrite)) | F.col("_itself")
+    return found.select(*by, source, F.when(skipped, "skipped").otherwise("run").alias("status"), "n_outputs")
 
 
 def applied_gain(dbfs: Column, gain: Column, normalize: Column) -> Column:
