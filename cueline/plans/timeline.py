@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueline.operators import in_sql, intervals, ordered, run_log, scan, sessions
-from cueline.plans.catalog import _FILES, _SEGMENTS, _done_files, _offsets_select, _parts_sql, part_files, query, table, track_segments, voiced
+from cueline.operators import in_sql, intervals, ordered, run_log, scan, segments, sessions
+from cueline.plans.catalog import _FILES, _SEGMENTS, _done_files, _offsets_select, _parts_sql, part_files, query, table, track_cues, voiced
 
 #: How long before an event its segment is looked up, and the spans of the other queries, in seconds.
 EARLIER_S, GAP_S, NEAR_S, TOLERANCE_S = 30, 6 * 3600, 6 * 3600, 12 * 3600
@@ -32,7 +32,8 @@ def q36_segment_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segment that a track was at some time before each event."""
     at = F.unix_seconds(F.col("ts").cast("timestamp")) - F.lit(1704067200) - EARLIER_S
     points = table(spark, sf_dir, "events").select("user_id", "event_id", at.alias("at"))
-    held = track_segments(spark, sf_dir).select("user_id", "start_ms", "end_ms", "idx", "target_text")
+    spoken = track_cues(spark, sf_dir).withColumn("native_text", F.lit(None).cast("string"))  # not asked for, so not sorted along
+    held = segments.segments(spoken, ("event_id",), "user_id").select("user_id", "start_ms", "end_ms", "idx", "target_text")
     return intervals.overlaps(points, held, ("at", "at"), ("start_ms", "end_ms"), ["user_id"]).select("user_id", "event_id", "at", "idx", "target_text")
 
 

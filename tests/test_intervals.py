@@ -4,8 +4,9 @@ import random
 
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from cueline.operators.intervals import overlaps, usual_width
+from cueline.operators.intervals import _own_levels, overlaps, usual_width
 
 
 def spans(rng: random.Random, n: int) -> list[tuple]:
@@ -44,3 +45,19 @@ def test_points_and_no_rows(spark: SparkSession) -> None:
     assert sorted(tuple(r) for r in overlaps(points, held, ("t", "t"), ("low", "high")).select("id", "name").collect()) == [(1, "x"), (2, "x"), (3, "y")]
     assert overlaps(points, held.limit(0), ("t", "t"), ("low", "high")).collect() == []
     assert usual_width(held.limit(0), "low", "high") == 1
+
+
+def test_rows_go_only_to_levels_where_the_other_side_is(spark: SparkSession) -> None:
+    levels = lambda own, others: spark.range(1).select(_own_levels(F.lit(own), others)).first()[0]
+    assert levels(3, [0]) == [3]  # a span goes to no level but its own where the others are points
+    assert levels(0, [0, 3, 9]) == [0, 3, 9]
+    assert levels(6, [3, 6, 9]) == [6, 9]
+    assert levels(3, []) == [3]
+
+
+def test_sides_are_shuffled_once(spark: SparkSession) -> None:
+    a = spark.createDataFrame([("k", i) for i in range(50)], "k string, at bigint").repartition(3)
+    b = spark.createDataFrame([("k", i, i + 7) for i in range(50)], "k string, low bigint, high bigint").repartition(3)
+    plan = overlaps(a, b, ("at", "at"), ("low", "high"), ["k"], 2)._jdf.queryExecution().executedPlan().toString()
+    # Besides the two sides of the join, only counts and the bins that they name are exchanged; no join of the rows with counts is.
+    assert plan.count("SortMergeJoin") <= 1
