@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueline.llm.tables import apart_from_its_rows, settled
+from cueline.llm.tables import apart_from_its_rows, passing, settled
 
 #: Links that a task contracts at a time (16 bytes each).
 MEETING = 1 << 20
@@ -71,7 +71,7 @@ def components(links: DataFrame) -> DataFrame:
     links = settled(_contracted(_contracted(links.select("a", "b")).repartition("a")))
     seen = None
     while True:
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = passing(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))).collect()[0]
         if state == seen or not state[0]:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = state
